@@ -25,18 +25,25 @@ def ring_area(ring: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
-    """Area centroid; the vertex mean for rings without area."""
+    """Area centroid; the vertex mean for rings without area.  Sums run relative to the first vertex."""
     x0, z0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["z"]
-    near = F.transform(ring, lambda p: F.struct((p["x"] - x0).alias("x"), (p["z"] - z0).alias("z")))
-    edges = _edges(near)
-    a2 = _fold(edges, lambda e: e["ax"] * e["bz"] - e["bx"] * e["az"])
-    cx = _fold(edges, lambda e: (e["ax"] + e["bx"]) * (e["ax"] * e["bz"] - e["bx"] * e["az"]))
-    cz = _fold(edges, lambda e: (e["az"] + e["bz"]) * (e["ax"] * e["bz"] - e["bx"] * e["az"]))
-    n = F.size(ring)
-    mx = F.aggregate(near, F.lit(0.0), lambda acc, p: acc + p["x"]) / n
-    mz = F.aggregate(near, F.lit(0.0), lambda acc, p: acc + p["z"]) / n
-    flat = a2 == 0
-    return x0 + F.when(flat, mx).otherwise(cx / (3 * a2)), z0 + F.when(flat, mz).otherwise(cz / (3 * a2))
+    names = ("a2", "cx", "cz", "mx", "mz")
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+
+    def add(acc: Column, e: Column) -> Column:
+        ax, az, bx, bz = e["ax"] - x0, e["az"] - z0, e["bx"] - x0, e["bz"] - z0
+        cross = ax * bz - bx * az
+        terms = (cross, (ax + bx) * cross, (az + bz) * cross, ax, az)
+        return F.struct(*[(acc[n] + t).alias(n) for n, t in zip(names, terms)])
+
+    def finish(acc: Column) -> Column:
+        flat = acc["a2"] == 0
+        x = F.when(flat, acc["mx"] / F.size(ring)).otherwise(acc["cx"] / (3 * acc["a2"]))
+        z = F.when(flat, acc["mz"] / F.size(ring)).otherwise(acc["cz"] / (3 * acc["a2"]))
+        return F.struct((x0 + x).alias("x"), (z0 + z).alias("z"))
+
+    c = F.aggregate(_edges(ring), zero, add, finish)
+    return c["x"], c["z"]
 
 
 def ring_bbox(ring: Column) -> tuple[Column, Column, Column, Column]:

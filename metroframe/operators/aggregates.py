@@ -39,7 +39,9 @@ def roof_height(
     hits = points_in_polygons(points.select("x", "z", "y"), rings, buffer)
     roofs = exact_percentile(hits.select("box_id", "y"), ["box_id"], "y", {"roof": pct / 100.0, "low": 0.03})
     cx, cz = ring_centroid(F.col("ring"))
-    base = grid_nearest_fill(footprints.withColumn("x", cx).withColumn("z", cz), ground, spec)
+    # a one-element explode evaluates the centroid once instead of inlining it everywhere
+    centre = F.explode(F.array(F.struct(cx.alias("x"), cz.alias("z"))))
+    base = grid_nearest_fill(footprints.select("box_id", "tag_h", centre.alias("c")).select("box_id", "tag_h", "c.*"), ground, spec)
     joined = base.join(roofs, "box_id", "left")
     n = F.coalesce("_n", F.lit(0))
     measured = n >= min_pts

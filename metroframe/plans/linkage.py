@@ -9,6 +9,9 @@ never paired with its neighbours point by point.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,30 +128,52 @@ def _halved(pts: DataFrame, pairs: DataFrame, r: float) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, comp) with comp the lowest id.  Loop.
 
-    Each round takes the lowest label among neighbours and then jumps along labels
-    twice, so long chains close in a logarithmic number of rounds.
+    Every task first reduces its own range of edges to stars.  Then each round takes
+    the lowest label among neighbours, moves whole trees with their root, and jumps
+    along labels twice, so long chains close in a logarithmic number of rounds.
     """
-    both = materialize(
-        edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
-            edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
-        ).where("src != dst").distinct()
-    )
-    labels = materialize(nodes.select("id").distinct().withColumn("comp", F.col("id")))
+    kind = dict(edges.dtypes)["a"]
+    stars = edges.select("a", "b").where("a != b").repartitionByRange("a").mapInPandas(_stars, f"src {kind}, dst {kind}")
+    both = materialize(stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    labels = nodes.select("id").distinct().withColumn("comp", F.col("id"))
     if both.isEmpty():
         return labels
+    labels = materialize(labels)
     while True:
         heard = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("comp").alias("low"))
         hooked = labels.join(heard, labels.id == heard.src, "left").select(
             "id", F.col("comp").alias("old"), F.least("comp", F.coalesce("low", "comp")).alias("comp")
         )
-        # also hook the old root, so whole trees move at once
         roots = hooked.where("comp < old").groupBy(F.col("old").alias("id")).agg(F.min("comp").alias("via"))
-        hooked = hooked.join(roots, "id", "left").select("id", "old", F.least("comp", F.coalesce("via", "comp")).alias("comp"))
-        hooked = materialize(hooked)
+        hooked = materialize(
+            hooked.join(roots, "id", "left").select("id", "old", F.least("comp", F.coalesce("via", "comp")).alias("comp"))
+        )
+        if hooked.where("comp != old").isEmpty():
+            return labels
+        labels = hooked.select("id", "comp")
         for _ in range(2):
-            up = hooked.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-            hooked = hooked.join(up, "comp").select("id", "old", F.col("up").alias("comp"))
-        labels = materialize(hooked)
-        if labels.where("old != comp").isEmpty():
-            return labels.select("id", "comp")
-        labels = labels.select("id", "comp")
+            up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+            labels = labels.join(up, "comp").select("id", F.col("up").alias("comp"))
+        labels = materialize(labels)
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over one task's edges: every touched node with its lowest local node."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        top = v
+        while parent.get(top, top) != top:
+            top = parent[top]
+        while parent.get(v, v) != top:
+            parent[v], v = top, parent[v]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist()):
+            ra, rb = root(a), root(b)
+            lo, hi = (ra, rb) if ra < rb else (rb, ra)
+            parent[lo] = lo
+            parent[hi] = lo
+    pairs = [(v, root(v)) for v in list(parent)]
+    yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["src", "dst"])

@@ -17,11 +17,14 @@ _RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # recording the Python call site of every expression costs more than planning it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 _SPARK_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
     "spark.sql.execution.arrow.pyspark.enabled": "false",
+    "spark.python.sql.dataFrameDebugging.enabled": "true",
 }
 
 
@@ -31,6 +34,8 @@ def get_spark(app: str = "metroframe", master: str | None = None, **conf: str) -
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.session.timeZone", "UTC").config(
+        "spark.python.sql.dataFrameDebugging.enabled", "false"
+    ).config(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
