@@ -104,13 +104,13 @@ _W = "[" + ",".join(repr(2.718281828459045 ** (-0.5 * (k / 2.2) ** 2)) for k in
 @query(with_views("roads") + f""", l AS (SELECT road_id, list(y ORDER BY seq) AS ys FROM fx_roads GROUP BY road_id), w AS (SELECT {_W} AS w),
  e AS (SELECT road_id, ys, unnest(range(1, len(ys)+1)) AS i, w FROM l, w),
  g AS (SELECT road_id, i, CASE WHEN len(ys) < 5 THEN ys[i] ELSE list_sum(list_transform(range(1,20), lambda k: w[k]*ys[least(greatest(i+k-10,1),len(ys))]))/list_sum(w) END AS y, ys[i] AS raw FROM e)
- SELECT road_id, i-1 AS i, round(least(greatest(y, raw-0.2), raw+0.6),5)+0.0 AS y FROM g""")
+ SELECT road_id, i-1 AS i, round(least(greatest(y, raw-0.2), raw+0.6),7)+0.0 AS y FROM g""")
 def gaussian_profile(t):
     """Elevation low-pass, then clamped to the ground band."""
     ys = F.transform("pts", lambda p: p["y"])
     out = lines(t).select("road_id", ys.alias("raw"), W.gaussian_profile(ys).alias("ys"))
     out = out.select("road_id", F.posexplode(W.clamp_profile(F.col("ys"), F.col("raw"))).alias("i", "y"))
-    return out.select("road_id", F.col("i").cast("long").alias("i"), r("y", 5).alias("y"))
+    return out.select("road_id", F.col("i").cast("long").alias("i"), r("y", 7).alias("y"))
 
 
 @query()
@@ -227,20 +227,25 @@ def dedupe_polylines(t):
     return O.dedupe_polylines(coarse, ["name"], ["road_id"]).select("name", "road_id")
 
 
-_MIS = """, n AS (SELECT site_id, x, z, row_number() OVER (ORDER BY ORD) AS rn FROM fx_sites),
- adj AS (SELECT a.rn AS a, b.rn AS b FROM n a JOIN n b ON b.rn < a.rn AND abs(a.x-b.x) <= 45 AND abs(a.z-b.z) <= 45 AND (a.x-b.x)*(a.x-b.x)+(a.z-b.z)*(a.z-b.z) CMP 2025),
- nb AS (SELECT n.rn, n.site_id, coalesce(list(adj.b) FILTER (adj.b IS NOT NULL), []) AS bs FROM n LEFT JOIN adj ON adj.a = n.rn GROUP BY ALL),
- f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT nb.rn, CASE WHEN len(list_intersect(nb.bs, f.kept)) = 0 THEN list_append(f.kept, nb.rn) ELSE f.kept END FROM f JOIN nb ON nb.rn = f.rn + 1),
- fin AS (SELECT kept FROM f ORDER BY rn DESC LIMIT 1)"""
+def _greedy(order: str, near: str, rounds: int = 24) -> str:
+    """Greedy suppression by rounds: a point is kept once all earlier neighbours are gone, gone once one is kept."""
+    sql = with_views("sites") + f""", n AS MATERIALIZED (SELECT site_id, x, z, row_number() OVER (ORDER BY {order}) AS rn FROM fx_sites),
+ adj AS MATERIALIZED (SELECT a.rn AS a, b.rn AS b FROM n a JOIN n b ON b.rn < a.rn AND abs(a.x-b.x) <= 45 AND abs(a.z-b.z) <= 45 AND (a.x-b.x)*(a.x-b.x)+(a.z-b.z)*(a.z-b.z) {near} 2025),
+ s0 AS MATERIALIZED (SELECT rn, 0 AS st FROM n)"""
+    for k in range(1, rounds + 1):
+        p = f"s{k - 1}"
+        sql += f""", s{k} AS MATERIALIZED (SELECT {p}.rn, CASE WHEN {p}.st <> 0 THEN {p}.st WHEN max(q.st) = 2 THEN 1 WHEN coalesce(min(q.st), 1) = 1 THEN 2 ELSE 0 END AS st
+ FROM {p} LEFT JOIN adj ON adj.a = {p}.rn LEFT JOIN {p} q ON q.rn = adj.b GROUP BY {p}.rn, {p}.st)"""
+    return sql + f", fin AS (SELECT site_id, CASE st WHEN 2 THEN true WHEN 1 THEN false END AS kept FROM n JOIN s{rounds} USING (rn))"
 
 
-@query(with_views("sites").replace("WITH ", "WITH RECURSIVE ", 1) + _MIS.replace("ORD", "c_nationkey DESC, site_id").replace("CMP", "<=") + " SELECT site_id, list_contains(kept, rn) AS kept FROM n, fin")
+@query(_greedy("c_nationkey DESC, site_id", "<=") + " SELECT site_id, kept FROM fin")
 def spacing_suppress(t):
     """Greedy 45 m spacing by priority."""
     return O.spacing_suppress(t.sites, 45.0, "site_id", [-F.col("c_nationkey")]).select("site_id", "kept")
 
 
-@query(with_views("sites").replace("WITH ", "WITH RECURSIVE ", 1) + _MIS.replace("ORD", "site_id").replace("CMP", "<") + " SELECT site_id FROM n, fin WHERE list_contains(kept, rn)")
+@query(_greedy("site_id", "<") + " SELECT site_id FROM fin WHERE kept IS DISTINCT FROM false")
 def merge_keep_first(t):
     """Sites kept when no earlier kept site is nearer than 45 m."""
     return O.merge_keep_first(t.sites, 45.0, "site_id", []).select("site_id")
@@ -251,11 +256,11 @@ def merge_keep_first(t):
  e AS (SELECT a.i AS a, b.i AS b FROM core a JOIN core b ON b.cx BETWEEN a.cx-1 AND a.cx+1 AND b.cz BETWEEN a.cz-1 AND a.cz+1 AND (a.x-b.x)*(a.x-b.x)+(a.z-b.z)*(a.z-b.z) <= 9),
  reach AS (SELECT i AS a, i AS b FROM core UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), comp AS (SELECT a AS i, min(b) AS rep FROM reach GROUP BY a),
  g AS (SELECT ends.road_id, ends.seq, rep, ends.x, ends.y, ends.z FROM ends JOIN core USING (x, z) JOIN comp USING (i)), mean AS (SELECT rep, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM g GROUP BY rep HAVING count(*) > 1)
- SELECT r.road_id, r.seq, round(coalesce(m.x,r.x),6)+0.0 AS x, round(coalesce(m.y,r.y),6)+0.0 AS y, round(coalesce(m.z,r.z),6)+0.0 AS z FROM fx_roads r LEFT JOIN g USING (road_id, seq) LEFT JOIN mean m USING (rep)""")
+ SELECT r.road_id, r.seq, round(coalesce(m.x,r.x),6)+0.0 AS x, round(coalesce(m.y,r.y),8)+0.0 AS y, round(coalesce(m.z,r.z),6)+0.0 AS z FROM fx_roads r LEFT JOIN g USING (road_id, seq) LEFT JOIN mean m USING (rep)""")
 def weld_endpoints(t):
     """Road ends within 3 m share their mean position and elevation."""
     out = W.weld_endpoints(t.roads.select("road_id", "seq", "x", "y", "z"), ["road_id"], 3.0)
-    return out.select("road_id", "seq", r("x").alias("x"), r("y").alias("y"), r("z").alias("z"))
+    return out.select("road_id", "seq", r("x").alias("x"), r("y", 8).alias("y"), r("z").alias("z"))
 
 
 @query(with_views("roads") + _SEG + " SELECT class, round(sum(total),3)+0.0 AS metres FROM (SELECT DISTINCT road_id, total FROM sc) JOIN (SELECT DISTINCT road_id, class FROM fx_roads) USING (road_id) GROUP BY class")

@@ -39,8 +39,8 @@ VIEWS = {
     # short roads of sixteen vertices, each within a 40 m square
     "fx_roads": ("orders", """
         SELECT CAST(floor(o_orderkey/16.0E0) AS BIGINT) AS road_id, o_orderkey % 16 AS seq,
-               CAST((CAST(floor(o_orderkey/16.0E0) AS BIGINT)*7919) % 10007 AS DOUBLE)/10 + CAST((o_orderkey*7919) % 401 AS DOUBLE)/10 AS x,
-               CAST((CAST(floor(o_orderkey/16.0E0) AS BIGINT)*104729) % 10007 AS DOUBLE)/10 + CAST((o_orderkey*104729) % 401 AS DOUBLE)/10 AS z,
+               CAST((CAST(floor(o_orderkey/16.0E0) AS BIGINT)*7919) % 10007 AS DOUBLE)/10 + CAST((o_orderkey*7919 + (o_orderkey % 1009)*(o_orderkey % 1009)) % 401 AS DOUBLE)/10 AS x,
+               CAST((CAST(floor(o_orderkey/16.0E0) AS BIGINT)*104729) % 10007 AS DOUBLE)/10 + CAST((o_orderkey*104729 + (o_orderkey % 1013)*(o_orderkey % 1013)) % 401 AS DOUBLE)/10 AS z,
                CAST(o_totalprice AS DOUBLE)/10000 AS y, o_orderkey,
                CASE CAST(floor(o_orderkey/16.0E0) AS BIGINT) % 5 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary'
                     WHEN 2 THEN 'tertiary' WHEN 3 THEN 'residential' ELSE 'service' END AS class,

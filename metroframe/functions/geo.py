@@ -129,8 +129,8 @@ def stateplane_ky_to_lonlat(x_ft: Column, y_ft: Column) -> tuple[Column, Column]
     chi = F.lit(math.pi / 2) - 2 * F.atan(t)
     phi = chi
     for _ in range(5):
-        s = F.lit(e) * F.sin(phi)
-        phi = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(e / 2)))
+        # exp(-e atanh(e sin phi)) is the usual ((1 - e sin phi)/(1 + e sin phi))^(e/2) with phi used once
+        phi = F.lit(math.pi / 2) - 2 * F.atan(t * F.exp(F.lit(-e) * F.atanh(F.lit(e) * F.sin(phi))))
     lon = F.degrees(F.atan2(dx, dy) / F.lit(n)) + F.lit(KY_LON0)
     return lon, F.degrees(phi)
 

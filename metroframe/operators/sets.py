@@ -53,43 +53,37 @@ def spacing_suppress(df: DataFrame, r: float, id_col: str, priority: Sequence[Co
     """Greedy thinning: in ``priority`` order keep a point if no kept point is within ``r``.
 
     Adds ``kept``.  All points of a cell of side r/sqrt(2) exclude each other, so a
-    round looks only at the best open point of each cell: it is kept when it leads the
-    24 cells around.  Then points near the newly kept ones close.  At most one kept
-    point per cell keeps every step linear, however crowded a cell is.
-    ``closed`` counts a distance of exactly ``r`` as near.
+    round tries only the best open point of each cell: it is kept when no open point
+    within ``r`` comes before it, and then closes the points near it.  A point meets at
+    most 25 candidates, so a round is linear however crowded a cell is.
+    ``closed`` counts a distance of exactly ``r`` as near.  Loop.
     """
     side = r / 2**0.5
     rank = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(priority)], F.col(id_col).alias("id"))
-    state = materialize(
-        df.select(
-            F.col(id_col).alias("_id"), F.col("x").alias("_x"), F.col("z").alias("_z"), rank.alias("_p"),
-            F.floor(F.col("x") / side).alias("_cx"), F.floor(F.col("z") / side).alias("_cz"),
-        )
-    )
-    offsets = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
-    decided = None
+    cell = F.floor(F.col("x") / side).alias("_cx"), F.floor(F.col("z") / side).alias("_cz")
+    state = materialize(df.select(F.col(id_col).alias("_id"), F.col("x").alias("_x"), F.col("z").alias("_z"), rank.alias("_p"), *cell))
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps]))
+    won = None
     while not state.isEmpty():
-        lead = state.groupBy("_cx", "_cz").agg(F.min_by(F.struct("_id", "_x", "_z", "_p"), "_p").alias("b"))
-        spread = lead.select("b", around.alias("s"), "_cx", "_cz").select(
-            (F.col("_cx") + F.col("s.i")).alias("_cx"), (F.col("_cz") + F.col("s.j")).alias("_cz"), F.col("b._p").alias("_q")
-        )
-        rival = spread.groupBy("_cx", "_cz").agg(F.min("_q").alias("_q"))
-        winners = lead.join(rival, ["_cx", "_cz"]).where(F.col("b._p") == F.col("_q")).select("_cx", "_cz", "b.*")
-        winners = materialize(winners)
-        reach = winners.select(
-            F.col("_id").alias("_wid"), F.col("_x").alias("_wx"), F.col("_z").alias("_wz"), around.alias("s"), "_cx", "_cz"
-        ).select(
-            "_wid", "_wx", "_wz", (F.col("_cx") + F.col("s.i")).alias("_cx"), (F.col("_cz") + F.col("s.j")).alias("_cz")
+        lead = state.groupBy("_cx", "_cz").agg(F.min_by(F.struct("_id", "_x", "_z", "_p"), "_p").alias("c"))
+        tried = lead.select("c", around.alias("s"), "_cx", "_cz").select(
+            "c", (F.col("_cx") + F.col("s.i")).alias("_cx"), (F.col("_cz") + F.col("s.j")).alias("_cz")
         )
-        dx, dz = F.col("_x") - F.col("_wx"), F.col("_z") - F.col("_wz")
+        dx, dz = F.col("_x") - F.col("c._x"), F.col("_z") - F.col("c._z")
         d2 = dx * dx + dz * dz
-        closes = (d2 <= r * r) if closed else (d2 < r * r)
-        gone = state.join(reach, ["_cx", "_cz"]).where(closes | (F.col("_id") == F.col("_wid"))).select("_id").distinct()
-        won = winners.select(F.col("_id").alias(id_col))
-        decided = won if decided is None else decided.unionByName(won)
+        near = (d2 <= r * r) if closed else (d2 < r * r)
+        pairs = materialize(
+            state.join(tried, ["_cx", "_cz"]).where(near | (F.col("_id") == F.col("c._id")))
+            .select(F.col("c._id").alias("_c"), "_id", (F.col("_p") < F.col("c._p")).alias("_before"))
+        )
+        kept = pairs.groupBy("_c").agg(F.bool_or("_before").alias("_b")).where("not _b").select("_c")
+        gone = pairs.join(kept, "_c", "left_semi").select("_id").distinct()
+        won = kept if won is None else won.unionByName(kept)
         state = materialize(state.join(gone, "_id", "left_anti"))
-    flags = (decided if decided is not None else df.select(id_col).limit(0)).withColumn("kept", F.lit(True))
+    if won is None:
+        return df.withColumn("kept", F.lit(True))
+    flags = won.select(F.col("_c").alias(id_col), F.lit(True).alias("kept"))
     return df.join(flags, id_col, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
