@@ -163,11 +163,11 @@ def grid_nearest_fill(t):
 
 NODES = {"cols": 21, "rows": 21, "x0": 0.0, "z0": 0.0, "cell": 50.0}
 _NODE_SQL = """, node AS (SELECT CAST(floor(x/50+0.5) AS BIGINT) AS i, CAST(floor(z/50+0.5) AS BIGINT) AS j, avg(c_acctbal) AS v FROM fx_sites
-  WHERE site_id % 3 = 0 GROUP BY ALL)"""
+  WHERE c_acctbal < 4000 GROUP BY ALL)"""
 
 
 def _nodes(t):
-    s = t.sites.where("site_id % 3 = 0")
+    s = t.sites.where("c_acctbal < 4000")
     return s.groupBy(F.floor(F.col("x") / 50 + 0.5).alias("i"), F.floor(F.col("z") / 50 + 0.5).alias("j")).agg(F.avg("c_acctbal").alias("v"))
 
 
@@ -308,9 +308,9 @@ def dbscan(t):
 
 
 @query(with_views("roads").replace("WITH ", "WITH RECURSIVE ", 1) + """,
- core AS (SELECT x, z, min(o_orderkey) AS id0, floor(x/3) AS cx, floor(z/3) AS cz, row_number() OVER (ORDER BY x, z) AS i FROM fx_roads WHERE seq IN (0, 8) GROUP BY x, z)"""
+ core AS (SELECT x, z, min(o_orderkey) AS id0, floor(x/3) AS cx, floor(z/3) AS cz, row_number() OVER (ORDER BY x, z) AS i FROM fx_roads GROUP BY x, z)"""
        + _LINK.replace("RR", "9") + """, lab AS (SELECT rep, min(id0) AS cluster FROM comp JOIN core USING (i) GROUP BY rep)
- SELECT f.o_orderkey, lab.cluster FROM fx_roads f JOIN core c ON c.x = f.x AND c.z = f.z JOIN comp USING (i) JOIN lab USING (rep) WHERE f.seq IN (0, 8)""")
+ SELECT f.o_orderkey, lab.cluster FROM fx_roads f JOIN core c ON c.x = f.x AND c.z = f.z JOIN comp USING (i) JOIN lab USING (rep)""")
 def cluster_within(t):
     """Single-link groups of junction candidates within 3 m."""
-    return G.cluster_within(t.roads.where("seq in (0, 8)").select("o_orderkey", "x", "z"), 3.0, "o_orderkey")
+    return G.cluster_within(t.roads.select("o_orderkey", "x", "z"), 3.0, "o_orderkey")

@@ -340,20 +340,20 @@ def nulls_last_order(t):
 
 @query("SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_name")
 def union_keep_last(t):
-    p = t.part.select("p_name", "p_partkey")
-    return O.union_keep_last([p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 0"), p], ["p_name"], ["p_partkey"])
+    p = t.part.select("p_name", "p_partkey", "p_size")
+    return O.union_keep_last([p.where("p_size <= 25").drop("p_size"), p.where("p_size > 25").drop("p_size"), p.drop("p_size")], ["p_name"], ["p_partkey"])
 
 
-@query("SELECT p_name, coalesce(min(p_partkey) FILTER (p_partkey % 2 = 0), min(p_partkey)) AS p_partkey FROM part GROUP BY p_name")
+@query("SELECT p_name, coalesce(min(p_partkey) FILTER (p_size <= 25), min(p_partkey)) AS p_partkey FROM part GROUP BY p_name")
 def union_keep_first(t):
-    p = t.part.select("p_name", "p_partkey")
-    return O.union_keep_first([p.where("p_partkey % 2 = 0"), p], ["p_name"], ["p_partkey"])
+    p = t.part.select("p_name", "p_partkey", "p_size")
+    return O.union_keep_first([p.where("p_size <= 25").drop("p_size"), p.drop("p_size")], ["p_name"], ["p_partkey"])
 
 
-@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer UNION ALL SELECT -c_custkey-1, c_acctbal FROM customer WHERE c_custkey % 5 = 0")
+@query("SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer UNION ALL SELECT -c_custkey-1, c_acctbal FROM customer WHERE c_acctbal < 500")
 def upsert(t):
     base = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = base.where("k % 3 = 0").withColumn("v", F.col("v") + 1).unionByName(base.where("k % 5 = 0").withColumn("k", -F.col("k") - 1))
+    new = base.where("v > 5000").withColumn("v", F.col("v") + 1).unionByName(base.where("v < 500").withColumn("k", -F.col("k") - 1))
     return O.upsert(base, new, ["k"])
 
 

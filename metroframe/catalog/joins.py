@@ -17,6 +17,11 @@ from .registry import query, r
 _INSIDE = "p.x BETWEEN b.cx-b.half AND b.cx+b.half AND p.z BETWEEN b.cz-b.half AND b.cz+b.half"
 
 
+def lots(t):
+    """Squares around the sites."""
+    return t.sites.select(F.col("site_id").alias("box_id"), F.col("x").alias("cx"), F.col("z").alias("cz"), (F.lit(3.0) + F.col("c_nationkey") * 0.25).alias("half"))
+
+
 def rings(t):
     return t.boxes.select("box_id", square().alias("ring"))
 
@@ -34,28 +39,25 @@ def points_in_polygons_first(t):
     return D.points_in_polygons(places, rings(t), mode="first", order="box_id", point_id="place").select("x", "z", "box_id")
 
 
-_PAIR = """, q AS (SELECT a.box_id AS a, b.box_id AS b, least(a.cx+a.half, b.cx+b.half)-greatest(a.cx-a.half, b.cx-b.half) AS ox,
+_PAIR = """, lots AS (SELECT site_id AS box_id, x AS cx, z AS cz, 3 + c_nationkey*0.25E0 AS half FROM fx_sites), q AS (SELECT a.box_id AS a, b.box_id AS b, least(a.cx+a.half, b.cx+b.half)-greatest(a.cx-a.half, b.cx-b.half) AS ox,
   least(a.cz+a.half, b.cz+b.half)-greatest(a.cz-a.half, b.cz-b.half) AS oz, a.cx AS acx, a.cz AS acz, b.cx AS bcx, b.cz AS bcz, a.half AS ah, b.half AS bh
-  FROM fx_boxes a JOIN fx_boxes b ON a.cx-a.half <= b.cx+b.half AND a.cx+a.half >= b.cx-b.half AND a.cz-a.half <= b.cz+b.half AND a.cz+a.half >= b.cz-b.half
-  WHERE a.box_id % 2 = 0 AND b.box_id % 2 = 1)"""
+  FROM fx_boxes a JOIN lots b ON a.cx-a.half <= b.cx+b.half AND a.cx+a.half >= b.cx-b.half AND a.cz-a.half <= b.cz+b.half AND a.cz+a.half >= b.cz-b.half)"""
 
 
-@query(with_views("boxes") + _PAIR + """, o AS (SELECT a, b, greatest(ox,0)*greatest(oz,0) AS area, 4*ah*ah AS pa, 4*bh*bh AS pb FROM q)
+@query(with_views("boxes", "sites") + _PAIR + """, o AS (SELECT a, b, greatest(ox,0)*greatest(oz,0) AS area, 4*ah*ah AS pa, 4*bh*bh AS pb FROM q)
  SELECT a AS a_id, b AS b_id, round(area,4)+0.0 AS area, round(area/(pa+pb-area),6)+0.0 AS iou FROM o WHERE area > 0 AND area >= 0.1037*least(pa,pb)""")
 def polygon_overlap(t):
     """Footprint pairs sharing a tenth of the smaller one, with IoU."""
-    ring = rings(t)
-    a = ring.where("box_id % 2 = 0").select(F.col("box_id").alias("a_id"), F.col("ring").alias("a_ring"))
-    b = ring.where("box_id % 2 = 1").select(F.col("box_id").alias("b_id"), F.col("ring").alias("b_ring"))
+    a = rings(t).select(F.col("box_id").alias("a_id"), F.col("ring").alias("a_ring"))
+    b = lots(t).select(F.col("box_id").alias("b_id"), square().alias("b_ring"))
     return V.polygon_overlap(a, b, 0.1037).select("a_id", "b_id", r("area", 4).alias("area"), r("iou").alias("iou"))
 
 
 @query()
 def overlap_fraction_with_union(t):
-    """Share of even footprints under the union of odd ones (no double count)."""
-    ring = rings(t)
-    a = ring.where("box_id % 2 = 0").select(F.col("box_id").alias("a_id"), F.col("ring").alias("a_ring"))
-    b = ring.where("box_id % 2 = 1").select(F.col("ring").alias("b_ring"))
+    """Share of each footprint under the union of all lots (no double count)."""
+    a = rings(t).select(F.col("box_id").alias("a_id"), F.col("ring").alias("a_ring"))
+    b = lots(t).select(square().alias("b_ring"))
     return V.overlap_fraction_with_union(a, b).withColumn("frac", r("frac"))
 
 
@@ -67,12 +69,12 @@ def _aabb(df, p: str, wide):
     )
 
 
-@query(with_views("boxes") + _PAIR + """ SELECT a AS a_id, b AS b_id, CASE WHEN ox < oz THEN CASE WHEN acx >= bcx THEN 1.0E0 ELSE -1.0E0 END ELSE 0.0E0 END AS nx,
+@query(with_views("boxes", "sites") + _PAIR + """ SELECT a AS a_id, b AS b_id, CASE WHEN ox < oz THEN CASE WHEN acx >= bcx THEN 1.0E0 ELSE -1.0E0 END ELSE 0.0E0 END AS nx,
  CASE WHEN ox < oz THEN 0.0E0 ELSE CASE WHEN acz >= bcz THEN 1.0E0 ELSE -1.0E0 END END AS nz, round(least(ox,oz),6)+0.0 AS pen FROM q WHERE round(ox,7) > 0 AND round(oz,7) > 0 AND abs(ox-oz) > 1e-7""")
 def aabb_overlap(t):
     """Overlapping box pairs with the push-out normal; exact ties of the two axes are left out of the check."""
     half = F.col("half")
-    a, b = _aabb(t.boxes.where("box_id % 2 = 0"), "a", half), _aabb(t.boxes.where("box_id % 2 = 1"), "b", half)
+    a, b = _aabb(t.boxes, "a", half), _aabb(lots(t), "b", half)
     out = D.aabb_overlap(a, b)
     tie = L.keep_set(out, _axis_ties(t), ["a_id", "b_id"])
     return tie.where(F.round("pen", 7) > 0).withColumn("pen", r("pen"))
@@ -81,8 +83,8 @@ def aabb_overlap(t):
 def _axis_ties(t):
     from ..plans.cells import boxes_meet
 
-    a = _aabb(t.boxes.where("box_id % 2 = 0"), "a", F.col("half"))
-    b = _aabb(t.boxes.where("box_id % 2 = 1"), "b", F.col("half"))
+    a = _aabb(t.boxes, "a", F.col("half"))
+    b = _aabb(lots(t), "b", F.col("half"))
     m = boxes_meet(a, b, ("a_x0", "a_x1", "a_z0", "a_z1"), ("b_x0", "b_x1", "b_z0", "b_z1"))
     ox = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
     oz = F.least("a_z1", "b_z1") - F.greatest("a_z0", "b_z0")
@@ -205,29 +207,27 @@ def nearest_segment(t):
 
 
 def _route(t):
-    return t.orders.where("o_orderkey % 97 = 0").select(
-        F.col("o_orderkey").alias("seq"), ((F.col("o_orderkey") * 7919) % 10007).cast("double").alias("x"),
-        ((F.col("o_orderkey") * 104729) % 10007).cast("double").alias("z"),
-    )
+    """One long route through all box centres."""
+    return t.boxes.select(F.col("box_id").alias("seq"), (F.col("cx") * 10).alias("x"), (F.col("cz") * 10).alias("z"))
 
 
-_ROUTE = """, rt AS (SELECT o_orderkey AS seq, CAST((o_orderkey*7919) % 10007 AS DOUBLE) AS x, CAST((o_orderkey*104729) % 10007 AS DOUBLE) AS z FROM orders WHERE o_orderkey % 97 = 0),
+_ROUTE = """, rt AS (SELECT box_id AS seq, cx*10 AS x, cz*10 AS z FROM fx_boxes),
  rs AS (SELECT seq, x AS ax, z AS az, lead(x) OVER (ORDER BY seq) AS bx, lead(z) OVER (ORDER BY seq) AS bz FROM rt),
  rl AS (SELECT *, sqrt((bx-ax)*(bx-ax)+(bz-az)*(bz-az)) AS len FROM rs WHERE bx IS NOT NULL),
  rc AS (SELECT *, sum(len) OVER (ORDER BY seq) - len AS s0 FROM rl)"""
 
 
-@query(with_views("targets") + _ROUTE + """, c AS (SELECT target_id, t.x*10 AS x, t.z*10 AS z, rc.*, CASE WHEN len = 0 THEN 0 ELSE least(greatest(((t.x*10-ax)*(bx-ax)+(t.z*10-az)*(bz-az))/(len*len), 0.0), 1.0) END AS tt FROM fx_targets t, rc),
+@query(with_views("targets", "boxes") + _ROUTE + """, c AS (SELECT target_id, t.x*10 AS x, t.z*10 AS z, rc.*, CASE WHEN len = 0 THEN 0 ELSE least(greatest(((t.x*10-ax)*(bx-ax)+(t.z*10-az)*(bz-az))/(len*len), 0.0), 1.0) END AS tt FROM fx_targets t, rc),
  d AS (SELECT *, (x-ax-tt*(bx-ax))*(x-ax-tt*(bx-ax))+(z-az-tt*(bz-az))*(z-az-tt*(bz-az)) AS d2 FROM c)
  SELECT target_id, round(arg_min(s0+tt*len, {'d': d2, 'q': seq}),3)+0.0 AS s, round(sqrt(min(d2)),4)+0.0 AS lateral FROM d GROUP BY target_id""")
 def project_on_route(t):
     """Arc length and lateral distance of targets on one long route."""
     pts = t.targets.select("target_id", (F.col("x") * 10).alias("x"), (F.col("z") * 10).alias("z"))
-    out = D.project_on_route(pts, _route(t), "target_id", block_of("seq", 4096))
+    out = D.project_on_route(pts, _route(t), "target_id", block_of("seq", 512))
     return out.select("target_id", r("s", 3).alias("s"), r("lateral", 4).alias("lateral"))
 
 
-@query(with_views("targets") + _ROUTE + """, q AS (SELECT DISTINCT CAST(target_id*977 AS DOUBLE) AS s FROM fx_targets), tot AS (SELECT sum(len) AS total FROM rl),
+@query(with_views("targets", "boxes") + _ROUTE + """, q AS (SELECT DISTINCT CAST(target_id*977 AS DOUBLE) AS s FROM fx_targets), tot AS (SELECT sum(len) AS total FROM rl),
  c AS (SELECT q.s, least(greatest(q.s, 0.0), total) AS ss, rc.* FROM q, tot, rc WHERE s0+len + 1e-9 >= least(greatest(q.s, 0.0), total)),
  f AS (SELECT s, arg_min({'x': ax+(bx-ax)*CASE WHEN len=0 THEN 0 ELSE least(greatest((ss-s0)/len,0.0),1.0) END, 'z': az+(bz-az)*CASE WHEN len=0 THEN 0 ELSE least(greatest((ss-s0)/len,0.0),1.0) END}, seq) AS p FROM c GROUP BY s)
  SELECT s, round(p.x,4)+0.0 AS x, round(p.z,4)+0.0 AS z FROM f""")
@@ -236,7 +236,7 @@ def point_at(t):
     from ..operators.polylines import point_at as at
 
     q = t.targets.select((F.col("target_id") * 977).cast("double").alias("s")).distinct()
-    return at(q, _route(t), block=block_of("seq", 4096)).select("s", r("x", 4).alias("x"), r("z", 4).alias("z"))
+    return at(q, _route(t), block=block_of("seq", 512)).select("s", r("x", 4).alias("x"), r("z", 4).alias("z"))
 
 
 @query(with_views("poses", "targets") + """, c AS (SELECT event_id, target_id, (t.x/5-p.x)*cos(yaw) + (t.z/5-p.z)*(-sin(yaw)) AS fwd, -(t.x/5-p.x)*(-sin(yaw)) + (t.z/5-p.z)*cos(yaw) AS side FROM fx_poses p, fx_targets t),
@@ -336,9 +336,8 @@ def boxes_intersect(t):
 
 def overlap_parts(t):
     """Scored footprints, matches and known total of a comparison."""
-    ring = rings(t)
-    a = ring.where("box_id % 2 = 0").select(F.col("box_id").alias("a_id"), F.col("ring").alias("a_ring"))
-    b = ring.where("box_id % 2 = 1").select(F.col("box_id").alias("b_id"), F.col("ring").alias("b_ring"))
+    a = rings(t).select(F.col("box_id").alias("a_id"), F.col("ring").alias("a_ring"))
+    b = lots(t).select(F.col("box_id").alias("b_id"), square().alias("b_ring"))
     m = V.polygon_overlap(a, b, 0.1037)
     best = m.groupBy("a_id").agg(F.count(F.lit(1)).alias("overlaps"), F.round(F.max("iou"), 3).alias("best_iou"))
     scored = a.select("a_id").join(best, "a_id", "left").select(
@@ -349,14 +348,14 @@ def overlap_parts(t):
     return scored, m.select(F.col("b_id").alias("known_id")), b.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_views("boxes") + _PAIR + """, o AS (SELECT a, b, greatest(ox,0)*greatest(oz,0) AS area, 4*ah*ah AS pa, 4*bh*bh AS pb FROM q),
+@query(with_views("boxes", "sites") + _PAIR + """, o AS (SELECT a, b, greatest(ox,0)*greatest(oz,0) AS area, 4*ah*ah AS pa, 4*bh*bh AS pb FROM q),
  m AS (SELECT a, b, area/(pa+pb-area) AS iou FROM o WHERE area > 0 AND area >= 0.1037*least(pa,pb)),
  s AS (SELECT x.box_id AS a, count(m.b) AS nov, coalesce(round(max(iou),3),0.0) AS best_iou, CASE WHEN x.box_id % 5 = 0 THEN 'lidar_only' ELSE 'osm+lidar' END AS provenance, (x.box_id % 20)/100.0 AS road_frac
-  FROM fx_boxes x LEFT JOIN m ON m.a = x.box_id WHERE x.box_id % 2 = 0 GROUP BY x.box_id)
+  FROM fx_boxes x LEFT JOIN m ON m.a = x.box_id GROUP BY x.box_id)
  SELECT count(*) AS extracted, count(*) FILTER (nov > 0) AS matched, count(*) FILTER (nov > 1) AS merged, CAST(coalesce(sum(nov) FILTER (nov > 1),0) AS BIGINT) AS swallowed,
  count(*) FILTER (nov = 0 AND provenance <> 'lidar_only') AS spurious, count(*) FILTER (provenance = 'lidar_only') AS lidar_only, count(*) FILTER (road_frac >= 0.05) AS road_crossing,
- (SELECT count(DISTINCT b) FROM m) AS known_matched, (SELECT count(*) FROM fx_boxes WHERE box_id % 2 = 1) AS known, list_sort(list(best_iou) FILTER (nov > 0))[CAST(floor(count(*) FILTER (nov > 0)/2) AS BIGINT)+1] AS median_iou,
- (SELECT count(*) FROM fx_boxes WHERE box_id % 2 = 1) - (SELECT count(DISTINCT b) FROM m) AS known_missed FROM s""")
+ (SELECT count(DISTINCT b) FROM m) AS known_matched, (SELECT count(*) FROM lots) AS known, list_sort(list(best_iou) FILTER (nov > 0))[CAST(floor(count(*) FILTER (nov > 0)/2) AS BIGINT)+1] AS median_iou,
+ (SELECT count(*) FROM lots) - (SELECT count(DISTINCT b) FROM m) AS known_missed FROM s""")
 def overlap_summary(t):
     """Totals of a footprint comparison, with the upper median IoU."""
     return A.overlap_summary(*overlap_parts(t))

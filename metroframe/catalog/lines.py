@@ -213,10 +213,10 @@ def prominent_per_cell(t):
     return out.select("cx", "cz", "name", r("length", 4).alias("length"))
 
 
-@query(with_views("roads") + """, i AS (SELECT DISTINCT name FROM fx_roads WHERE road_id % 10 = 0) SELECT DISTINCT road_id, name FROM fx_roads WHERE class IN ('motorway','trunk','primary','secondary','tertiary','motorway_link','trunk_link','primary_link') AND name NOT IN (SELECT name FROM i)""")
+@query(with_views("roads") + """, i AS (SELECT DISTINCT name FROM fx_roads WHERE name LIKE '%7') SELECT DISTINCT road_id, name FROM fx_roads WHERE class IN ('motorway','trunk','primary','secondary','tertiary','motorway_link','trunk_link','primary_link') AND name NOT IN (SELECT name FROM i)""")
 def label_candidates(t):
     r_ = t.roads.select("road_id", "name", "class").distinct()
-    return A.label_candidates(r_, r_.where("road_id % 10 = 0")).select("road_id", "name")
+    return A.label_candidates(r_, r_.where("name like '%7'")).select("road_id", "name")
 
 
 @query(with_views("roads") + """, e AS (SELECT name, road_id, count(*) AS n, CAST(round_even(arg_min(x,seq)/200,0) AS BIGINT) AS a, CAST(round_even(arg_min(z,seq)/200,0) AS BIGINT) AS b, CAST(round_even(arg_max(x,seq)/200,0) AS BIGINT) AS c, CAST(round_even(arg_max(z,seq)/200,0) AS BIGINT) AS d FROM fx_roads GROUP BY name, road_id)

@@ -108,8 +108,8 @@ def nearest_leg(t):
 
 
 @query(_LEGS + """, c AS (SELECT p.event_id, p.t, g.*, (g.x-p.x)*cos(yaw)-(g.z-p.z)*sin(yaw) AS fwd, (g.x-p.x)*sin(yaw)+(g.z-p.z)*cos(yaw) AS side FROM p, g),
- n AS (SELECT event_id, t, arg_min({'key': leg_key, 'k': k, 'is_a': is_a}, {'f': fwd, 'l': leg_key}) AS best, min(fwd) AS d FROM c WHERE fwd > 0 AND fwd <= 22 AND abs(side) <= 4 GROUP BY event_id, t)
- SELECT n.event_id, best.key AS ahead_id, round(d,6)+0.0 AS ahead_dist, CASE WHEN best.is_a THEN iv.a ELSE iv.b END AS ahead_signal FROM n JOIN pl ON pl.k = best.k JOIN iv ON iv.k = best.k AND (t+pl.off) % pl.cycle >= iv.e-iv.d AND (t+pl.off) % pl.cycle < iv.e""")
+ n AS (SELECT event_id, t, arg_min({'key': leg_key, 'k': k, 'is_a': is_a}, {'f': fwd, 'l': leg_key}) AS best, min(fwd) AS far FROM c WHERE fwd > 0 AND fwd <= 22 AND abs(side) <= 4 GROUP BY event_id, t)
+ SELECT n.event_id, best.key AS ahead_id, round(far,6)+0.0 AS ahead_dist, CASE WHEN best.is_a THEN iv.a ELSE iv.b END AS ahead_signal FROM n JOIN pl ON pl.k = best.k JOIN iv ON iv.k = best.k AND (t+pl.off) % pl.cycle >= iv.e-iv.d AND (t+pl.off) % pl.cycle < iv.e""")
 def signal_ahead(t):
     """Stop line and its state in the lane ahead."""
     p = t.poses.select("event_id", "x", "z", "yaw", F.unix_seconds("ts").cast("double").alias("t"))
