@@ -32,7 +32,7 @@ class _Latest(StatefulProcessor):
         self.key, self.cols, self.types, self.ttl_ms, self.words = key, cols, types, int(ttl * 1000), words
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"`{c}` {self.types[c]}" for c in self.cols)
+        fields = ", ".join(f"v{i} {self.types[c]}" for i, c in enumerate(self.cols))
         self.handle = handle
         self.state = handle.getValueState("latest", f"_ms bigint{', ' + fields if fields else ''}")
 
@@ -125,7 +125,7 @@ class _Tracker(StatefulProcessor):
         self.merge, self.assoc, self.lost = merge, assoc, lost
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = "x double, z double, ax double, az double, heading double, frame bigint, cls int, quad int"
+        fields = "x double, z double, ax double, az double, heading double, frame bigint, kind int, quad int"
         self.tracks = handle.getMapState("tracks", "tid int", fields)
         self.next = handle.getValueState("next", "tid int")
 
