@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.linkage import RING, cell_boxes, cell_key, components, in_cells, linked_cells, offsets
+from ..plans.linkage import RING, cell_boxes, cell_key, components, in_cells, linked_cells, offsets, strip
 from ..session import materialize
 
 
@@ -19,7 +19,7 @@ def cluster_within(points: DataFrame, r: float, id_col: str = "id") -> DataFrame
     """Single-link components of points at most ``r`` apart: id, cluster (lowest id).  Loop."""
     pts = _places(points, r, id_col)
     cells = pts.select(cell_key().alias("id")).distinct()
-    comp = components(cells, linked_cells(pts, r))
+    comp = components(cells, linked_cells(pts, r), strip())
     tagged = pts.withColumn("cell", cell_key()).join(comp.select(F.col("id").alias("cell"), "comp"), "cell")
     names = tagged.groupBy("comp").agg(F.min("id0").alias("cluster"))
     named = tagged.join(names, "comp").select("x", "z", "cluster")
@@ -63,7 +63,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id")
     core = materialize(
         pts.join(dense_cells, ["_gx", "_gz"], "left_semi").unionByName(pts.join(sparse_core, ["x", "z"], "left_semi").select(*pts.columns))
     )
-    comp = components(core.select(cell_key().alias("id")).distinct(), linked_cells(core, eps))
+    comp = components(core.select(cell_key().alias("id")).distinct(), linked_cells(core, eps), strip())
     core_cells = core.withColumn("cell", cell_key()).join(comp.select(F.col("id").alias("cell"), "comp"), "cell")
     names = core_cells.groupBy("comp").agg(F.min("id0").alias("cluster"))
     labelled = materialize(core_cells.join(names, "comp").select("x", "z", "_gx", "_gz", "cluster"))

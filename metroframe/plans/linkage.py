@@ -78,8 +78,16 @@ def linked_cells(pts: DataFrame, r: float) -> DataFrame:
     pairs = open_.where(small).select(F.col("p_key").alias("a"), F.col("q_key").alias("b"))
     dx, dz = F.col("ax") - F.col("bx"), F.col("az") - F.col("bz")
     direct = pairs.join(pa, "a").join(pb, "b").where(dx * dx + dz * dz <= r * r).select("a", "b").distinct()
+    links = sure.unionByName(direct)
+    if (boxes.agg(F.max("np")).first()[0] or 0) ** 2 <= _DIRECT:
+        return links
     big = open_.where(~small).select(F.col("p_key").alias("a"), F.col("q_key").alias("b"))
-    return sure.unionByName(direct).unionByName(_halved(pts, big, r))
+    return links.unionByName(_halved(pts, big, r))
+
+
+def strip(key: str = "a") -> Column:
+    """Column of cells a key lies in, sixteen cells wide."""
+    return F.floor(F.col(key) / F.lit(4294967296 * 16))
 
 
 def _halved(pts: DataFrame, pairs: DataFrame, r: float) -> DataFrame:
@@ -125,16 +133,17 @@ def _halved(pts: DataFrame, pairs: DataFrame, r: float) -> DataFrame:
             return links
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, near: Column | None = None) -> DataFrame:
     """Connected components: (id, comp) with comp the lowest id.  Loop.
 
-    Every task first reduces its own range of edges to stars.  Then each round takes
+    Every task first reduces its own edges to stars; ``near`` is a column of ``a`` that
+    brings neighbouring edges together, to let it reduce more.  Then each round takes
     the lowest label among neighbours, moves whole trees with their root, and jumps
     along labels twice, so long chains close in a logarithmic number of rounds.
     """
     kind = dict(edges.dtypes)["a"]
-    stars = edges.select("a", "b").where("a != b").repartitionByRange("a").mapInPandas(_stars, f"src {kind}, dst {kind}")
-    both = materialize(stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    placed = edges.select("a", "b").where("a != b").repartition(F.col("a") if near is None else near)
+    both = materialize(placed.mapInPandas(_stars, f"src {kind}, dst {kind}"))
     labels = nodes.select("id").distinct().withColumn("comp", F.col("id"))
     if both.isEmpty():
         return labels
@@ -158,7 +167,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over one task's edges: every touched node with its lowest local node."""
+    """Union-find over one task's edges: every touched node with its lowest local node, both ways."""
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -176,4 +185,5 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[lo] = lo
             parent[hi] = lo
     pairs = [(v, root(v)) for v in list(parent)]
-    yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["src", "dst"])
+    pairs = [p for p in pairs if p[0] != p[1]]
+    yield pd.DataFrame(pairs + [(b, a) for a, b in pairs], columns=["src", "dst"])

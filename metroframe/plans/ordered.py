@@ -133,21 +133,23 @@ def ordered_fold(
     order: Sequence[str],
     schema: str,
     step: Callable[[dict, pd.DataFrame, np.ndarray], pd.DataFrame],
-    group: Sequence[str] = (),
+    group: Sequence[str] | None = None,
 ) -> DataFrame:
     """A left fold for steps that are sequential by nature.
 
     Rows arrive sorted, one Arrow batch at a time, so memory stays at a batch
     however long a key is.  ``step(state, rows, fresh)`` changes ``state`` in place
     and returns output rows; ``fresh`` marks the first row of each key.  Rows that
-    share the ``group`` columns are never split between two calls.
+    share key and ``group`` columns are never split between two calls; with
+    ``group=()`` that holds for whole keys.
     """
-    keys, order, group = list(keys), list(order), list(group)
+    keys, order = list(keys), list(order)
+    unit = None if group is None else keys + list(group)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}
         last: tuple | None = None
-        for rows in _whole_groups(batches, keys + group) if group else batches:
+        for rows in _whole_groups(batches, unit) if unit else batches:
             if rows.empty:
                 continue
             fresh = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()

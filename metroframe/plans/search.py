@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _MAX_DEPTH = 15
 _LEAF = 32
 
@@ -68,6 +70,7 @@ def best_item(
     exclusive cap on the score.  ``left`` rows need a unique ``left_id``.
     """
     on, tie, payload = list(on), list(tie), list(payload)
+    items = materialize(items)  # read once per pyramid level
     ext = items.agg(
         F.min("_mx").alias("x0"), F.max("_mx").alias("x1"), F.min("_mz").alias("z0"),
         F.max("_mz").alias("z1"), F.count(F.lit(1)).alias("n"),

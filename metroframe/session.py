@@ -17,10 +17,13 @@ _RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # several operators multiply rows after a shuffle, so small partitions still keep all cores busy
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     # recording the Python call site of every expression costs more than planning it
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 _SPARK_DEFAULTS = {
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1MB",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
     "spark.sql.execution.arrow.pyspark.enabled": "false",
@@ -28,6 +31,13 @@ _SPARK_DEFAULTS = {
 }
 
 
+# how Spark prints its byte-size defaults back
+_BYTES = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": ("268435456b", "256mb"),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": ("1048576b", "1mb"),
+}
+
+
 def get_spark(app: str = "metroframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC time and RocksDB streaming state."""
     builder = SparkSession.builder.appName(app)
@@ -53,7 +63,7 @@ def tune(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
         elif str(current).lower() == _SPARK_DEFAULTS.get(key, "").lower():
             spark.conf.set(key, value)
-        elif key.endswith("ThresholdInBytes") and str(current) in ("268435456b", "256MB"):
+        elif str(current).lower() in _BYTES.get(key, ()):
             spark.conf.set(key, value)
     return spark
 
@@ -72,6 +82,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return _fallback_dir
 
 
+def spread(df: DataFrame, path: str, worth: int = 2_000_000) -> DataFrame:
+    """Split the scan of one larger local file that cannot be split on its own.
+
+    A file with a single row group is one task however many cores there are.  Scans
+    with at least one split per core, and small files, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not os.path.isfile(path) or os.path.getsize(path) < worth or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job by writing the rows to shared storage.
 
