@@ -35,9 +35,11 @@ def points_in_polygons(
     boxed = (
         polys.withColumn("_bx0", x0 - buffer).withColumn("_bx1", x1 + buffer)
         .withColumn("_bz0", z0 - buffer).withColumn("_bz1", z1 + buffer)
+        # two flat arrays cross to Arrow much faster than one of structs
+        .withColumn("_rx", F.transform(ring, lambda p: p["x"])).withColumn("_rz", F.transform(ring, lambda p: p["z"])).drop(ring)
     )
     near = points_in_boxes(points, boxed, x, z, "_bx0", "_bx1", "_bz0", "_bz1").drop("_bx0", "_bx1", "_bz0", "_bz1")
-    hits = _keep_inside(near, x, z, ring, float(buffer))
+    hits = _keep_inside(near, x, z, float(buffer))
     if mode == "all":
         return hits
     rest = [c for c in hits.columns if c != point_id]
@@ -45,20 +47,18 @@ def points_in_polygons(
     return best.select(point_id, "_b.*")
 
 
-def _keep_inside(pairs: DataFrame, x: str, z: str, ring: str, buffer: float) -> DataFrame:
-    """Rows whose point is in the ring or within ``buffer`` of it, tested on flat Arrow arrays."""
-    out = pairs.drop(ring)
+def _keep_inside(pairs: DataFrame, x: str, z: str, buffer: float) -> DataFrame:
+    """Rows whose point is in the ring (_rx, _rz) or within ``buffer`` of it, tested on flat Arrow arrays."""
+    out = pairs.drop("_rx", "_rz")
     names = out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rings = batch.column(ring)
-                sizes = np.diff(rings.offsets.to_numpy())
-                flat = rings.flatten()
+                rx, rz = batch.column("_rx"), batch.column("_rz")
                 inside = rings_hold(
-                    batch.column(x).to_numpy(zero_copy_only=False), batch.column(z).to_numpy(zero_copy_only=False), sizes,
-                    flat.field("x").to_numpy(zero_copy_only=False), flat.field("z").to_numpy(zero_copy_only=False), buffer,
+                    batch.column(x).to_numpy(zero_copy_only=False), batch.column(z).to_numpy(zero_copy_only=False),
+                    np.diff(rx.offsets.to_numpy()), rx.flatten().to_numpy(zero_copy_only=False), rz.flatten().to_numpy(zero_copy_only=False), buffer,
                 )
                 yield batch.select(names).filter(pa.array(inside))
 
