@@ -65,15 +65,19 @@ def _updates(t):
     return T.trip_update_rows(entities(t, _TRIP, "trips"))
 
 
-@query(f"WITH {_UPD} SELECT stop_id, count(*) AS n, list(arrival ORDER BY arrival NULLS LAST, trip_id) AS arrivals FROM u GROUP BY stop_id")
+def _placed(key: str, other: str) -> str:
+    return f"WITH {_UPD} SELECT {key}, arrival, row_number() OVER (PARTITION BY {key} ORDER BY arrival NULLS LAST, {other}) AS pos FROM u"
+
+
+@query(_placed("stop_id", "trip_id"))
 def arrivals_by_stop(t):
     """Arrivals of each stop in order, unknown times last."""
-    return T.arrivals_by_stop(_updates(t)).select("stop_id", F.size("arrivals").cast("long").alias("n"), F.col("arrivals.arrival").alias("arrivals"))
+    return T.arrivals_by_stop(_updates(t)).select("stop_id", "arrival", "pos")
 
 
-@query(f"WITH {_UPD} SELECT trip_id, count(*) AS n, list(arrival ORDER BY arrival NULLS LAST, stop_id) AS arrivals FROM u GROUP BY trip_id")
+@query(_placed("trip_id", "stop_id"))
 def arrivals_by_trip(t):
-    return T.arrivals_by_trip(_updates(t)).select("trip_id", F.size("arrivals").cast("long").alias("n"), F.col("arrivals.arrival").alias("arrivals"))
+    return T.arrivals_by_trip(_updates(t)).select("trip_id", "arrival", "pos")
 
 
 @query(f"WITH {_UPD} SELECT event_id, stop_id, arrival - 1700005000 AS eta_sec, CAST(floor((arrival - 1700005000)/60.0E0 + 0.5) AS BIGINT) AS eta_min FROM u WHERE arrival - 1700005000 > -120 AND arrival - 1700005000 < 3600")

@@ -63,14 +63,13 @@ def simplify(t):
     return s.select("road_id", "before", F.size("p").alias("after"))
 
 
-@query("SELECT o_custkey AS rel_id, count(*) AS rings FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey")
+@query("SELECT o_orderkey AS rel_id, count(*) AS rings FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_orderkey")
 def assemble_rings(t):
-    """Two half rings per order become one closed ring; a lone half (low priority) never closes."""
+    """One relation per order: two half rings close to one ring, a lone half (low priority) never does."""
     k = F.col("o_orderkey")
     a, b = F.array(k * 4, k * 4 + 1, k * 4 + 2), F.array(k * 4, k * 4 + 3, k * 4 + 2)
     part = F.when(F.col("o_orderpriority") == "5-LOW", F.array(a)).otherwise(F.array(a, b))
-    m = t.orders.select(F.col("o_custkey").alias("rel_id"), F.posexplode(part).alias("p", "nodes"), k.alias("ok"))
-    m = m.select("rel_id", (F.col("ok") * 2 + F.col("p")).alias("pos"), "nodes")
+    m = t.orders.select(k.alias("rel_id"), F.posexplode(part).alias("pos", "nodes"))
     return V.assemble_rings(m).groupBy("rel_id").agg(F.count(F.lit(1)).alias("rings"))
 
 

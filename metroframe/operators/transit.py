@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import lonlat_to_scene
 from ..functions.predicates import arrival_in_horizon
 from ..functions.scalars import decode_enum, eta_minutes, eta_seconds, translated_text
+from ..plans.ordered import row_numbers
 
 # Scene origin in UTM 16N: fixed values.
 SCENE_A, SCENE_B = 719242.59, 4212857.25
@@ -68,24 +69,24 @@ def alert_scope(entities: Column, field: str) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<string>"))))
 
 
-def _arrival_lists(updates: DataFrame, key: str) -> DataFrame:
-    """Updates per key in order of arrival, NULL last."""
-    row = F.struct(
-        F.col("arrival").isNull().alias("late"), F.coalesce("arrival", F.lit(0)).alias("order"), "trip_id", "stop_id",
-        "seq", "route_id", "arrival", "departure", "delay",
-    )
-    lists = updates.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("arrivals"))
-    return lists.withColumn("arrivals", F.transform("arrivals", lambda r: r.dropFields("late", "order")))
+def _in_order(updates: DataFrame, key: str) -> DataFrame:
+    """Updates with their 1-based place ``pos`` in their key's list: by arrival, NULL last.
+
+    Rows with a place rather than one array per key, so a busy key is many tasks: the
+    places are counted inside one-hour blocks.
+    """
+    known = updates.where(F.col(key).isNotNull()).withColumn("_late", F.coalesce("arrival", F.lit(2**62)))
+    hour = F.floor(F.col("_late") / 3600)
+    other = "trip_id" if key == "stop_id" else "stop_id"
+    return row_numbers(known, [key], ["_late", other, "seq"], hour, "pos").drop("_late")
 
 
 def arrivals_by_stop(updates: DataFrame) -> DataFrame:
-    """stop_id with its list of updates.  A list per stop is the shape asked for; use
-    ``arrival_rows`` to keep rows."""
-    return _arrival_lists(updates, "stop_id")
+    return _in_order(updates, "stop_id")
 
 
 def arrivals_by_trip(updates: DataFrame) -> DataFrame:
-    return _arrival_lists(updates, "trip_id")
+    return _in_order(updates, "trip_id")
 
 
 def arrival_rows(updates: DataFrame, now: Column, horizon: float = 3600) -> DataFrame:
