@@ -19,15 +19,12 @@ _RUNTIME = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # several operators multiply rows after a shuffle, so small partitions still keep all cores busy
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
-    # recording the Python call site of every expression costs more than planning it
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 _SPARK_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1MB",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
     "spark.sql.execution.arrow.pyspark.enabled": "false",
-    "spark.python.sql.dataFrameDebugging.enabled": "true",
 }
 
 
@@ -43,6 +40,7 @@ def get_spark(app: str = "metroframe", master: str | None = None, **conf: str) -
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # recording the Python call site of every expression costs more than planning it (static setting)
     builder = builder.config("spark.sql.session.timeZone", "UTC").config(
         "spark.python.sql.dataFrameDebugging.enabled", "false"
     ).config(
@@ -58,6 +56,8 @@ def get_spark(app: str = "metroframe", master: str | None = None, **conf: str) -
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session built elsewhere."""
     for key, value in _RUNTIME.items():
+        if not spark.conf.isModifiable(key):
+            continue
         current = spark.conf.get(key, None)
         if key == "spark.sql.session.timeZone" or current is None:
             spark.conf.set(key, value)

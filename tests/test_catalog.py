@@ -23,3 +23,11 @@ def test_entry_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_runtime_settings_can_be_set_on_any_session(spark):
+    """The queries also run in sessions built elsewhere, where static settings cannot change."""
+    from metroframe.session import _RUNTIME, tune
+
+    assert all(spark.conf.isModifiable(k) for k in _RUNTIME)
+    assert tune(spark) is spark
