@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
-from . import bpe, langid, toxicity
+from ..session import materialize, tune
+from . import bpe, langid, licenses, minhash, toxicity, urls
 from .common import checked_join, crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,41 @@ def op8_toxicity(spark, sf_dir):
     known = checked_join(docs.where(~F.col("held_out")).select("doc_id", "text"), labels, ["doc_id"], "inner")
     scored = toxicity.score(docs, toxicity.fit(known), keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op4_minhash(spark, sf_dir):
+    """Near-duplicate components of all documents by circulant MinHash."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: A title with a run of three or more marks lists its page's URL.
+SPAM_TITLE = r"<title>[^<]*[#*$%&][#*$%&][#*$%&]"
+
+_CANON = """regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') AS bare, path,
+  list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept"""
+ORACLES["op6_url_filter"] = f"""WITH u AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ c AS (SELECT page_id, html, host, {_CANON} FROM u),
+ k AS (SELECT page_id, html, host, path, CASE WHEN bare <> '' THEN bare || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical FROM c),
+ l AS (SELECT DISTINCT canonical FROM k WHERE canonical IS NOT NULL AND regexp_matches(html, '{SPAM_TITLE}')),
+ r AS (SELECT k.*, l.canonical IS NOT NULL AS listed, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM k LEFT JOIN l USING (canonical))
+ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, canonical, listed FROM r"""
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    """Verdict on every page's URL; the list holds the canonical URLs of pages with a spam title."""
+    pages = read(spark, sf_dir, "pages")
+    listed = pages.where(F.col("html").rlike(SPAM_TITLE)).select(urls.canonical(F.col("url")).alias("canonical")).where("canonical is not null").distinct()
+    return urls.judge(pages, URL_RULES, materialize(listed))
+
+
+@query
+def op10_licenses(spark, sf_dir):
+    """License labels of every document."""
+    return licenses.licenses(read(spark, sf_dir, "documents"))
