@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, tune
-from . import bpe, langid, licenses, minhash, toxicity, urls
+from . import bpe, langid, licenses, lm, minhash, toxicity, urls
 from .common import checked_join, crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +65,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 SPAM_TITLE = r"<title>[^<]*[#*$%&][#*$%&][#*$%&]"
 
 _CANON = """regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') AS bare, path,
-  list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept"""
+  list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept"""
 ORACLES["op6_url_filter"] = f"""WITH u AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
  c AS (SELECT page_id, html, host, {_CANON} FROM u),
@@ -89,3 +89,13 @@ def op6_url_filter(spark, sf_dir):
 def op10_licenses(spark, sf_dir):
     """License labels of every document."""
     return licenses.licenses(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_language_model(spark, sf_dir):
+    """Interpolated bigram score of every document, learned from nine tenths of them."""
+    docs = read(spark, sf_dir, "documents").withColumn("train", crc_mod("doc_id", 10) != 0)
+    model = lm.fit(docs, "train")
+    held = (crc_mod("doc_id", 10) == 0).alias("held_out")
+    scored = lm.score(docs, model, "train")
+    return scored.select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
