@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, tune
-from . import bpe, langid, licenses, lm, minhash, toxicity, urls
+from ..session import materialize, scratch_dir, tune
+from . import bpe, decontaminate, langid, licenses, lm, minhash, quality, toxicity, urls, warc
 from .common import checked_join, crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,35 @@ def op9_language_model(spark, sf_dir):
     held = (crc_mod("doc_id", 10) == 0).alias("held_out")
     scored = lm.score(docs, model, "train")
     return scored.select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+ORACLES["op5_warc"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+ d AS (SELECT page_id, body, strlen(body) AS n, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM d"""
+
+
+@query
+def op5_warc(spark, sf_dir):
+    """All pages written as WARC archives and read back."""
+    path = f"{scratch_dir(spark)}/metroframe/{uuid.uuid4().hex}.warc"
+    warc.write(read(spark, sf_dir, "pages"), path)
+    back = warc.pages(warc.read(spark, path))
+    return back.select(
+        F.col("id").cast("long").alias("page_id"), F.col("payload_bytes").cast("long").alias("payload_bytes"), "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with other numbers, names or units too."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_quality(spark, sf_dir):
+    """Base rules and likelihood-ratio verdict on every document; labelled good documents are trusted."""
+    docs = read(spark, sf_dir, "documents")
+    ratio = quality.fit(docs, read(spark, sf_dir, "labels").where("quality = 1"))
+    return quality.judge(docs, ratio, keep=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
