@@ -18,7 +18,7 @@ from .common import LOWER, WordHashes, bounded, checked_join, mixed, shingle_has
 
 BITS = 14
 #: Nats per n-gram below which a text is dropped.
-THRESHOLD = -0.05
+THRESHOLD = -0.15
 LEAST_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
 _SPACES = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
