@@ -30,9 +30,9 @@ START, END, FIRST_WORD = 0, 1, 2
 HEAD_WORDS = (1 << BITS) - FIRST_WORD
 HEAD_PAIRS = 1 << 18
 #: Training documents, about, from which the lists of frequent words and bigrams are taken.
-HEAD_DOCS = 20_000
+HEAD_DOCS = 8_000
 #: Held-out events, about, from which the weights are learned (all, where there are fewer).
-FIT_EVENTS = 4_000_000
+FIT_EVENTS = 1_000_000
 BUCKETS = 21
 STEP = 8  # bins for each doubling of a held-out estimate
 
@@ -286,6 +286,8 @@ def score(df: DataFrame, model: Model, train_col: str, id_col: str = "doc_id", t
             key, role, other, at = shuffled(v[~both], w[~both])
             row = row[~both][at]
             first, times = merged(key, role, other, row)
+            order = np.argsort(row[first], kind="stable")  # rows of one text side by side compress well
+            first, times = first[order], times[order]
             train = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             meta = times * 8 + role[first] * 2 + train[row[first]]
             # one row for each text with what the lists give, spread over all partitions
@@ -303,7 +305,8 @@ def score(df: DataFrame, model: Model, train_col: str, id_col: str = "doc_id", t
     events_ = sent.select("key", "other", "id", role, times.alias("n"), (times * F.col("meta").bitwiseAND(1)).alias("trained"), "head")
     own = F.sum(F.when(F.col("role") == 0, F.col("trained")).otherwise(F.lit(0))).over(Window.partitionBy("key"))
     pair = F.sum("trained").over(Window.partitionBy("key", "role", "other"))
-    met = events_.withColumn("pair", pair).withColumn("own", own)
+    # the wider grouping first: the narrower one then finds its rows together and needs no exchange of its own
+    met = events_.withColumn("own", own).withColumn("pair", pair)
     key, other = F.col("key"), F.col("other")
     listed = F.col("role") != 2
     met = met.withColumn("_v", F.when((key >= 0) & listed, F.shiftright(key, BITS)).when((F.col("role") == 0) & (other >= 0), other))
@@ -330,7 +333,7 @@ def score(df: DataFrame, model: Model, train_col: str, id_col: str = "doc_id", t
         "id", twin.alias("twin"), F.coalesce("head.n_tokens", F.lit(0)).alias("n_tokens"),
         F.when(word, F.when(F.col("own") > 0, n).otherwise(F.lit(0))).otherwise(F.coalesce("head.n_known", F.lit(0))).alias("n_known"),
         F.when(word, n * F.log10(F.col("own") + 0.1)).otherwise(F.coalesce("head.base", F.lit(0.0))).alias("base"),
-        lp.alias("lp"), F.when(twin.isNotNull() & word, n).otherwise(F.lit(0)).alias("n"), "pair", "cv", "cw",
+        lp.alias("lp"), F.when(twin.isNotNull() & word, n).otherwise(F.lit(0)).alias("n"), *[F.when(twin.isNotNull(), F.col(c)).alias(c) for c in ("pair", "cv", "cw")],
     )
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp", "n")]
     paired = each.groupBy("id", "twin").agg(*sums, *[F.max(c).alias(c) for c in ("pair", "cv", "cw")])
