@@ -23,7 +23,7 @@ BITS = 18
 #: Labelled texts of each class that a model is learned from, about (all, where there are fewer).
 FIT_ROWS = 50_000
 #: Buckets that keep their feature.
-FEATURES = 4096
+FEATURES = 1024
 
 
 def _distinct(x: np.ndarray, doc: np.ndarray, n: int, sizes: tuple[int, ...], bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ class Model:
 
 def fit(
     df: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sizes: tuple[int, ...] = SIZES, bits: int = BITS,
-    features: int = FEATURES, alpha: float = 1.0, ridge: float = 1e-4, rounds: int = 15, fit_rows: int = FIT_ROWS,
+    features: int = FEATURES, alpha: float = 1.0, ridge: float = 1e-3, rounds: int = 15, fit_rows: int = FIT_ROWS,
 ) -> Model:
     """Learn from rows labelled 1 or 0; rows with a null text or another label teach nothing.
 
