@@ -293,7 +293,7 @@ def score(df: DataFrame, model: Model, train_col: str, id_col: str = "doc_id", t
             # one row for each text with what the lists give, spread over all partitions
             seed += 1
             spread = mixed(np.arange(n, dtype=np.uint64) + np.uint64(seed * 1_000_003)).view(np.int64)
-            heads = pa.StructArray.from_arrays([pa.array(x) for x in (size, known, base, lp)], fields=list(head_type))
+            heads = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((size, known, base.astype(float), lp.astype(float)), head_type)], fields=list(head_type))
             none = pa.nulls(len(first), head_type)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[first]), pa.array(other[first]), b.column(0).take(pa.array(row[first])), pa.array(meta.astype(np.int32)), none], ["key", "other", "id", "meta", "head"])
