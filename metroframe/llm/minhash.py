@@ -4,6 +4,10 @@ One permutation places a shingle among ``SLOTS`` positions, a second one, circul
 so all coordinates of a shingle are one contiguous run of the second permutation.  Copies with equal sets collapse to
 one representative first.  Bands propose pairs, and the full sets of both texts confirm every link.
 
+Shingles that only one candidate holds bound its similarity to all others: with s shared of n shingles, a link to a
+text of m shingles needs 175 s >= 75 (n + m) (at 75 percent).  So a candidate has a largest partner size, and those
+whose size admits no partner leave before any pair is made; heavily edited copies in a crowd are such.
+
 A band bucket never lists all its pairs.  In each round a bucket compares a few centres (members that share most
 buckets with others come first) with the members that are not in the centre's component yet; a centre then leaves
 the bucket.  A bucket is finished when one component is left in it, so every pair that a bucket holds is either
@@ -80,6 +84,21 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return rows.mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
+def private_counts(texts: DataFrame, **how: int) -> DataFrame:
+    """(id, private): number of shingles of each text (id, text) that no other id has, where there are any."""
+    kind = dict(texts.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(**how)
+        for b in bounded(batches, "text"):
+            sets = [signer.shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    each = texts.select("id", "text").mapInArrow(run, f"id {kind}, shingles array<long>").select("id", F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("_other")).where("id = _other")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
+
+
 def _set(text: str | None, n: int) -> set:
     w = words_of(text)
     return set(zip(*[w[j:] for j in range(n)])) if len(w) >= n else ({tuple(w)} if w else set())
@@ -147,24 +166,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowd = materialize(rows.join(shared, "bucket"))
-    degree = crowd.groupBy("id").agg(F.sum("size").alias("degree"))
-    live = crowd.select("bucket", "id", "n").join(degree, "id").select("bucket", "id", "n", "degree", F.col("id").alias("comp"))
-    ids = materialize(degree.select("id"))
-    # every text of an id stands for it; equal rows once
-    texts = materialize(checked_join(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ids, ["id"], "left_semi"))
-    labels = ids.select("id", F.col("id").alias("comp"))
+    ids = crowd.groupBy("id").agg(F.sum("size").alias("degree"), F.max("n").alias("n"))
+    texts = materialize(checked_join(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), materialize(ids.select("id")), ["id"], "left_semi"))
+    # the largest partner that the shared shingles of a text allow
+    shared = F.col("n") - F.coalesce("private", F.lit(0))
+    top = F.floor((100 + percent) * shared / F.lit(percent)) - F.col("n")
+    able = materialize(
+        ids.join(private_counts(texts, **how), "id", "left").select("id", "degree", "n", top.alias("top"))
+        .where(f"100 * (n + top) >= {100 + int(percent)} * n")  # a partner has at least ``percent`` of the size
+    )
+    live = crowd.select("bucket", "id").join(able, "id").select("bucket", "id", "n", "top", "degree", F.col("id").alias("comp"))
+    labels = able.select("id", F.col("id").alias("comp"))
     tested: DataFrame | None = None
     for turn in range(2**31):
-        mixed_up = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        live = materialize(live.join(mixed_up.select("bucket"), "bucket", "left_semi"))
+        mixed_up = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+        live = materialize(live.join(mixed_up.select("bucket", "least"), "bucket").where("least <= top").drop("least"))
         if live.isEmpty():
             break
         salt = F.pmod(F.xxhash64("id"), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
-        centres = live.groupBy("bucket", salt.alias("_salt")).agg(F.max(F.struct("degree", "id", "n", "comp")).alias("c"))
-        centres = centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), F.col("c.comp").alias("ccomp"))
+        centres = live.groupBy("bucket", salt.alias("_salt")).agg(F.max(F.struct("degree", "id", "n", "top", "comp")).alias("c"))
+        centres = centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), F.col("c.top").alias("ctop"), F.col("c.comp").alias("ccomp"))
         pairs = (
             live.join(centres, "bucket")
-            .where(f"comp != ccomp and 100 * least(n, cn) >= {int(percent)} * greatest(n, cn)")
+            .where("comp != ccomp and n <= ctop and cn <= top")
             .select("centre", F.col("id").alias("member"), F.least("comp", "ccomp").alias("a"), F.greatest("comp", "ccomp").alias("b"))
             .distinct()
         )
@@ -176,7 +200,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         live = live.join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
         if not links.isEmpty():
             joined = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
-            live = live.join(joined, "comp", "left").select("bucket", "id", "n", "degree", F.coalesce("_to", "comp").alias("comp"))
+            live = live.join(joined, "comp", "left").select("bucket", "id", "n", "top", "degree", F.coalesce("_to", "comp").alias("comp"))
             labels = materialize(labels.join(joined, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")))
     found = sets.join(labels, sets.rep == labels.id, "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
     linked = sig.where("n_shingles > 0").select("id", "n_shingles", "set_key").join(found, "set_key", "left")
