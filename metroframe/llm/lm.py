@@ -1,7 +1,7 @@
 """Language-model scoring: deleted interpolation of word bigrams, words and a uniform floor.
 
 P(w | v) = a(b) c(v,w) / c(v) + u(b) c(w) / N + z(b) / (V + 1), where b is the bucket of the context's frequency
-c(v).  The weights of a bucket are learned by expectation-maximisation on held-out counts: every training event is
+c(v), and V, in this floor only, is estimated from a share of all words chosen by hash.  The weights of a bucket are learned by expectation-maximisation on held-out counts: every training event is
 held out of its own counts (c - 1), the deleted estimate.
 
 Counts are exact.  Words and bigrams that are frequent in a bounded sample (``HEAD_WORDS``, ``HEAD_PAIRS``) are counted
@@ -34,13 +34,14 @@ HEAD_DOCS = 8_000
 #: Held-out events, about, from which the weights are learned (all, where there are fewer).
 FIT_EVENTS = 1_000_000
 BUCKETS = 21
+SCALE = 2.0**26  # of fixed-point sums
 STEP = 8  # bins for each doubling of a held-out estimate
 
 
 class Codes(dict):
     """Word to code: its number for listed words, a negative hash for others."""
 
-    def __init__(self, listed: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, listed: dict[bytes, int], limit: int = 150_000):
         super().__init__(listed)
         self.listed, self.limit = listed, len(listed) + limit
 
@@ -185,7 +186,7 @@ def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "
     held = df.sparkSession.sparkContext.broadcast(lists)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n, seen, rest = held.value.codes(), np.zeros(n_words + n_pairs, np.int64), np.empty(0, np.int64), 0
+        codes, n, rest = held.value.codes(), np.zeros(n_words + n_pairs, np.int64), 0
 
         def out(kind: int, key: np.ndarray, role: np.ndarray, other: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(key), 50_000):
@@ -199,7 +200,6 @@ def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "
             n[:n_words] += np.bincount(w[w >= 0], minlength=n_words)
             at = held.value.place(v, w)
             n[n_words:] += np.bincount(at[at >= 0], minlength=n_pairs)
-            seen = np.union1d(seen, w[w < 0])
             rest += int((w < 0).sum())
             key, role, other, _ = shuffled(v[at < 0], w[at < 0])
             if share < 1:
@@ -208,18 +208,17 @@ def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "
             first, m = merged(key, role, other, np.zeros(len(key), np.int64))
             yield from out(1, key[first], role[first], other[first], m)
         at = np.flatnonzero(n)
-        zero = np.zeros(max(len(at), len(seen)), np.int64)
-        yield from out(0, at, zero[: len(at)], zero[: len(at)], n[at])
-        yield from out(3, *[np.zeros(1, np.int64)] * 3, np.array([rest]))
-        yield from out(2, seen, zero[: len(seen)], zero[: len(seen)], zero[: len(seen)])
+        zero = np.zeros(len(at), np.int64)
+        yield from out(0, at, zero, zero, n[at])
+        yield from out(2, *[np.zeros(1, np.int64)] * 3, np.array([rest]))
 
     got = materialize(train.select("text").mapInArrow(count, "kind int, key long, role int, other long, n long"))
     summed = got.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(n_words + n_pairs, np.int64)
     n[summed.column("key").to_numpy()] = summed.column("n").to_numpy()
     word, pair = n[:n_words], n[n_words:]
-    unlisted = got.where("kind = 2").select("key").distinct().count()
-    tokens = int(word[END:].sum()) + (got.where("kind = 3").agg(F.sum("n")).first()[0] or 0)
+    unlisted = round(got.where("kind = 1 and key < 0 and role = 0").select("key").distinct().count() / share)
+    tokens = int(word[END:].sum()) + (got.where("kind = 2").agg(F.sum("n")).first()[0] or 0)
     distinct = int((word[END:] > 0).sum()) + unlisted
 
     # held-out events: bigrams with their counts, and the count of the unlisted word of each
@@ -302,11 +301,13 @@ def score(df: DataFrame, model: Model, train_col: str, id_col: str = "doc_id", t
     sent = rows.mapInArrow(run, f"key long, other long, id {kind}, meta int, head struct<n_tokens:long,n_known:long,base:double,lp:double>")
     role = F.shiftright(F.col("meta"), 1).bitwiseAND(3).alias("role")
     times = F.shiftright(F.col("meta"), 3)
-    events_ = sent.select("key", "other", "id", role, times.alias("n"), (times * F.col("meta").bitwiseAND(1)).alias("trained"), "head")
+    events_ = sent.select("key", role, "other", "id", times.alias("n"), (times * F.col("meta").bitwiseAND(1)).alias("trained"), "head")
+    # one exchange and one sort serve all three windows
+    events_ = events_.repartition("key").sortWithinPartitions("key", "role", "other")
     own = F.sum(F.when(F.col("role") == 0, F.col("trained")).otherwise(F.lit(0))).over(Window.partitionBy("key"))
     pair = F.sum("trained").over(Window.partitionBy("key", "role", "other"))
-    # the wider grouping first: the narrower one then finds its rows together and needs no exchange of its own
-    met = events_.withColumn("own", own).withColumn("pair", pair)
+    first = F.row_number().over(Window.partitionBy("key").orderBy("role", "other"))
+    met = events_.withColumn("own", own).withColumn("pair", pair).withColumn("first", first)
     key, other = F.col("key"), F.col("other")
     listed = F.col("role") != 2
     met = met.withColumn("_v", F.when((key >= 0) & listed, F.shiftright(key, BITS)).when((F.col("role") == 0) & (other >= 0), other))
@@ -328,16 +329,23 @@ def score(df: DataFrame, model: Model, train_col: str, id_col: str = "doc_id", t
         a, u, z = (F.element_at(F.array(*[F.lit(float(x)) for x in model.weights[:, j]]), at) for j in range(3))
         return F.log10(a * pair / F.greatest(cv, F.lit(1)) + u * cw / max(model.tokens, 1) + z / (model.distinct + 1))
 
+    def fixed(x: Column) -> Column:
+        """Fixed-point number: sums of these do not depend on their order."""
+        return F.round(x * SCALE).cast("long")
+
     lp = F.when(listed & twin.isNull(), n * log_p(F.col("pair"), F.col("cv"), F.col("cw"))).otherwise(F.coalesce("head.lp", F.lit(0.0)))
     each = met.select(
         "id", twin.alias("twin"), F.coalesce("head.n_tokens", F.lit(0)).alias("n_tokens"),
         F.when(word, F.when(F.col("own") > 0, n).otherwise(F.lit(0))).otherwise(F.coalesce("head.n_known", F.lit(0))).alias("n_known"),
-        F.when(word, n * F.log10(F.col("own") + 0.1)).otherwise(F.coalesce("head.base", F.lit(0.0))).alias("base"),
-        lp.alias("lp"), F.when(twin.isNotNull() & word, n).otherwise(F.lit(0)).alias("n"), *[F.when(twin.isNotNull(), F.col(c)).alias(c) for c in ("pair", "cv", "cw")],
+        F.when(word, fixed(n * F.log10(F.col("own") + 0.1))).otherwise(fixed(F.coalesce("head.base", F.lit(0.0)))).alias("base"),
+        fixed(lp).alias("lp"), (word & (F.col("first") == 1) & (F.col("own") > 0)).cast("int").alias("new"), F.when(twin.isNotNull() & word, n).otherwise(F.lit(0)).alias("n"), *[F.when(twin.isNotNull(), F.col(c)).alias(c) for c in ("pair", "cv", "cw")],
     )
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp", "n")]
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp", "n", "new")]
     paired = each.groupBy("id", "twin").agg(*sums, *[F.max(c).alias(c) for c in ("pair", "cv", "cw")])
-    paired = paired.withColumn("lp", F.when(F.col("twin").isNotNull(), n * log_p(F.col("pair"), F.col("cv"), F.col("cw"))).otherwise(F.col("lp")))
-    out = paired.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp")])
-    bottom = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * bottom).alias("base_score"), F.col("lp").alias("score"))
+    paired = paired.withColumn("lp", F.when(F.col("twin").isNotNull(), fixed(n * log_p(F.col("pair"), F.col("cv"), F.col("cw")))).otherwise(F.col("lp")))
+    out = materialize(paired.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp", "new")]))
+    # every unlisted training word is counted once, at its first event
+    distinct = int((model.count[END:] > 0).sum()) + (out.agg(F.sum("new")).first()[0] or 0)
+    bottom = float(np.log10(model.tokens + 0.1 * (distinct + 1)))
+    base = F.col("base") / SCALE - F.col("n_tokens") * bottom
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", base.alias("base_score"), (F.col("lp") / SCALE).alias("score"))
