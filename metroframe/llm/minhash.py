@@ -8,10 +8,10 @@ Shingles that only one candidate holds bound its similarity to all others: with
 text of m shingles needs 175 s >= 75 (n + m) (at 75 percent).  So a candidate has a largest partner size, and those
 whose size admits no partner leave before any pair is made; heavily edited copies in a crowd are such.
 
-A band bucket never lists all its pairs.  In each round a bucket compares a few centres (members that share most
-buckets with others come first) with the members that are not in the centre's component yet; a centre then leaves
-the bucket.  A bucket is finished when one component is left in it, so every pair that a bucket holds is either
-compared or known to be connected, whatever the size of the bucket.
+A band bucket never lists its pairs.  First come stars: a bucket compares one centre (the member that shares most
+buckets with others) with the members outside its component, again while that finds links.  What is left in buckets
+of more than one component is compared in blocks of bounded size: a pair of blocks is one group, which compares
+signatures, confirms the near ones on their full sets and returns links between components only.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ WORDS = 5
 BANDS, ROWS = 64, 6
 SLOTS_BITS = 22
 SEED = 20
-#: Centres of a bucket per round; the last holds for all further rounds.
-CENTRES = (1, 1, 2, 4, 8, 16)
+#: Members of a block; a group holds two blocks.
+BLOCK = 256
+#: Standard deviations by which the share of equal coordinates may fall short of the threshold.
+SLACK = 5.0
 
 
 class Signer:
@@ -51,12 +53,16 @@ class Signer:
         n = min(self.words, len(h))
         return np.unique(shingle_hashes(h, n) + np.uint64(n)) if n else h
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """One 64-bit key for each band."""
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        """Least value of each shift of the second permutation."""
         slot = (mixed(shingles) >> np.uint64(64 - self.bits)).astype(np.int64)  # the first permutation
         low = self.runs[slot[:512]].min(0)
         for lo in range(512, len(slot), 512):
             np.minimum(low, self.runs[slot[lo : lo + 512]].min(0), out=low)
+        return low
+
+    def keys(self, low: np.ndarray) -> np.ndarray:
+        """One 64-bit key for each band of a signature."""
         rows = low.reshape(self.bands, self.rows).astype(np.uint64)
         key = np.arange(self.bands, dtype=np.uint64)
         for j in range(self.rows):
@@ -64,19 +70,30 @@ class Signer:
         return key.view(np.int64)
 
 
+_signers: dict[tuple, Signer] = {}
+
+
+def signer_of(**how: int) -> Signer:
+    """One per worker process and kind."""
+    key = tuple(sorted(how.items()))
+    if key not in _signers:
+        _signers[key] = Signer(**how)
+    return _signers[key]
+
+
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """(id, n_shingles, set_key, bands): size and digest of each shingle set and its band keys (null for an empty set)."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(**how)
+        signer = signer_of(**how)
         for b in bounded(batches, "text"):
             n, digest, bands = [], [], []
             for t in b.column(1).to_pylist():
                 s = signer.shingles(t)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(signer.keys(s) if len(s) else None)
+                bands.append(signer.keys(signer.signature(s)) if len(s) else None)
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "set_key", "bands"])
 
@@ -89,7 +106,7 @@ def private_counts(texts: DataFrame, **how: int) -> DataFrame:
     kind = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(**how)
+        signer = signer_of(**how)
         for b in bounded(batches, "text"):
             sets = [signer.shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
@@ -127,6 +144,52 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, words: int =
     return both.mapInArrow(run, pairs.schema)
 
 
+def blockwise(live: DataFrame, texts: DataFrame, percent: int = 75, **how: int) -> DataFrame:
+    """(a, b): links between components among all members of each bucket (bucket, id, n, top, comp)."""
+    words = how.get("words", WORDS)
+    kind = dict(live.dtypes)["id"]
+    blocks = live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_of"))
+    mine = F.pmod(F.xxhash64("id"), F.col("_of"))
+    # a member meets its own block and every other one; the lower block comes first
+    rows = live.join(blocks, "bucket").withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+    rows = rows.select("bucket", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "id", "n", "top", "comp")
+    rows = rows.join(texts, "id").select("bucket", "_i", "_j", "_mine", "id", "n", "top", "comp", "text")
+
+    def links(t: pa.Table) -> pa.Table:
+        signer = signer_of(**how)
+        texts_, comp = t.column("text").to_pylist(), t.column("comp").to_pylist()
+        n, top, side, bucket = (t.column(c).to_numpy() for c in ("n", "top", "_mine", "bucket"))
+        low = np.stack([signer.signature(signer.shingles(x)) for x in texts_])
+        one = np.unique(np.array(comp, object), return_inverse=True)[1] if None not in comp else np.arange(len(comp))
+        keys = np.stack([signer.keys(x) for x in low])
+        k = low.shape[1]
+        least = k * percent / 100 - SLACK * (k * percent / 100 * (1 - percent / 100)) ** 0.5
+        across = t.column("_i")[0].as_py() != t.column("_j")[0].as_py()
+        sets: dict[int, set] = {}
+        found = set()
+        for x in range(len(texts_) - 1):
+            rest = slice(x + 1, None)
+            may = (one[rest] != one[x]) & (n[rest] <= top[x]) & (n[x] <= top[rest])
+            if across:
+                may &= side[rest] != side[x]
+            at = np.flatnonzero(may) + x + 1
+            at = at[(low[at] == low[x]).sum(1) >= least]
+            for y in at.tolist():
+                if (comp[x], comp[y]) in found or keys[x][(keys[x] == keys[y]).argmax()] != bucket[0]:
+                    continue  # each pair is confirmed in its first bucket only
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = _set(texts_[z], words)
+                same = len(sets[x] & sets[y])
+                if 100 * same >= percent * (len(sets[x]) + len(sets[y]) - same):
+                    found.add((comp[x], comp[y]))
+        pairs = [(min(p), max(p)) for p in found]
+        kept = t.schema.field("comp").type
+        return pa.table({"a": pa.array([p[0] for p in pairs], kept), "b": pa.array([p[1] for p in pairs], kept)})
+
+    return rows.groupBy("bucket", "_i", "_j").applyInArrow(links, f"a {kind}, b {kind}").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): lowest id reachable over links (a, b), for the ids that occur in them.
 
@@ -149,6 +212,18 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def _unsettled(live: DataFrame) -> DataFrame:
+    """Members of buckets of several components that have a partner of an allowed size there."""
+    several = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+    return live.join(several.select("bucket", "least"), "bucket").where("least <= top").drop("least")
+
+
+def _relabelled(df: DataFrame, joined: DataFrame) -> DataFrame:
+    """``df`` with each component that was joined to another replaced by that."""
+    to = joined.select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
+    return df.join(to, "comp", "left").select(*[F.coalesce("_to", "comp").alias("comp") if c == "comp" else c for c in df.columns])
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, **how: int) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``df``.
 
@@ -177,31 +252,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     live = crowd.select("bucket", "id").join(able, "id").select("bucket", "id", "n", "top", "degree", F.col("id").alias("comp"))
     labels = able.select("id", F.col("id").alias("comp"))
-    tested: DataFrame | None = None
-    for turn in range(2**31):
-        mixed_up = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi")
-        live = materialize(live.join(mixed_up.select("bucket", "least"), "bucket").where("least <= top").drop("least"))
+    while True:
+        live = materialize(_unsettled(live))
         if live.isEmpty():
             break
-        salt = F.pmod(F.xxhash64("id"), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
-        centres = live.groupBy("bucket", salt.alias("_salt")).agg(F.max(F.struct("degree", "id", "n", "top", "comp")).alias("c"))
+        centres = live.groupBy("bucket").agg(F.max(F.struct("degree", "id", "n", "top", "comp")).alias("c"))
         centres = centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), F.col("c.top").alias("ctop"), F.col("c.comp").alias("ccomp"))
         pairs = (
-            live.join(centres, "bucket")
-            .where("comp != ccomp and n <= ctop and cn <= top")
-            .select("centre", F.col("id").alias("member"), F.least("comp", "ccomp").alias("a"), F.greatest("comp", "ccomp").alias("b"))
-            .distinct()
+            live.join(centres, "bucket").where("comp != ccomp and n <= ctop and cn <= top")
+            .select("centre", F.col("id").alias("member"), F.least("comp", "ccomp").alias("a"), F.greatest("comp", "ccomp").alias("b")).distinct()
         )
-        ends = pairs.select("*", F.least("centre", "member").alias("_lo"), F.greatest("centre", "member").alias("_hi")).dropDuplicates(["_lo", "_hi"])
-        new = materialize(ends if tested is None else ends.join(tested, ["_lo", "_hi"], "left_anti"))
-        done = new.select("_lo", "_hi")
-        tested = done if tested is None else tested.unionByName(done)
-        links = materialize(confirm(new.select("centre", "member", "a", "b"), texts, percent, words).select("a", "b").distinct())
+        links = materialize(confirm(pairs, texts, percent, words).select("a", "b").distinct())
+        if links.isEmpty():
+            links = materialize(blockwise(live, texts, percent, **how))
+            labels = _relabelled(labels, components(links)) if not links.isEmpty() else labels
+            break
         live = live.join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-        if not links.isEmpty():
-            joined = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
-            live = live.join(joined, "comp", "left").select("bucket", "id", "n", "top", "degree", F.coalesce("_to", "comp").alias("comp"))
-            labels = materialize(labels.join(joined, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")))
+        joined = components(links)
+        live, labels = _relabelled(live, joined), materialize(_relabelled(labels, joined))
     found = sets.join(labels, sets.rep == labels.id, "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
     linked = sig.where("n_shingles > 0").select("id", "n_shingles", "set_key").join(found, "set_key", "left")
     alone = sig.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))

@@ -93,6 +93,32 @@ def test_minhash_crowd_around_a_base(spark):
     assert found(minhash.near_duplicates(spark.createDataFrame(rows, TEXTS))) == plain_groups(rows)
 
 
+def test_minhash_blocks_find_what_stars_do_not(spark, monkeypatch):
+    """Two crowds in one bucket: links between members that are no centre, over several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    rows, stay = [], []
+    for i in range(40):
+        t = list(base)
+        for j in range(4 if i % 8 else 3):
+            t[(7 * i + 25 * j) % 100] = f"x{i}_{j}"
+        rows.append((i, " ".join(t)))
+        u = list(t)
+        u[(7 * i + 12) % 100] = f"y{i}"
+        rows.append((500 - i, " ".join(u)))
+    assert found(minhash.near_duplicates(spark.createDataFrame(rows, TEXTS))) == plain_groups(rows)
+    live = spark.createDataFrame([(1, i, 96, 96, i) for i, _ in rows], "bucket long, id long, n long, top long, comp long")
+    one = minhash.Signer()
+    sign = {i: one.keys(one.signature(one.shingles(t))) for i, t in rows}
+    buckets = [(int(k), i, 96, 200, i) for i in sign for k in sign[i]]
+    live = spark.createDataFrame(buckets, live.schema)
+    got = {(r.a, r.b) for r in minhash.blockwise(live, spark.createDataFrame(rows, "id long, text string")).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(96)} for i, w in ((i, words_of(t)) for i, t in rows)}
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert got == want and want
+
+
 def test_minhash_odd_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], TEXTS)).count() == 0
     t = "a b c d e f g h"
@@ -114,7 +140,7 @@ def test_signature_is_circulant():
     slot = (minhash.mixed(x) >> np.uint64(52)).astype(int)
     k = minhash.BANDS * minhash.ROWS
     want = [min(second[(p + j) % (1 << 12)] for p in slot) for j in range(k)]
-    assert s.runs[slot].min(0).tolist() == want
+    assert s.signature(x).tolist() == want
 
 
 def test_components_of_a_long_path(spark):
