@@ -152,6 +152,6 @@ def propose_pairs(t):
 
 @query()
 def flow_window(t):
-    """Flow directions per camera, quad and half-day window."""
-    out = ST.flow_window(t.detections, 43200)
+    """Flow directions per camera, quad and window of twelve seconds, at two frames a second."""
+    out = ST.flow_window(t.detections.withColumn("ts", F.timestamp_seconds(F.col("frame") / 2)), 12)
     return out.select("camera", "window_start", "quad", "side", "count", r("dir_x", 5).alias("dir_x"), r("dir_z", 5).alias("dir_z"), r("speed", 5).alias("speed"))

@@ -223,13 +223,39 @@ def grounding_counts(t):
 
 
 # ---- sampling, chunks -------------------------------------------------------------
-@query(with_views("points") + """, c AS (SELECT greatest(least(CAST(trunc(z/1001*8) AS BIGINT),7),0)*8 + greatest(least(CAST(trunc(x/1001*8) AS BIGINT),7),0) AS c88,
- greatest(least(CAST(trunc(z/1001*16) AS BIGINT),15),0)*16 + greatest(least(CAST(trunc(x/1001*16) AS BIGINT),15),0) AS c1616, x, y, z FROM fx_points),
-f AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM c GROUP BY c88))
- SELECT c88 AS chunk, count(*) AS count, min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z, min(y) AS min_y, max(y) AS max_y, '8x8' AS grid FROM c, f WHERE f.n <= 1000000 GROUP BY c88""")
+def _chunks_sql(limit: int) -> str:
+    """Manifest of the first grid whose fullest cell holds at most ``limit`` points, else of the last."""
+    grids = ((8, 8), (8, 16), (16, 16), (16, 32))
+    cell = "greatest(least(CAST(trunc(z/1001*{nz}) AS BIGINT),{nz}-1),0)*{nx} + greatest(least(CAST(trunc(x/1001*{nx}) AS BIGINT),{nx}-1),0)"
+    cells = ", ".join(f"{cell.format(nx=nx, nz=nz)} AS c{k}" for k, (nx, nz) in enumerate(grids))
+    fullest = ", ".join(f"(SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY c{k})) AS m{k}" for k in range(4))
+    pick = "CASE " + " ".join(f"WHEN m{k} <= {limit} THEN {k}" for k in range(3)) + " ELSE 3 END"
+    chunk, name = ("CASE g " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(of)) + " END" for of in (["c0", "c1", "c2", "c3"], [f"'{nx}x{nz}'" for nx, nz in grids]))
+    return with_views("points") + f""", c AS (SELECT {cells}, x, y, z FROM fx_points), f AS (SELECT {fullest}), p AS (SELECT {pick} AS g FROM f), q AS (SELECT {chunk} AS chunk, {name} AS grid, x, y, z FROM c, p)
+ SELECT chunk, grid, count(*) AS count, min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z, min(y) AS min_y, max(y) AS max_y FROM q GROUP BY chunk, grid"""
+
+
+def _chunked(t, limit: int):
+    chunks = R.grid_chunk(t.points, (0.0, 0.0, 1001.0, 1001.0), limit)
+    return R.chunk_manifest(chunks.withColumn("cell", F.struct("chunk", "grid")), "cell").select("cell.*", "*").drop("cell")
+
+
+@query(_chunks_sql(1_000_000))
 def grid_chunk(t):
-    chunks = R.grid_chunk(t.points, (0.0, 0.0, 1001.0, 1001.0))
-    return R.chunk_manifest(chunks).withColumn("grid", F.lit("8x8"))
+    """Chunks of the grid that holds a million points per cell."""
+    return _chunked(t, 1_000_000)
+
+
+@query(_chunks_sql(110))
+def grid_chunk_small(t):
+    """Chunks of a low limit, so that a finer grid is chosen."""
+    return _chunked(t, 110)
+
+
+@query(_chunks_sql(1))
+def grid_chunk_finest(t):
+    """No grid meets the limit: the finest one stays."""
+    return _chunked(t, 1)
 
 
 @query()

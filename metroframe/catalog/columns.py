@@ -207,12 +207,12 @@ def pick_phase(t):
     return S.pick_phase(tiles(t)).select("page_id", "phase", "year")
 
 
-@query(f"WITH {_PICK} SELECT tile, year, phase FROM q WHERE phase IS NOT NULL ORDER BY tile LIMIT 12")
+@query(f"WITH {_PICK} SELECT tile, year, phase FROM q WHERE phase IS NOT NULL")
 def list_tiles(t):
-    """First tiles by name with a usable link."""
+    """Tiles with a usable link."""
     from ..operators.rasters import list_tiles as lister
 
-    return lister(tiles(t), 12).select("tile", "year", "phase")
+    return lister(tiles(t)).select("tile", "year", "phase")
 
 
 @query(f"WITH {_PICK} SELECT year, count(*) AS tiles FROM q WHERE phase IS NOT NULL GROUP BY year")
@@ -325,17 +325,17 @@ def flow_class(t):
 
 
 # ---- sorts, unions -------------------------------------------------------------------
-@query("SELECT p_partkey, p_brand FROM part ORDER BY regexp_extract(lower(p_brand), '^([^0-9]*)', 1), TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT), p_brand, p_partkey LIMIT 40")
+@query("SELECT p_partkey, p_brand, row_number() OVER (ORDER BY regexp_extract(lower(p_brand), '^([^0-9]*)', 1), TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT), p_brand, p_partkey) AS rank FROM part")
 def natural_order(t):
     """Brands with "Brand#9" before "Brand#10"."""
     key = S.numeric_aware_key(F.col("p_brand"))
-    return O.top_k(t.part.select("p_partkey", "p_brand"), 40, *key, F.col("p_brand"), F.col("p_partkey"))
+    return O.ranked(t.part.select("p_partkey", "p_brand"), *key, F.col("p_brand"), F.col("p_partkey"))
 
 
-@query("SELECT event_id, value FROM events WHERE event_type = 'purchase' ORDER BY CASE WHEN value > 50 THEN NULL ELSE value END ASC NULLS LAST, event_id LIMIT 30")
+@query("SELECT event_id, value, row_number() OVER (ORDER BY CASE WHEN value > 50 THEN NULL ELSE value END ASC NULLS LAST, event_id) AS rank FROM events")
 def nulls_last_order(t):
     v = F.when(F.col("value") <= 50, F.col("value"))
-    return O.top_k(t.events.where("event_type = 'purchase'").select("event_id", "value"), 30, v.asc_nulls_last(), F.col("event_id"))
+    return O.ranked(t.events.select("event_id", "value"), v.asc_nulls_last(), F.col("event_id"))
 
 
 @query("SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_name")

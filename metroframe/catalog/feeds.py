@@ -120,10 +120,10 @@ def stop_routes(t):
     return L.stop_routes(times, trips, routes(t))
 
 
-@query("""WITH u AS (SELECT DISTINCT o_custkey % 25 AS route_id, o_custkey AS shape_id FROM orders WHERE o_orderstatus <> 'P') SELECT route_id, shape_id, o_orderkey AS seq FROM u JOIN orders ON o_custkey = shape_id""")
+@query("""WITH u AS (SELECT DISTINCT o_custkey % 25 AS route_id, o_custkey AS shape_id FROM orders ) SELECT route_id, shape_id, o_orderkey AS seq FROM u JOIN orders ON o_custkey = shape_id""")
 def route_shapes(t):
     o = t.orders
-    trips = o.where("o_orderstatus != 'P'").select((F.col("o_custkey") % 25).alias("route_id"), F.col("o_custkey").alias("shape_id"))
+    trips = o.select((F.col("o_custkey") % 25).alias("route_id"), F.col("o_custkey").alias("shape_id"))
     shapes = o.select(F.col("o_custkey").alias("shape_id"), F.col("o_orderkey").alias("seq"))
     return L.route_shapes(trips, shapes).select("route_id", "shape_id", "seq")
 
@@ -131,8 +131,8 @@ def route_shapes(t):
 # ---- map elements ----------------------------------------------------------------------
 def osm(t):
     """Suppliers as nodes, orders as ways (refs to suppliers, some missing), customers as relations."""
-    k = F.col("o_orderkey")
-    refs = F.array(*[((k * m + a) % 130).cast("long") for m, a in ((7, 1), (11, 5), (13, 9), (17, 2))])
+    k, span = F.col("o_orderkey"), F.lit(t.supplier.count() * 13 // 10 + 1)
+    refs = F.array(*[((k * m + a) % span).cast("long") for m, a in ((7, 1), (11, 5), (13, 9), (17, 2))])
     ways = t.orders.select(k.alias("way_id"), refs.alias("nodes"))
     nodes = t.targets.select(F.col("target_id").alias("id"), "x", "z")
     c = F.col("c_custkey")
@@ -141,7 +141,7 @@ def osm(t):
     return ways, nodes, t.customer.select(c.alias("rel_id"), member.alias("members"))
 
 
-_REFS = "refs AS (SELECT o_orderkey AS way_id, unnest([{'p':0,'n':(o_orderkey*7+1)%130},{'p':1,'n':(o_orderkey*11+5)%130},{'p':2,'n':(o_orderkey*13+9)%130},{'p':3,'n':(o_orderkey*17+2)%130}]) AS r FROM orders), nd AS (SELECT s_suppkey AS id, CAST((s_suppkey*6151) % 10007 AS DOUBLE)/10 AS x FROM supplier)"
+_REFS = "refs AS (SELECT o_orderkey AS way_id, unnest([{'p':0,'n':(o_orderkey*7+1)%m},{'p':1,'n':(o_orderkey*11+5)%m},{'p':2,'n':(o_orderkey*13+9)%m},{'p':3,'n':(o_orderkey*17+2)%m}]) AS r FROM orders, (SELECT count(*)*13//10 + 1 AS m FROM supplier)), nd AS (SELECT s_suppkey AS id, CAST((s_suppkey*6151) % 10007 AS DOUBLE)/10 AS x FROM supplier)"
 
 
 @query(f"WITH {_REFS} SELECT way_id, list(x ORDER BY r.p) AS xs FROM refs JOIN nd ON nd.id = r.n GROUP BY way_id")
@@ -247,5 +247,5 @@ def layer_round_trip(t):
     sums = t.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
     cams = sums.select(F.col("l_partkey").cast("string").alias("id"), F.col("n").cast("string").alias("name"), F.col("q").alias("lat"))
     S.write_layer_json(cams, path, "cameras")
-    back = S.read_layer_lines(t.spark, path, "cameras")
+    back = S.read_layer_json(t.spark, path, "cameras")
     return back.select(F.col("id").cast("long").alias("p_partkey"), F.col("name").cast("long").alias("n"), r("lat", 2).alias("q"))

@@ -70,25 +70,12 @@ def _aabb(df, p: str, wide):
 
 
 @query(with_views("boxes", "sites") + _PAIR + """ SELECT a AS a_id, b AS b_id, CASE WHEN ox < oz THEN CASE WHEN acx >= bcx THEN 1.0E0 ELSE -1.0E0 END ELSE 0.0E0 END AS nx,
- CASE WHEN ox < oz THEN 0.0E0 ELSE CASE WHEN acz >= bcz THEN 1.0E0 ELSE -1.0E0 END END AS nz, round(least(ox,oz),6)+0.0 AS pen FROM q WHERE round(ox,7) > 0 AND round(oz,7) > 0 AND abs(ox-oz) > 1e-7""")
+ CASE WHEN ox < oz THEN 0.0E0 ELSE CASE WHEN acz >= bcz THEN 1.0E0 ELSE -1.0E0 END END AS nz, round(least(ox,oz),6)+0.0 AS pen FROM q WHERE ox > 0 AND oz > 0""")
 def aabb_overlap(t):
-    """Overlapping box pairs with the push-out normal; exact ties of the two axes are left out of the check."""
+    """Overlapping box pairs with the push-out normal, along z where both overlaps are equal."""
     half = F.col("half")
     a, b = _aabb(t.boxes, "a", half), _aabb(lots(t), "b", half)
-    out = D.aabb_overlap(a, b)
-    tie = L.keep_set(out, _axis_ties(t), ["a_id", "b_id"])
-    return tie.where(F.round("pen", 7) > 0).withColumn("pen", r("pen"))
-
-
-def _axis_ties(t):
-    from ..plans.cells import boxes_meet
-
-    a = _aabb(t.boxes, "a", F.col("half"))
-    b = _aabb(lots(t), "b", F.col("half"))
-    m = boxes_meet(a, b, ("a_x0", "a_x1", "a_z0", "a_z1"), ("b_x0", "b_x1", "b_z0", "b_z1"))
-    ox = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
-    oz = F.least("a_z1", "b_z1") - F.greatest("a_z0", "b_z0")
-    return m.where(F.abs(ox - oz) <= 1e-7).select("a_id", "b_id")
+    return D.aabb_overlap(a, b).withColumn("pen", r("pen"))
 
 
 def bodies(t):
@@ -199,11 +186,11 @@ def road_segments(t):
 
 @query(with_views("targets", "roads") + _SEGS + """, c AS (SELECT target_id, t.x, t.z, sg.*, least(greatest(((t.x-ax)*(bx-ax)+(t.z-az)*(bz-az))/l2, 0.0), 1.0) AS tt FROM fx_targets t, sg WHERE l2 >= 1e-6),
  d AS (SELECT target_id, (x-ax-tt*(bx-ax))*(x-ax-tt*(bx-ax))+(z-az-tt*(bz-az))*(z-az-tt*(bz-az)) AS d2 FROM c)
- SELECT target_id, round(sqrt(min(d2)),6)+0.0 AS dist FROM d WHERE d2 < 14400 GROUP BY target_id""")
+ SELECT target_id, round(sqrt(min(d2) FILTER (d2 < 14400)),6)+0.0 AS dist FROM fx_targets LEFT JOIN d USING (target_id) GROUP BY target_id""")
 def nearest_segment(t):
-    """Distance from each target to the nearest road piece within 120 m."""
+    """Distance from each target to the nearest road piece within 120 m, null where none is."""
     near = D.nearest_segment(t.targets, road_segments(t), "target_id", ["road_id"], 120.0, ["road_id", "seq"])
-    return near.where("dist is not null").select("target_id", r("dist").alias("dist"))
+    return near.select("target_id", r("dist").alias("dist"))
 
 
 def _route(t):

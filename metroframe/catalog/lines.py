@@ -32,9 +32,9 @@ def polyline_length(t):
     return A.polyline_length(t.vertices, ["road_id"], block_of("seq", 4096)).withColumn("length", r("length", 4))
 
 
-@query(with_views("roads") + _SEG + " SELECT road_id, round(total,4)+0.0 AS length FROM sc GROUP BY road_id, total")
+@query(with_views("roads") + _SEG + " SELECT road_id, round(coalesce(max(total), 0),4)+0.0 AS length FROM (SELECT DISTINCT road_id FROM fx_roads) LEFT JOIN sc USING (road_id) GROUP BY road_id")
 def array_line_lengths(t):
-    return A.array_line_lengths(lines(t)).where("size(pts) > 1").select("road_id", r("length", 4).alias("length"))
+    return A.array_line_lengths(lines(t)).select("road_id", r("length", 4).alias("length"))
 
 
 @query(with_views("roads") + _SEG + """, st AS (SELECT road_id, ax, az, bx, bz, len, s0, unnest(range(greatest(CAST(ceil(s0/7.3) AS BIGINT),1), CAST(ceil((s0+len)/7.3) AS BIGINT))) AS k FROM sc WHERE len >= 1e-6),
@@ -118,8 +118,8 @@ def limit_grade(t):
     """Elevation profiles with no segment steeper than 22 %."""
     pts = F.col("pts")
     ys, n = F.transform(pts, lambda p: p["y"]), F.size("pts")
-    seg = F.zip_with(F.slice(pts, 1, n - 1), F.slice(pts, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["z"] - a["z"]))
-    return lines(t).where(n > 1).select("road_id", F.posexplode(W.limit_grade(ys, seg)).alias("i", "y")).withColumn("y", r("y"))
+    seg = F.zip_with(F.slice(pts, 1, F.greatest(n - 1, F.lit(0))), F.slice(pts, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["z"] - a["z"]))
+    return lines(t).select("road_id", F.posexplode(W.limit_grade(ys, seg)).alias("i", "y")).withColumn("y", r("y"))
 
 
 @query(with_views("roads") + """, d AS (SELECT road_id, seq, abs(lag(y) OVER w - 2*y + lead(y) OVER w) AS d2 FROM fx_roads WINDOW w AS (PARTITION BY road_id ORDER BY seq)) SELECT road_id, seq, round(d2,6)+0.0 AS d2 FROM d WHERE d2 IS NOT NULL""")

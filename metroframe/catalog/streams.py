@@ -28,41 +28,45 @@ def view(t, name: str):
     return t.spark.sql(VIEWS["fx_" + name][1].replace("{t}", "metroframe_event_stream"))
 
 
-def _latest(key: str, ttl_ms: int, live: str, gone: str, table: str = "events") -> str:
+def _latest(key: str, ttl_ms: int, words: tuple[str, str, str], table: str = "events", off: str = "false") -> str:
+    """A change for every row, and one where the next row of the key, or the end of the stream, is more than the time to live away."""
+    appear, stay, leave = words
     return (
-        f"l AS (SELECT {key}, max((epoch_us(ts)//1000)) AS ms FROM {table} GROUP BY {key}), w AS (SELECT max((epoch_us(ts)//1000)) AS wm FROM {table}) "
-        f"SELECT {key}, ms AS event_ms, '{live}' AS change FROM l UNION ALL SELECT {key}, ms + {ttl_ms}, '{gone}' FROM l, w WHERE ms + {ttl_ms} <= wm"
+        f"s AS (SELECT {key}, epoch_us(ts)//1000 AS ms, {off} AS off FROM {table}), w AS (SELECT max(ms) AS wm FROM s), "
+        f"o AS (SELECT {key}, ms, off, lag(ms) OVER k AS was, lag(off) OVER k AS was_off, lead(ms) OVER k AS nxt FROM s WINDOW k AS (PARTITION BY {key} ORDER BY ms, off)), "
+        f"f AS (SELECT *, was IS NULL OR was_off OR ms - was > {ttl_ms} AS fresh FROM o) "
+        f"SELECT {key}, ms AS event_ms, CASE WHEN off THEN '{leave}' WHEN fresh THEN '{appear}' ELSE '{stay}' END AS change FROM f WHERE NOT (off AND fresh) "
+        f"UNION ALL SELECT {key}, ms + {ttl_ms}, '{leave}' FROM f, w WHERE NOT off AND (nxt - ms > {ttl_ms} OR (nxt IS NULL AND ms + {ttl_ms} < wm))"
     )
 
 
-@query("WITH " + _latest("user_id", 20000, "live", "retired"))
+@query("WITH " + _latest("user_id", 20000, ("live", "live", "retired")))
 def latest_by_key(t):
-    """Newest event per user; users unseen for 20 s are retired."""
+    """Events per user as live; users unseen for 20 s are retired, and may come back."""
     s = events(t).select("user_id", "ts", "value")
     return ST.run_available(SS.latest_by_key(s, "user_id", SS.retire_after(5.0))).select("user_id", "event_ms", "change")
 
 
-@query(with_views("detections") + ", " + _latest("camera", 6000, "live", "stale", "fx_detections"))
+@query(with_views("detections") + ", " + _latest("camera", 6000, ("live", "live", "stale"), "fx_detections"))
 def detections_latest(t):
     s = view(t, "detections").select("camera", "ts", "frame", "det_id")
     return ST.run_available(SS.detections_latest(s)).select("camera", "event_ms", "change")
 
 
-@query("WITH k AS (SELECT user_id % 40 AS camera, ts, event_type = 'error' AS off FROM events), l AS (SELECT camera, max((epoch_us(ts)//1000)) AS ms, arg_max(off, ts) AS off FROM k GROUP BY camera), w AS (SELECT max((epoch_us(ts)//1000)) AS wm FROM k) "
-       "SELECT camera, ms AS event_ms, 'active' AS change FROM l WHERE NOT off UNION ALL SELECT camera, ms + 12000, 'inactive' FROM l, w WHERE NOT off AND ms + 12000 <= wm")
+@query("WITH k AS (SELECT user_id % 40 AS camera, ts, event_type = 'error' AS off FROM events), " + _latest("camera", 12000, ("active", "active", "inactive"), "k", "off"))
 def active_keys(t):
     """Viewer heartbeats with explicit off."""
     s = events(t).select((F.col("user_id") % 40).alias("camera"), "ts", (F.col("event_type") == "error").alias("off"))
     return ST.run_available(SS.active_keys(s)).select("camera", "event_ms", "change")
 
 
-@query("WITH " + _latest("user_id", 5000, "live", "expired"))
+@query("WITH " + _latest("user_id", 5000, ("live", "live", "expired")))
 def entity_ttl(t):
     s = events(t).select("user_id", "ts", "value")
     return ST.run_available(SS.entity_ttl(s, "user_id")).select("user_id", "event_ms", "change")
 
 
-@query("WITH " + _latest("user_id", 60000, "appear", "leave"))
+@query("WITH " + _latest("user_id", 60000, ("appear", "stay", "leave")))
 def snapshot_stream_diff(t):
     s = events(t).select("user_id", "ts", "value")
     return ST.run_available(SS.snapshot_stream_diff(s, "user_id", 60.0)).select("user_id", "event_ms", "change")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import spread, tune
+from .session import tune
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -62,7 +62,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             path = f"{self.dir}/{name}.parquet"
-            df = spread(self.spark.read.parquet(path), path)
+            df = self.spark.read.parquet(path)
             for col, kind in df.dtypes:
                 if kind == "timestamp_ntz":
                     df = df.withColumn(col, df[col].cast("timestamp"))

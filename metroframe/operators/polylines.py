@@ -168,21 +168,22 @@ def clamp_profile(ys: Column, ground: Column, lo: float = 0.2, hi: float = 0.6)
 def limit_grade(ys: Column, seg_len: Column, max_grade: float = 0.22, iters: int = 4) -> Column:
     """Cap |dy| <= grade * length by alternating forward and backward passes."""
 
-    @F.pandas_udf("array<double>")
-    def relax(profiles: pd.Series, lengths: pd.Series) -> pd.Series:
-        def one(y: np.ndarray, s: np.ndarray) -> list[float]:
-            out, caps = [float(v) for v in y], [max_grade * float(v) for v in s]
-            for _ in range(iters):
-                for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
-                    back = 1 if order.step > 0 else -1
-                    for i in order:
-                        ref, cap = out[i - back], caps[i - 1 if back > 0 else i]
-                        out[i] = min(max(out[i], ref - cap), ref + cap)
-            return out
-
-        return pd.Series([one(y, s) for y, s in zip(profiles, lengths)])
-
-    return relax(ys, seg_len)
+    def swept(profile: Column, lengths: Column) -> Column:
+        """Each height held within reach of the one before it; the first stays."""
+        first = F.slice(profile.cast("array<double>"), 1, 1)
+        steps = F.zip_with(F.slice(profile, 2, F.greatest(F.size(profile) - 1, F.lit(0))), lengths, lambda y, s: F.struct(y.cast("double").alias("y"), (max_grade * s).alias("cap")))
+
+        def hold(done: Column, v: Column) -> Column:
+            ref = F.element_at(done, -1)
+            return F.concat(done, F.array(F.least(F.greatest(v["y"], ref - v["cap"]), ref + v["cap"])))
+
+        return F.aggregate(steps, first, hold)
+
+    # every step sweeps once and turns the line round; an even number of steps leaves it as it was
+    def step(profile: Column, k: Column) -> Column:
+        return F.reverse(swept(profile, F.when(k % 2 == 1, seg_len).otherwise(F.reverse(seg_len))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * iters)), ys.cast("array<double>"), step)
 
 
 # ---- positions along a line ----------------------------------------------------

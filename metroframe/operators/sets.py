@@ -108,6 +108,19 @@ def natural_order(df: DataFrame, *cols: str) -> DataFrame:
     return df.orderBy(*[k for c in cols for k in numeric_aware_key(F.col(c))], *cols)
 
 
+def ranked(df: DataFrame, *order: Column, rank: str = "rank") -> DataFrame:
+    """All rows with their place (from 1) in a total order.
+
+    Rows are sorted across partitions and counted there; only one number per partition is added up.
+    """
+    placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    return placed.withColumn("_part", part).join(starts, "_part").select(*df.columns, (F.col("_before") + at + 1).alias(rank))
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 

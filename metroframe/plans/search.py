@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,10 +72,12 @@ def best_item(
     exclusive cap on the score.  ``left`` rows need a unique ``left_id``.
     """
     on, tie, payload = list(on), list(tie), list(payload)
-    items = materialize(items)  # read once per pyramid level
+    finite = reduce(and_, [F.abs(c) < float("inf") for c in ("_x0", "_x1", "_z0", "_z1", "_mx", "_mz")])  # NaN is above infinity
+    items = materialize(items.where(finite))  # read once per pyramid level
+    # the square spans all but the outermost thousandths, so that a few wild places do not stretch it; those go to its border cells
+    ends = [F.percentile_approx(c, [0.001, 0.999], 10_000) for c in ("_mx", "_mz")]
     ext = items.agg(
-        F.min("_mx").alias("x0"), F.max("_mx").alias("x1"), F.min("_mz").alias("z0"),
-        F.max("_mz").alias("z1"), F.count(F.lit(1)).alias("n"),
+        ends[0][0].alias("x0"), ends[0][1].alias("x1"), ends[1][0].alias("z0"), ends[1][1].alias("z1"), F.count(F.lit(1)).alias("n"),
     ).first()
     if not ext.n:
         empty = [F.lit(None).cast(dict(items.dtypes)[c]).alias(c) for c in payload]
@@ -124,7 +128,10 @@ def _slack(bound: Column) -> Column:
 
 def _leaves(items: DataFrame, x0: float, z0: float, span: float, depth: int) -> DataFrame:
     cells = float(4**depth)
-    cx = F.floor((F.col("_mx") - F.lit(x0)) / F.lit(span) * F.lit(cells)).cast("long")
-    cz = F.floor((F.col("_mz") - F.lit(z0)) / F.lit(span) * F.lit(cells)).cast("long")
-    last = F.lit(int(cells) - 1).cast("long")
-    return items.withColumn("_cx", F.least(cx, last)).withColumn("_cz", F.least(cz, last))
+    first, last = F.lit(0).cast("long"), F.lit(int(cells) - 1).cast("long")
+
+    def cell(c: str, c0: float) -> Column:
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - F.lit(c0)) / F.lit(span)))
+        return F.greatest(first, F.least(F.floor(share * F.lit(cells)).cast("long"), last))
+
+    return items.withColumn("_cx", cell("_mx", x0)).withColumn("_cz", cell("_mz", z0))

@@ -72,28 +72,18 @@ _fallback_dir: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only in local mode, where one machine is the cluster."""
     global _fallback_dir
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="metroframe-")
     return _fallback_dir
 
 
-def spread(df: DataFrame, path: str, worth: int = 2_000_000) -> DataFrame:
-    """Split the scan of one larger local file that cannot be split on its own.
-
-    A file with a single row group is one task however many cores there are.  Scans
-    with at least one split per core, and small files, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not os.path.isfile(path) or os.path.getsize(path) < worth or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job by writing the rows to shared storage.
 

@@ -236,10 +236,17 @@ def read_geojson_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_layer_json(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """One row per record of a layer, from whole documents or from ``write_layer_json`` lines."""
+    """One row per record of a layer, from files of one document each or of one document per line.
+
+    A file in which some line is no document of its own is one document.
+    """
     doc = f"{layer} ARRAY<{schemas.LAYERS[layer]}>"
-    rows = spark.read.schema(doc).option("multiLine", True).json(path).select(F.explode(layer).alias("r"))
-    return rows.select("r.*")
+    place = F.col("_metadata.file_path").alias("_file")
+    lines = spark.read.schema(f"{doc}, _broken STRING").option("columnNameOfCorruptRecord", "_broken").json(path).select(layer, "_broken", place)
+    whole = lines.where(F.col("_broken").isNotNull() & F.col(layer).isNull()).select("_file").distinct()
+    documents = spark.read.schema(doc).option("multiLine", True).json(path).select(layer, place).join(whole, "_file", "left_semi")
+    rows = lines.where("_broken is null").select(layer, "_file").join(whole, "_file", "left_anti").unionByName(documents)
+    return rows.select(F.explode(layer).alias("r")).select("r.*")
 
 
 def write_layer_json(df: DataFrame, path: str, layer: str) -> None:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.tracks import ASSOC_M, LOST_FRAMES, MERGE_M, TrackState, merge_frame
+from ..operators.tracks import ASSOC_M, LOST_FRAMES, MERGE_M, TRACK, TrackState, merge_frame
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,9 +24,10 @@ def use_rocksdb(spark) -> None:
 
 
 class _Latest(StatefulProcessor):
-    """Latest row per key; a key unseen for ``ttl`` seconds is reported once and forgotten.
+    """A change row for every row of a key, in event order, and one when the key has been unseen for more than ``ttl`` seconds.
 
-    An ``off`` row ends a key at once.
+    An ``off`` row ends a key at once (of equal times it comes last).  A key that comes back appears again, so the
+    output is the same however the rows are dealt to micro-batches.  Rows older than the newest of their key are stale.
     """
 
     def __init__(self, key: list[str], cols: list[str], types: dict[str, str], ttl: float, words: tuple[str, str, str]):
@@ -36,39 +38,44 @@ class _Latest(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("latest", f"_ms bigint{', ' + fields if fields else ''}")
 
-    def _row(self, key, ms: int, values, change: str) -> pd.DataFrame:
-        row = dict(zip(self.key, key)) | {"event_ms": ms} | dict(zip(self.cols, values)) | {"change": change}
-        return pd.DataFrame([row])
+    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.key, "event_ms", *self.cols, "change"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = tuple(self.state.get()) if self.state.exists() else None
-        last, before = held, held
-        off = None
-        for batch in rows:
-            for r in batch.sort_values("event_ms", kind="stable").itertuples(index=False):
-                if r.event_ms < (last[0] if last else -1):
-                    continue  # equal times keep the last arrival, older ones are stale
-                if getattr(r, "off", False):
-                    off, last = r, None
-                else:
-                    off, last = None, (int(r.event_ms), *[getattr(r, c) for c in self.cols])
         appear, stay, leave = self.words
+        last = tuple(self.state.get()) if self.state.exists() else None
+        batch = pd.concat([b[["event_ms", *(["off"] if "off" in b else []), *self.cols]] for b in rows], ignore_index=True)
+        if "off" not in batch:
+            batch["off"] = False
+        out: list[tuple] = []
+        for ms, off, *values in batch.sort_values(["event_ms", "off"], kind="stable")[["event_ms", "off", *self.cols]].itertuples(index=False):
+            if last is not None and ms < last[0]:
+                continue
+            if last is not None and ms - last[0] > self.ttl_ms:
+                out.append((last[0] + self.ttl_ms, *last[1:], leave))
+                last = None
+            if off:
+                if last is not None:
+                    out.append((int(ms), *last[1:], leave))
+                last = None
+                continue
+            out.append((int(ms), *values, appear if last is None else stay))
+            last = (int(ms), *values)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t if isinstance(t, int) else t[0])
         if last is None:
             self.state.clear()
-            if off is not None and before is not None:
-                yield self._row(key, int(off.event_ms), before[1:], leave)
-            return
-        self.state.update(last)
-        self.handle.registerTimer(last[0] + self.ttl_ms)
-        yield self._row(key, last[0], last[1:], appear if before is None else stay)
+        else:
+            self.state.update(last)
+            self.handle.registerTimer(last[0] + self.ttl_ms + 1)
+        if out:
+            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             last = tuple(self.state.get())
             self.state.clear()
-            yield self._row(key, last[0] + self.ttl_ms, last[1:], self.words[2])
+            yield self._frame(key, [(last[0] + self.ttl_ms, *last[1:], self.words[2])])
 
     def close(self) -> None:
         pass
@@ -89,7 +96,7 @@ def _keyed_latest(stream: DataFrame, key: Sequence[str], ttl: float, ts: str, la
 
 
 def latest_by_key(stream: DataFrame, key: str, retire: float = 20.0, ts: str = "ts", late: str = "0 seconds") -> DataFrame:
-    """Newest row per key as ``live``; after ``retire`` seconds unseen, one ``retired`` row."""
+    """Rows of each key as ``live``; after more than ``retire`` seconds unseen, one ``retired`` row."""
     return _keyed_latest(stream, [key], retire, ts, late)
 
 
@@ -99,7 +106,7 @@ def retire_after(poll_seconds: float) -> float:
 
 
 def detections_latest(stream: DataFrame, ttl: float = 6.0, ts: str = "ts", late: str = "0 seconds") -> DataFrame:
-    """Newest detections per camera, dropped after ``ttl`` seconds."""
+    """Detections per camera, stale after more than ``ttl`` seconds."""
     return _keyed_latest(stream, ["camera"], ttl, ts, late, ("live", "live", "stale"))
 
 
@@ -114,7 +121,10 @@ def entity_ttl(stream: DataFrame, key: str, ttl: float = 5.0, ts: str = "ts", la
 
 
 def snapshot_stream_diff(stream: DataFrame, key: str, every: float, ts: str = "ts", late: str = "0 seconds") -> DataFrame:
-    """Entities that appear, stay or leave in a feed of snapshots taken ``every`` seconds."""
+    """Entities that appear, stay or leave in a feed of snapshots taken ``every`` seconds.
+
+    An entity that the snapshot after its last one lacks leaves at that snapshot's time, and may appear again.
+    """
     return _keyed_latest(stream, [key], every, ts, late, ("appear", "stay", "leave"))
 
 
@@ -130,17 +140,18 @@ class _Tracker(StatefulProcessor):
         self.next = handle.getValueState("next", "tid int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = TrackState({k[0]: list(v) for k, v in self.tracks.iterator()}, self.next.get()[0] if self.next.exists() else 1)
+        held = sorted((k[0], *v) for k, v in self.tracks.iterator())
+        state = TrackState(np.array(held, TRACK), self.next.get()[0] if self.next.exists() else 1)
         everything = pd.concat(list(rows), ignore_index=True).sort_values(["frame", "det_id"], kind="stable")
         out = []
         for frame, g in everything.groupby("frame"):
             clusters = merge_frame(*[g[c].tolist() for c in ("x", "z", "quad", "cls")], merge=self.merge)
             out += [(key[0], int(frame), *r) for r in state.update(int(frame), clusters, self.assoc, self.lost)]
-        for k in [k[0] for k in self.tracks.keys()]:
-            if k not in state.tracks:
-                self.tracks.removeKey((k,))
-        for k, v in state.tracks.items():
-            self.tracks.updateValue((k,), (*map(float, v[:5]), int(v[5]), int(v[6]), int(v[7])))
+        left = state.tracks.tolist()
+        for gone in {k[0] for k in self.tracks.keys()} - {t[0] for t in left}:
+            self.tracks.removeKey((gone,))
+        for tid, *values in left:
+            self.tracks.updateValue((tid,), tuple(values))
         self.next.update((state.next_id,))
         yield pd.DataFrame(out, columns=["camera", "frame", "track_id", "x", "z", "heading", "cls", "quad", "quads"])
 

@@ -24,6 +24,15 @@ def test_point_chunks(spark, tmp_path):
         S.read_point_chunks(spark, str(tmp_path / "short.bin")).count()
 
 
+def test_layer_files_of_both_forms(spark, tmp_path):
+    cams = spark.createDataFrame([(f"c{i}",) for i in range(5)], "id string")
+    layer, field = "cameras", spark.createDataFrame([], f"r {S.schemas.LAYERS['cameras']}").schema["r"].dataType.names[0]
+    S.write_layer_json(cams.withColumnRenamed("id", field), str(tmp_path / "mixed"), layer)
+    (tmp_path / "mixed" / "whole.json").write_text(json.dumps({layer: [{field: "w1"}, {field: "w2"}]}, indent=2))
+    got = {r[field] for r in S.read_layer_json(spark, str(tmp_path / "mixed"), layer).select(field).collect()}
+    assert got == {"c0", "c1", "c2", "c3", "c4", "w1", "w2"}
+
+
 def test_meshes_and_rings(spark, tmp_path):
     pos = np.arange(21, dtype="<f4").reshape(7, 3) ** 2
     raw = np.array([7, 0], "<u4").tobytes() + pos.tobytes()

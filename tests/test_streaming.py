@@ -24,6 +24,27 @@ def test_latest_appears_stays_and_leaves(spark, tmp_path):
     assert {(1, 0, "appear"), (2, 0, "appear"), (1, 3, "stay"), (1, 9, "stay"), (2, 8, "leave"), (1, 17, "leave"), (3, 30, "appear")} <= got
 
 
+def test_keys_retire_and_return_however_rows_are_dealt(spark, tmp_path):
+    """The same changes from one, three and seven micro-batches."""
+    import random
+
+    rnd = random.Random(2)
+    rows = sorted({(rnd.randrange(4), rnd.randrange(0, 400)) for _ in range(60)}, key=lambda r: (r[1], r[0])) + [(9, 1000)]
+    want = set()
+    for k in range(4):
+        times = [s for key, s in rows if key == k]
+        for was, s, nxt in zip([None, *times], times, [*times[1:], None]):
+            want.add((k, s, "appear" if was is None or s - was > 20 else "stay"))
+            if nxt is None or nxt - s > 20:
+                want.add((k, s + 20, "leave"))
+    want.add((9, 1000, "appear"))
+    for n in (1, 3, 7):
+        cuts = [rows[i * len(rows) // n : (i + 1) * len(rows) // n] for i in range(n)]
+        stream = source(spark, tmp_path / str(n), cuts, "k long, sec long").select("k", F.timestamp_seconds(F.col("sec") + 1000).alias("ts"))
+        got = [(r.k, r.event_ms // 1000 - 1000, r.change) for r in ST.run_available(SS.snapshot_stream_diff(stream, "k", 20.0)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_settled_commits(spark, tmp_path):
     batches = [[(0, i, v) for i, v in enumerate([1.0, 1.1, 0.9])], [(0, 3, 1.05), (0, 4, 1.0)], [(0, 5 + i, 9.0) for i in range(5)]]
     out = ST.run_available(SS.settled_grid(source(spark, tmp_path, batches, "cell long, seq long, value double"), ["cell"]))
