@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MIN_LEVEL = -4
-_MAX_LEVEL = 40
 
 
 def size_level(width: Column, height: Column) -> Column:
     side = F.greatest(width, height, F.lit(2.0**_MIN_LEVEL))
     level = F.ceil(F.log2(side) - F.lit(1e-12)).cast("int")
-    return F.least(F.greatest(level, F.lit(_MIN_LEVEL)), F.lit(_MAX_LEVEL))
+    return F.greatest(level, F.lit(_MIN_LEVEL))
 
 
 def cell_at(v: Column, level: Column) -> Column:
@@ -26,7 +25,7 @@ def cell_at(v: Column, level: Column) -> Column:
 
 
 def levels_in_use(boxes: DataFrame, x0: str, x1: str, z0: str, z1: str) -> list[int]:
-    """Distinct size levels of a table of boxes (at most 45 numbers)."""
+    """Distinct size levels of a table of boxes (as many numbers as there are powers of two among their sizes)."""
     lv = size_level(F.col(x1) - F.col(x0), F.col(z1) - F.col(z0))
     rows = boxes.select(lv.alias("lv")).where("lv is not null").distinct().collect()
     return sorted(r.lv for r in rows)

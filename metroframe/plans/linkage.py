@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+_HELD = 1_000_000  # nodes that one task holds at once
 _DIRECT = 4096  # point pairs tested at most per cell pair without halving
 RING = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
 
@@ -178,12 +179,18 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[v], v = top, parent[v]
         return top
 
+    def stars() -> pd.DataFrame:
+        pairs = [(v, root(v)) for v in list(parent)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pd.DataFrame(pairs + [(b, a) for a, b in pairs], columns=["src", "dst"])
+
     for batch in batches:
         for a, b in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist()):
             ra, rb = root(a), root(b)
             lo, hi = (ra, rb) if ra < rb else (rb, ra)
             parent[lo] = lo
             parent[hi] = lo
-    pairs = [(v, root(v)) for v in list(parent)]
-    pairs = [p for p in pairs if p[0] != p[1]]
-    yield pd.DataFrame(pairs + [(b, a) for a, b in pairs], columns=["src", "dst"])
+        if len(parent) > _HELD:  # partial stars: the rounds that follow join them
+            yield stars()
+            parent.clear()
+    yield stars()

@@ -58,6 +58,19 @@ def with_neighbours(
     return joined.select(*df.columns, *added)
 
 
+def _whole_table_offsets(sums: DataFrame, names: list[str], wide: int = 4096) -> DataFrame:
+    """Block sums of a table without keys, with the sum before their stretch of ``wide`` blocks and that of the table.
+
+    One row for each stretch is summed up in order, not one for each block.
+    """
+    sums = sums.withColumn("_sup", F.floor(F.col("_blk") / wide))
+    stretches = sums.groupBy("_sup").agg(*[F.sum(f"_s_{o}").alias(f"_p_{o}") for o in names])
+    whole = Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    told = [F.coalesce(F.sum(f"_p_{o}").over(before), F.lit(0)).alias(f"_u_{o}") for o in names] + [F.sum(f"_p_{o}").over(whole).alias(f"_t_{o}") for o in names]
+    return sums.join(stretches.select("_sup", *told), "_sup")
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -78,7 +91,15 @@ def running_total(
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     earlier = part.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     picked = [*keys, "_blk"]
+    if not keys:
+        sums = _whole_table_offsets(sums, list(values))
+        earlier = Window.partitionBy("_sup").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     for o in values:
+        if not keys:
+            picked.append((F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)) + F.col(f"_u_{o}")).alias(f"_o_{o}"))
+            if totals:
+                picked.append(F.col(f"_t_{o}").alias(f"{o}_total"))
+            continue
         picked.append(F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}"))
         if totals:
             picked.append(F.sum(f"_s_{o}").over(part).alias(f"{o}_total"))

@@ -15,6 +15,7 @@ from ..operators.lookups import route_enrich
 from ..operators.tracks import associate_image_tracks, moving_tracks
 from ..operators.transit import alert_rows, trip_update_rows, vehicle_rows
 from ..session import scratch_dir
+from .state import closed_windows
 
 
 def vehicle_positions(entities: DataFrame, routes: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def gap_sessions(stream: DataFrame, key: str, gap: str, ts: str = "ts", late: st
 def flow_window(dets: DataFrame, seconds: int = 12, ts: str = "ts") -> DataFrame:
     """Flow directions per camera, quad and tumbling window of detections (det_id, frame, cls, u, v).
 
-    Runs on a batch; as a stream use ``flow_window_sink`` per micro-batch of closed windows.
+    Runs on a batch; as a stream, ``flow_window_stream`` hands closed windows to ``flow_window_sink``.
     """
     w = F.window(ts, f"{seconds} seconds")
     rows = dets.where(flow_class(F.col("cls"))).withColumn("_w", F.unix_seconds(w["start"]))
@@ -84,6 +85,20 @@ def flow_window_sink(path: str, seconds: int = 12) -> Callable[[DataFrame, int],
     return write
 
 
+def flow_window_stream(dets: DataFrame, path: str, seconds: int = 12, ts: str = "ts", late: str = "0 seconds"):
+    """Started query that writes the flows of each window of a detection stream once it is over.
+
+    Rows wait in state until the watermark passes their window, so no window is cut at a micro-batch's border.
+    """
+    rows = closed_windows(dets.select("camera", "quad", "frame", "det_id", "cls", "u", "v", ts), seconds, ts, "camera", late)
+    sink = flow_window_sink(f"{path}/flows", seconds)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sink(batch.withColumn(ts, F.timestamp_millis(F.col(f"{ts}_ms"))), batch_id)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+
+
 # ---- last good payload ---------------------------------------------------------
 def last_good(build: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that keeps the last good table.

@@ -170,6 +170,47 @@ def track_stream(stream: DataFrame, merge: float = MERGE_M, assoc: float = ASSOC
     return rows.groupBy("camera").transformWithStateInPandas(_Tracker(merge, assoc, lost), schema, "Append", "None")
 
 
+class _Closed(StatefulProcessor):
+    """Rows of a key and window, held until the watermark passes the window's end."""
+
+    def __init__(self, cols: list[str], types: dict[str, str]):
+        self.cols, self.types = cols, types
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", ", ".join(f"v{i} {self.types[c]}" for i, c in enumerate(self.cols)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            self.rows.appendList([tuple(r) for r in batch[self.cols].astype(object).itertuples(index=False)])
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(int(key[-1]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame([tuple(r) for r in self.rows.get()], columns=self.cols)
+        self.rows.clear()
+        yield held.assign(_end=int(key[-1]))
+
+    def close(self) -> None:
+        pass
+
+
+def closed_windows(stream: DataFrame, seconds: int, ts: str = "ts", key: str = "camera", late: str = "0 seconds") -> DataFrame:
+    """The rows of a stream, each once its tumbling window is over; all rows of a key and window come in one micro-batch.
+
+    ``_end`` is the window's end in milliseconds.  State holds the rows of open windows only.
+    """
+    use_rocksdb(stream.sparkSession)
+    cols = [c for c in stream.columns if c != ts] + [f"{ts}_ms"]
+    timed = stream.withWatermark(ts, late).withColumn(f"{ts}_ms", F.unix_millis(ts))
+    types = dict(timed.dtypes)
+    end = F.unix_millis(F.window(ts, f"{seconds} seconds")["end"])
+    keyed = timed.withColumn("_end", end)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", _end bigint"
+    return keyed.groupBy(key, "_end").transformWithStateInPandas(_Closed(cols, types), schema, "Append", "EventTime")
+
+
 class _Settle(StatefulProcessor):
     """Last samples of a cell; a value is committed when they agree and it moved enough."""
 

@@ -101,3 +101,15 @@ def test_cross_view_merge(spark):
     out = merge_cross_view(dets).orderBy("cluster").collect()
     assert [(r.cls, r.quads) for r in out] == [(2, 2), (2, 1), (7, 1)]
     assert out[0].x == pytest.approx(115.3)
+
+
+def test_detections_without_quad_join_any_cluster():
+    from metroframe.operators.tracks import TrackState, merge_frame
+
+    assert [r[:3] for r in merge_frame([0.0, 1.0], [0.0, 0.0], [None, None], [2, 2]).rows()] == [(0.5, 0.0, 2)]
+    same = merge_frame([0.0, 1.0, 0.4], [0.0, 0.0, 0.0], [1, 1, None], [None, 3, 5])
+    assert [(r[0], r[2], r[5]) for r in same.rows()] == [(0.2, 2, 2), (1.0, 1, 1)] and same.cls[0] == 5
+    t = TrackState()
+    assert [r[0] for r in t.update(0, merge_frame([0.0, 20.0], [0.0, 0.0], [0, 0], [2, 2]))] == [1, 2]
+    assert [(r[0], round(r[3], 6)) for r in t.update(1, merge_frame([1.0], [0.0], [1], [2]))] == [(1, 0.0)]
+    assert t.next_id >= 3
