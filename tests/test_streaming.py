@@ -79,11 +79,11 @@ def test_flow_windows_are_whole(spark, tmp_path):
     rows = [("c", 0, f, d, 2, 0.1 + 0.05 * (f % 10) + d * 0.3, 0.2 + 0.02 * (f % 10), f) for f in range(40) for d in (0, 1)]
     cols = "camera string, quad int, frame long, det_id long, cls int, u double, v double, sec long"
     batches = [rows[i : i + 17] for i in range(0, len(rows), 17)] + [[("z", 0, 999, 0, 2, 0.5, 0.5, 999)]]
-    stream = source(spark, tmp_path, batches, cols).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    stream = source(spark, tmp_path, batches, cols).withColumn("ts", F.timestamp_seconds(F.col("sec") + 1200)).drop("sec")
     # rows at the watermark itself count as late, and frames here are split between batches
     q = ST.flow_window_stream(stream, str(tmp_path / "out"), 12, late="2 seconds").trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out" / "flows")).where("camera = 'c'")
-    whole = ST.flow_window(spark.createDataFrame(rows, cols).withColumn("ts", F.timestamp_seconds("sec")), 12)
+    whole = ST.flow_window(spark.createDataFrame(rows, cols).withColumn("ts", F.timestamp_seconds(F.col("sec") + 1200)), 12)
     pick = lambda df: sorted((r.window_start, r.side, r["count"], round(r.speed, 9)) for r in df.collect())
     assert pick(got) == pick(whole) and whole.count() > 0
