@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates.
 
-Words become typed placeholders: numbers, names (title case) and units (after a number).  Windows of ``WINDOW``
+Words become typed placeholders: numbers, names (title case) and units (after a number); a second set of windows leaves
+names as words, for copies in other letter case.  Windows of ``WINDOW``
 template tokens of the benchmark and of all documents meet in a hash join; a bitmap of the benchmark's hashes, of
 bounded size, keeps all other document windows out of the join.  Matches on one diagonal (document place less item
 place) form runs.  A run shows a copy if it is long enough and its slots are consistent: an item's number, unit or
@@ -65,29 +66,35 @@ class Templates(dict):
         low = word.lower()
         if _NUMBER.fullmatch(low):
             return 4 | SLOT_NUMBER
-        if len(word) > 1 and word[0].isupper() and word[1:].islower():
-            return 8 | SLOT_NAME
         h = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~3
+        if len(word) > 1 and word[0].isupper() and word[1:].islower():
+            return h | SLOT_NAME
         return h | (SLOT_UNIT if low.encode("utf-8", "surrogatepass") in UNITS else SLOT_WORD)
 
 
-def template(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Template codes and kinds of the tokens of one text; a unit is one only after a number."""
+def template(codes: np.ndarray, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Template codes and kinds of the tokens of one text; a unit is one only after a number.
+
+    Without ``names`` a name is a word like others, so that a copy in other letter case is still found.
+    """
     kind = (codes & np.uint64(3)).astype(np.int64)
     after = np.append(False, kind[:-1] == SLOT_NUMBER)
     kind[(kind == SLOT_UNIT) & ~after] = SLOT_WORD
-    out = np.where(kind == SLOT_UNIT, np.uint64(12 | SLOT_UNIT), np.where(kind == SLOT_WORD, codes & ~np.uint64(3), codes))
-    return out, kind
+    if not names:
+        kind[kind == SLOT_NAME] = SLOT_WORD
+    return np.where(kind == SLOT_WORD, codes & ~np.uint64(3), kind.astype(np.uint64)), kind
 
 
 def windows(raw: list[bytes], known: Templates, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(size, window hashes, whether each has enough literal words, kinds of the tokens) for each size."""
-    out, kind = template(np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw)))
-    literal = np.append(0, np.cumsum(kind == SLOT_WORD))
-    for size in sizes:
-        if len(raw) >= size:
-            h = shingle_hashes(out, size) + np.uint64(size)
-            yield size, h, (literal[size:] - literal[:-size]) >= LITERAL * size, kind
+    """(size, window hashes, whether each has enough literal words, kinds of the tokens) for each size, with names as slots and as words."""
+    codes = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
+    for names in (True, False):
+        out, kind = template(codes, names)
+        literal = np.append(0, np.cumsum(kind == SLOT_WORD))
+        for size in sizes:
+            if len(raw) >= size:
+                h = shingle_hashes(out, size) + np.uint64(2 * size + names)
+                yield size, h, (literal[size:] - literal[:-size]) >= LITERAL * size, kind
 
 
 _SLOTS = "array<struct<offset:int,kind:int,value:string>>"
