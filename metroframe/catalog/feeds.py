@@ -239,11 +239,10 @@ def verify_layer(t):
 def layer_round_trip(t):
     """A layer written as JSON documents and read back with its schema."""
     import os
-    import uuid
 
-    from ..session import scratch_dir
+    from ..session import scratch_path
 
-    path = os.path.join(scratch_dir(t.spark), "metroframe", "layer-" + uuid.uuid4().hex)
+    path = scratch_path(t.spark, "layer-")
     sums = t.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
     cams = sums.select(F.col("l_partkey").cast("string").alias("id"), F.col("n").cast("string").alias("name"), F.col("q").alias("lat"))
     S.write_layer_json(cams, path, "cameras")

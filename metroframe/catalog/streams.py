@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, with_views
-from ..session import scratch_dir
+from ..session import scratch_path
 from ..streaming import feeds as ST
 from ..streaming import state as SS
 from . import feeds as Q
@@ -137,7 +134,7 @@ def alerts_stream(t):
 @query("SELECT event_type, count(*) AS n, false AS stale FROM events GROUP BY event_type")
 def last_good(t):
     """Counts kept by a foreachBatch sink, with the stale flag of the latest batch."""
-    base = os.path.join(scratch_dir(t.spark), "metroframe", "good-" + uuid.uuid4().hex)
+    base = scratch_path(t.spark, "good-")
     sink = ST.last_good(lambda b: b.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), base)
     q = events(t).writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -84,14 +84,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return _fallback_dir
 
 
+def scratch_path(spark: SparkSession, name: str = "") -> str:
+    """A new path in this application's folder of the shared scratch space."""
+    return os.path.join(scratch_dir(spark), "metroframe", spark.sparkContext.applicationId, name + uuid.uuid4().hex)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete all that this application has stored for its own use; results that still read it are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(scratch_dir(spark), "metroframe", spark.sparkContext.applicationId))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job by writing the rows to shared storage.
 
     Parquet rather than an RDD checkpoint: the read side has true sizes, so the
     planner picks broadcast or shuffle joins from facts, and it prunes columns.
-    The files survive the loss of any executor.
+    The files survive the loss of any executor; ``drop_scratch`` removes them.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_dir(spark), "metroframe", uuid.uuid4().hex)
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +12,7 @@ from ..operators.aggregates import principal_axis, split_two_way
 from ..operators.lookups import route_enrich
 from ..operators.tracks import associate_image_tracks, moving_tracks
 from ..operators.transit import alert_rows, trip_update_rows, vehicle_rows
-from ..session import scratch_dir
+from ..session import scratch_path
 from .state import closed_windows
 
 
@@ -142,7 +140,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     restarted driver goes on from the last committed batch.
     """
     spark = stream.sparkSession
-    base = os.path.join(scratch_dir(spark), "metroframe", "stream-" + uuid.uuid4().hex)
+    base = scratch_path(spark, "stream-")
     q = (
         stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).start(f"{base}/rows")

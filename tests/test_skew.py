@@ -80,6 +80,25 @@ def test_nearest_join_brute_force(spark):
         assert got[i][0] == k and got[i][1] == pytest.approx(d)
 
 
+def test_nearest_with_wild_items(spark):
+    """A NaN, an infinite and a far-off item change nothing for the others, and the far one does not stretch the cells."""
+    left, right = hot_points(60, 3), hot_points(400, 4)
+    wild = [(9001, float("nan"), 0.0), (9002, 1.0, float("inf")), (9003, 1e12, -1e12)]
+    plain = {r.id: (r.nearest_id, r.dist) for r in nearest_join(frame(spark, left), frame(spark, right), "id", "id").collect()}
+    more = frame(spark, right).unionByName(spark.createDataFrame([dict(zip(("id", "x", "z"), w)) for w in wild], frame(spark, right).select("id", "x", "z").schema), allowMissingColumns=True)
+    odd = frame(spark, left).unionByName(spark.createDataFrame([dict(zip(("id", "x", "z"), (9000, float("nan"), 1.0)))], frame(spark, left).select("id", "x", "z").schema), allowMissingColumns=True)
+    got = {r.id: (r.nearest_id, r.dist) for r in nearest_join(odd, more, "id", "id").collect()}
+    assert {k: v for k, v in got.items() if k != 9000} == plain and got.get(9000, (None, None)) == (None, None)
+
+
+def test_scratch_can_be_dropped(spark):
+    from metroframe.session import drop_scratch, materialize
+
+    kept = materialize(spark.range(5))
+    assert kept.count() == 5 and drop_scratch(spark)
+    assert materialize(spark.range(3)).count() == 3
+
+
 def test_nearest_other_copy(spark):
     rows = hot_points(90)
     f = frame(spark, rows)
