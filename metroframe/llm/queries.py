@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_dir, tune
+from ..session import materialize, scratch_path, tune
 from . import bpe, decontaminate, langid, licenses, lm, minhash, quality, toxicity, urls, warc
 from .common import checked_join, crc_mod, read
 
@@ -121,7 +120,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest
 @query
 def op5_warc(spark, sf_dir):
     """All pages written as WARC archives and read back."""
-    path = f"{scratch_dir(spark)}/metroframe/{uuid.uuid4().hex}.warc"
+    path = scratch_path(spark, "warc-")
     warc.write(read(spark, sf_dir, "pages"), path)
     back = warc.pages(warc.read(spark, path))
     return back.select(
