@@ -238,8 +238,6 @@ def verify_layer(t):
 @query("SELECT p_partkey, count(*) AS n, round(sum(l_quantity),2)+0.0 AS q FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
 def layer_round_trip(t):
     """A layer written as JSON documents and read back with its schema."""
-    import os
-
     from ..session import scratch_path
 
     path = scratch_path(t.spark, "layer-")
