@@ -26,6 +26,21 @@ def cluster_within(points: DataFrame, r: float, id_col: str = "id") -> DataFrame
     return points.select(id_col, "x", "z").join(named, ["x", "z"]).select(id_col, "cluster")
 
 
+def _beside_cells(points: DataFrame, boxes: DataFrame, payload: list[str], e2: float, ring=RING) -> DataFrame:
+    """Points (px, pz) with each filled cell around their own that lies in reach of the own cell's box.
+
+    Cells meet first, so a point costs a row for each filled cell in reach and none for empty ones.
+    """
+    own = points.groupBy("_gx", "_gz").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
+    around = own.select(F.col("_gx").alias("_ox"), F.col("_gz").alias("_oz"), "x0", "x1", "z0", "z1", offsets(ring).alias("s"))
+    around = around.withColumn("_gx", F.col("_ox") + F.col("s.i")).withColumn("_gz", F.col("_oz") + F.col("s.j"))
+    dx = F.greatest(F.col("bx0") - F.col("x1"), F.col("x0") - F.col("bx1"), F.lit(0.0))
+    dz = F.greatest(F.col("bz0") - F.col("z1"), F.col("z0") - F.col("bz1"), F.lit(0.0))
+    cells = around.join(boxes.select("_gx", "_gz", "bx0", "bx1", "bz0", "bz1", *payload), ["_gx", "_gz"]).where(dx * dx + dz * dz <= e2)
+    probes = points.select(F.col("x").alias("px"), F.col("z").alias("pz"), F.col("_gx").alias("_ox"), F.col("_gz").alias("_oz"))
+    return probes.join(cells.drop("s", "x0", "x1", "z0", "z1"), ["_ox", "_oz"])
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id") -> DataFrame:
     """Density clusters: id, cluster (lowest core id, NULL for noise), kind.  Loop.
 
@@ -36,9 +51,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id")
     pts = _places(points, eps, id_col)
     boxes = materialize(cell_boxes(pts, F.sum("w").alias("n")))
     sparse = pts.join(boxes.where(F.col("n") < min_samples).select("_gx", "_gz", "n"), ["_gx", "_gz"])
-    asked = sparse.select(F.col("x").alias("px"), F.col("z").alias("pz"), "n", offsets().alias("s"), "_gx", "_gz").select(
-        "px", "pz", "n", (F.col("_gx") + F.col("s.i")).alias("_gx"), (F.col("_gz") + F.col("s.j")).alias("_gz")
-    )
+    asked = _beside_cells(sparse, boxes, ["n"], e2)
 
     def reach() -> tuple:
         """Squared least and greatest distance from (px, pz) to the cell's box."""
@@ -52,7 +65,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id")
     near, far = reach()
     dx, dz = F.col("x") - F.col("px"), F.col("z") - F.col("pz")
     close = dx * dx + dz * dz <= e2
-    met = asked.drop("n").join(boxes, ["_gx", "_gz"]).withColumn("_far", far).where(near <= e2)
+    met = asked.withColumn("_far", far).where(near <= e2)
     own = sparse.select(F.col("x").alias("px"), F.col("z").alias("pz"), F.col("n").alias("c"))
     whole = met.where(F.col("_far") <= e2).select("px", "pz", F.col("n").alias("c"))
     part = met.where(F.col("_far") > e2).select("px", "pz", "_gx", "_gz")
@@ -70,13 +83,9 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id")
 
     # border: places of sparse cells that are not core but reach a core place
     lone = sparse.select(*pts.columns).join(core.select("x", "z"), ["x", "z"], "left_anti")
-    here = offsets([(0, 0), *RING])
-    ask2 = lone.select(F.col("x").alias("px"), F.col("z").alias("pz"), here.alias("s"), "_gx", "_gz").select(
-        "px", "pz", (F.col("_gx") + F.col("s.i")).alias("_gx"), (F.col("_gz") + F.col("s.j")).alias("_gz")
-    )
     core_boxes = cell_boxes(labelled, F.min("cluster").alias("cluster"))
     near2, far2 = reach()
-    met2 = ask2.join(core_boxes, ["_gx", "_gz"]).withColumn("_far", far2).where(near2 <= e2)
+    met2 = _beside_cells(lone, core_boxes, ["cluster"], e2, [(0, 0), *RING]).withColumn("_far", far2).where(near2 <= e2)
     sure2 = met2.where(F.col("_far") <= e2).select("px", "pz", "cluster")
     part2 = met2.where(F.col("_far") > e2).select("px", "pz", "_gx", "_gz").join(
         labelled, ["_gx", "_gz"]
