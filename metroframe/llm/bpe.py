@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, small_batches
 
 NONE = np.int32(2**31 - 1)
 LONG = 128
@@ -222,6 +222,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     Each match of ``pattern`` is encoded separately; text that no match covers is not encoded.  Null and empty texts
     have no ids (an empty value, not null).  Repeated rows stay, null ids too, and other columns go.
     """
+    small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +235,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded): the bytes of packed ids; null counts as no ids, an unknown id is an error."""
+    small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

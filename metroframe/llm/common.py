@@ -18,6 +18,17 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BROADCAST_ROWS = 500_000
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts can be long, and a batch is held several times over.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in smaller batches than Spark's default, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -29,12 +40,13 @@ def crc_mod(key: str, n: int) -> Column:
 
 def with_columns(
     df: DataFrame, text_col: str, added: dict[str, str], values: Callable[[list[str | None]], list[pa.Array]], keep: list[str] | None = None,
-    size: int = 1_500_000,
+    size: int = 1_000_000,
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` (all, if None) with columns computed from the texts of a bounded batch by ``values``.
 
     ``added`` has the new names and types; columns of ``df`` with these names are replaced.
     """
+    small_batches(df.sparkSession)
     kept = [c for c in (df.columns if keep is None else keep) if c not in added]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_in"))
     fields = [f for f in rows.schema.fields if f.name != "_text_in"]
@@ -102,7 +114,7 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, size: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: str, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Split batches so that the texts of each hold about ``size`` bytes at most (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

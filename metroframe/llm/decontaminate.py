@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import bounded, mixed, shingle_hashes
+from .common import bounded, mixed, shingle_hashes, small_batches
 
 WINDOW = 8
 #: Literal words that a window has at least, as a share of its length.
@@ -174,6 +174,7 @@ def leaks(
     none does.  Null and empty texts and items of fewer than four words hold nothing; repeated rows of a document
     count once; rows with a null id are reported under null.
     """
+    small_batches(docs.sparkSession)
     kind_of = dict(docs.dtypes)[id_col]
     bench = materialize(_item_windows(items, item_col, item_text, window))
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most ``window`` numbers

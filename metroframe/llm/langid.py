@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, gram_buckets, letter_codes, with_columns
+from .common import bounded, gram_buckets, letter_codes, small_batches, with_columns
 
 SIZES = (1, 2, 3)
 BITS = 16
@@ -58,6 +58,7 @@ def fit(
     Of a language with more than ``fit_rows`` rows, those whose hashed id falls below the matching share are used,
     so the cost of a fit is bounded whatever the corpus.  More than ``max_langs`` languages are refused.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_lang is not null and _text is not null")
     counted = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
     if len(counted) > max_langs:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import bounded, mixed, words_of
+from .common import bounded, mixed, small_batches, words_of
 
 BITS = 17
 START, END, FIRST_WORD = 0, 1, 2
@@ -178,6 +178,7 @@ def expectation_maximisation(where: np.ndarray, p2: np.ndarray, p1: np.ndarray,
 
 def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", head_docs: int = HEAD_DOCS, fit_events: int = FIT_EVENTS) -> Model:
     """Counts of the listed n-grams and the weights, from the rows where ``train_col`` is true."""
+    small_batches(df.sparkSession)
     train = df.where(F.col(train_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     lists = _lists(train, size["n"], head_docs)
@@ -264,6 +265,7 @@ def score(df: DataFrame, model: Model, train_col: str, id_col: str = "doc_id", t
     A null text is empty: its only token is its end.  Rows that share an id (null too) are parts of one document, each
     with its own end: their tokens and scores are added.
     """
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
     held = spark.sparkContext.broadcast(model)

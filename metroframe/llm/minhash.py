@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WordHashes, bounded, checked_join, mixed, shingle_hashes, words_of
+from .common import WordHashes, bounded, checked_join, mixed, shingle_hashes, small_batches, words_of
 
 WORDS = 5
 BANDS, ROWS = 64, 6
@@ -232,6 +232,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     it is the row's own.  Texts without words link with nothing.  Rows with a null id link with nothing and have a
     null component (not kept); repeated rows of one id are one document and have equal results.
     """
+    small_batches(df.sparkSession)
     words = how.get("words", WORDS)
     sig = materialize(signatures(df, id_col, text_col, **how))
     full = sig.where("n_shingles > 0 and id is not null")

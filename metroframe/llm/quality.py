@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bounded, checked_join, mixed, shingle_hashes, with_columns
+from .common import LOWER, WordHashes, bounded, checked_join, mixed, shingle_hashes, small_batches, with_columns
 
 BITS = 14
 #: Nats per n-gram below which a text is dropped.
@@ -60,6 +60,7 @@ def measures(text: str | None, hashes: WordHashes) -> tuple[int, int, int, int,
 
 def fit(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
     """Log-ratio of each bucket; counts of the trusted ids and of all rows, summed by Spark."""
+    small_batches(df.sparkSession)
     marks = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("good", F.lit(True))
     rows = checked_join(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), marks, ["id"], "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 

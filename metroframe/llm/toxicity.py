@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bounded, gram_buckets, letter_codes, with_columns
+from .common import bounded, gram_buckets, letter_codes, small_batches, with_columns
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -61,6 +61,7 @@ def fit(
     Of a class with more than ``fit_rows`` rows, those whose hashed id falls below the matching share are used, with
     the weight that they stand for.  Without rows of both classes every score is the share of toxic rows (0.5 if none).
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_y")).where("_text is not null and _y in (0, 1)")
     counted = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = 1 << bits
