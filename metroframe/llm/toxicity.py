@@ -59,7 +59,7 @@ def fit(
     """Learn from rows labelled 1 or 0; rows with a null text or another label teach nothing.
 
     Of a class with more than ``fit_rows`` rows, those whose hashed id falls below the matching share are used, with
-    the weight that they stand for.  Without rows of both classes every score is the share of toxic rows (0.5 if none).
+    the weight that they stand for.  With rows of one class only every score is next to that class, without any it is 0.5.
     """
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_y")).where("_text is not null and _y in (0, 1)")

@@ -233,6 +233,18 @@ def test_language_model_matches_plain_counts(spark, monkeypatch, listed):
         assert got[i] == pytest.approx(x, rel=1e-7), i
 
 
+def test_language_model_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+    n, _, want = plain_scores(rows, train, np.full((lm.BUCKETS, 3), 1 / 3))
+    out = QUERIES["op9_language_model"](spark, SF).collect()
+    assert len(out) == len(rows) and all(r.train_tokens == n and r.held_out != train(r.doc_id) for r in out)
+    for r in out:
+        assert (r.n_tokens, r.n_known) == want[r.doc_id][:2] and r.base_score == pytest.approx(want[r.doc_id][2], rel=1e-7)
+    held = [r for r in out if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # the context helps on unseen documents
+
+
 def test_language_model_odd_tables(spark):
     empty = spark.createDataFrame([], TEXTS).withColumn("train", F.lit(True))
     model = lm.fit(empty, "train")

@@ -129,6 +129,19 @@ def test_quality_verdicts(spark):
     assert quality.judge(df.limit(1).withColumn("llr", F.lit("x")), none).first().llr == 0.0
 
 
+def test_quality_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op3_quality"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = plain_measures(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 20 or 100 * n[4] > 30 * n[0]) and r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    judged = [(good[r.doc_id], r.kept) for r in rows if r.doc_id in good and not r.base_failed]
+    assert sum(q == k for q, k in judged) >= 0.95 * len(judged)
+
+
 def plain_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places = []
