@@ -40,7 +40,7 @@ def crc_mod(key: str, n: int) -> Column:
 
 def with_columns(
     df: DataFrame, text_col: str, added: dict[str, str], values: Callable[[list[str | None]], list[pa.Array]], keep: list[str] | None = None,
-    size: int = 1_000_000,
+    size: int = 400_000,
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` (all, if None) with columns computed from the texts of a bounded batch by ``values``.
 
@@ -114,7 +114,7 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: str, size: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Split batches so that the texts of each hold about ``size`` bytes at most (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

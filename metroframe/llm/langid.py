@@ -75,7 +75,7 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(langs) << bits, np.int64)
-        for b in bounded(batches, "_text"):
+        for b in bounded(batches, "_text", 300_000):
             lang = np.fromiter((place[v] for v in b.column(1).to_pylist()), np.int64, b.num_rows)
             x, doc = letter_codes(b.column(0).to_pylist())
             for bucket, row in gram_buckets(x, doc, sizes, bits):
@@ -106,4 +106,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         lang, score = held.value.predict(texts)
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
-    return with_columns(df, text_col, {out[0]: "string", out[1]: "double"}, values, keep)
+    return with_columns(df, text_col, {out[0]: "string", out[1]: "double"}, values, keep, 300_000)

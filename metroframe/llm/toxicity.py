@@ -74,7 +74,7 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(2 * size + 2, np.int64)
-        for b in bounded(batches, "_text"):
+        for b in bounded(batches, "_text", 300_000):
             y = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             x, doc = letter_codes(b.column(0).to_pylist())
             row, bucket = _distinct(x, doc, b.num_rows, sizes, bits)
@@ -106,7 +106,7 @@ def fit(
     scale = ratio[top]
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "_text"):
+        for b in bounded(batches, "_text", 300_000):
             x, doc = letter_codes(b.column(0).to_pylist())
             row, bucket = _distinct(x, doc, b.num_rows, sizes, bits, wanted)
             ends = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
@@ -160,4 +160,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
     Null and empty texts get the score of a text without any feature.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    return with_columns(df, text_col, {out: "double"}, lambda texts: [pa.array(held.value.score(texts), pa.float64())], keep)
+    return with_columns(df, text_col, {out: "double"}, lambda texts: [pa.array(held.value.score(texts), pa.float64())], keep, 300_000)
