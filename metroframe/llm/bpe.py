@@ -252,9 +252,24 @@ def token_ids(packed: bytes) -> list[int]:
     return np.frombuffer(packed, "<u4").tolist()
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): ``encode`` and then ``decode`` in one Python pass, so that a task holds one worker."""
+    small_batches(df.sparkSession)
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern)
+        for b in bounded(batches, text_col):
+            ids = enc.encode(b.column(1).to_pylist())
+            cols = [b.column(0), pa.array(ids, pa.binary()), pa.array([enc.decode(x) for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "decoded"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+
+
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of the encoded and again decoded texts."""
-    back = decode(encode(df, path, pattern, id_col, text_col), path, pattern, id_col)
+    back = round_trip(df, path, pattern, id_col, text_col)
     return back.select(
         id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -299,6 +299,8 @@ def test_bpe_query_and_odd_rows(spark):
     df = spark.createDataFrame(odd, TEXTS).withColumn("ids", F.lit("clash"))
     assert sorted(map(tuple, bpe.digests(df, *VOCABULARY).collect())) == sorted(plain_digests(odd))
     assert bpe.digests(df.limit(0), *VOCABULARY).count() == 0
+    apart = bpe.decode(bpe.encode(df, *VOCABULARY), *VOCABULARY)
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, bpe.round_trip(df, *VOCABULARY).collect()))
     assert bpe.encode(spark.createDataFrame([(None, "a")], TEXTS), *VOCABULARY).first().doc_id is None
 
 
