@@ -1,8 +1,9 @@
 """Language-model scoring: deleted interpolation of word bigrams, words and a uniform floor.
 
 P(w | v) = a(b) c(v,w) / c(v) + u(b) c(w) / N + z(b) / (V + 1), where b is the bucket of the context's frequency
-c(v), and V, in this floor only, is estimated from a share of all words chosen by hash.  The weights of a bucket are learned by expectation-maximisation on held-out counts: every training event is
-held out of its own counts (c - 1), the deleted estimate.
+c(v) and V the number of distinct training words.  The weights of a bucket are learned by expectation-maximisation on
+held-out counts: every training event is held out of its own counts (c - 1), the deleted estimate.  All training events
+are used; a histogram of their held-out estimates, of bounded size, is what the driver gathers.
 
 Counts are exact.  Words and bigrams that are frequent in a bounded sample (``HEAD_WORDS``, ``HEAD_PAIRS``) are counted
 in place and their counts are broadcast; this bounds how often any other word or bigram occurs, so all the others are
@@ -31,8 +32,6 @@ HEAD_WORDS = (1 << BITS) - FIRST_WORD
 HEAD_PAIRS = 1 << 18
 #: Training documents, about, from which the lists of frequent words and bigrams are taken.
 HEAD_DOCS = 8_000
-#: Held-out events, about, from which the weights are learned (all, where there are fewer).
-FIT_EVENTS = 1_000_000
 BUCKETS = 21
 SCALE = 2.0**26  # of fixed-point sums
 STEP = 8  # bins for each doubling of a held-out estimate
@@ -176,25 +175,18 @@ def expectation_maximisation(where: np.ndarray, p2: np.ndarray, p1: np.ndarray,
     return weights
 
 
-def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", head_docs: int = HEAD_DOCS, fit_events: int = FIT_EVENTS) -> Model:
+def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", head_docs: int = HEAD_DOCS) -> Model:
     """Counts of the listed n-grams and the weights, from the rows where ``train_col`` is true."""
     small_batches(df.sparkSession)
     train = df.where(F.col(train_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    size = train.agg(F.count(F.lit(1)).alias("n")).first()
     lists = _lists(train, size["n"], head_docs)
     n_words, n_pairs = FIRST_WORD + len(lists.words), len(lists.pairs)
-    share = min(1.0, fit_events / max(1, (size["bytes"] or 0) // 12))  # about half the tokens are shuffled events
     held = df.sparkSession.sparkContext.broadcast(lists)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the listed words and bigrams, and (key -1) of the unlisted words."""
         codes, n, rest = held.value.codes(), np.zeros(n_words + n_pairs, np.int64), 0
-
-        def out(kind: int, key: np.ndarray, role: np.ndarray, other: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(key), 50_000):
-                s = slice(lo, lo + 50_000)
-                cols = [np.full(len(key[s]), kind, np.int32), key[s], role[s].astype(np.int32), other[s], m[s]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "key", "role", "other", "n"])
-
         for b in bounded(batches, "text"):
             v, w, _ = events(b.column(0).to_pylist(), codes)
             n[START] += b.num_rows
@@ -202,29 +194,36 @@ def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "
             at = held.value.place(v, w)
             n[n_words:] += np.bincount(at[at >= 0], minlength=n_pairs)
             rest += int((w < 0).sum())
-            key, role, other, _ = shuffled(v[at < 0], w[at < 0])
-            if share < 1:
-                drawn = (mixed(key.view(np.uint64)) >> np.uint64(40)) < np.uint64(share * (1 << 24))
-                key, role, other = key[drawn], role[drawn], other[drawn]
-            first, m = merged(key, role, other, np.zeros(len(key), np.int64))
-            yield from out(1, key[first], role[first], other[first], m)
         at = np.flatnonzero(n)
-        zero = np.zeros(len(at), np.int64)
-        yield from out(0, at, zero, zero, n[at])
-        yield from out(2, *[np.zeros(1, np.int64)] * 3, np.array([rest]))
+        for lo in range(0, len(at), 50_000):
+            part = at[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([rest], pa.int64())], ["key", "n"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All events outside the lists."""
+        codes = held.value.codes()
+        for b in bounded(batches, "text"):
+            v, w, _ = events(b.column(0).to_pylist(), codes)
+            rest = held.value.place(v, w) < 0
+            key, role, other, _ = shuffled(v[rest], w[rest])
+            first, m = merged(key, role, other, np.zeros(len(key), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(role[first].astype(np.int32)), pa.array(other[first]), pa.array(m)], ["key", "role", "other", "n"])
 
-    got = materialize(train.select("text").mapInArrow(count, "kind int, key long, role int, other long, n long"))
-    summed = got.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    summed = train.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, total = (c.to_numpy() for c in summed.columns)
     n = np.zeros(n_words + n_pairs, np.int64)
-    n[summed.column("key").to_numpy()] = summed.column("n").to_numpy()
+    n[key[key >= 0]] = total[key >= 0]
     word, pair = n[:n_words], n[n_words:]
-    unlisted = round(got.where("kind = 1 and key < 0 and role = 0").select("key").distinct().count() / share)
-    tokens = int(word[END:].sum()) + (got.where("kind = 2").agg(F.sum("n")).first()[0] or 0)
-    distinct = int((word[END:] > 0).sum()) + unlisted
-
-    # held-out events: bigrams with their counts, and the count of the unlisted word of each
-    grams = got.where("kind = 1").groupBy("key", "role", "other").agg(F.sum("n").alias("pair"))
-    own = F.sum(F.when(F.col("role") == 0, F.col("pair"))).over(Window.partitionBy("key"))
+    tokens = int(word[END:].sum() + total[key < 0].sum())
+
+    # held-out events: bigrams with their counts, and the count of the unlisted word of each; read once more, since the
+    # text is smaller than its events; one exchange serves the counts of bigrams and of words
+    grams = train.select("text").mapInArrow(others, "key long, role int, other long, n long").repartition("key")
+    grams = grams.groupBy("key", "role", "other").agg(F.sum("n").alias("pair"))
+    by = Window.partitionBy("key").orderBy("role")
+    own = F.sum(F.when(F.col("role") == 0, F.col("pair"))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    new = (F.col("key") < 0) & (F.col("role") == 0) & (F.row_number().over(by) == 1)
     told = df.sparkSession.sparkContext.broadcast(word)
 
     def estimates(p: np.ndarray, c: np.ndarray, w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,22 +235,28 @@ def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, role, other, p, o = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            o = np.nan_to_num(o).astype(np.int64)
+            key, role, other, p, o, first = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             listed = np.append(told.value, 0)
             context = np.where(key >= 0, listed[np.clip(key >> BITS, 0, n_words)], np.where(role == 1, o, listed[np.clip(other, 0, n_words)]))
             token = np.where(key >= 0, listed[np.clip(key & ((1 << BITS) - 1), 0, n_words)], np.where(role == 1, listed[np.clip(other, 0, n_words)], o))
             use = other >= 0  # bigrams of two unlisted words would need a second meeting
             bins, m = estimates(p[use], context[use], token[use], p[use])
             slot, inverse = np.unique(bins, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bincount(inverse, m, minlength=len(slot)))], ["slot", "m"])
-
-    hist = grams.select("key", "role", "other", "pair", F.coalesce(own, F.lit(0)).alias("own")).mapInArrow(binned, "slot long, m double").groupBy("slot").agg(F.sum("m").alias("m")).toArrow()
+            m = np.bincount(inverse, m, minlength=len(slot))
+            # the number of new unlisted words goes under slot -1
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(slot, -1)), pa.array(np.append(m, float(first.sum())))], ["slot", "m"])
+
+    met = grams.select("key", "role", "other", "pair", F.coalesce(own, F.lit(0)).alias("own"), new.alias("new"))
+    hist = met.mapInArrow(binned, "slot long, m double").groupBy("slot").agg(F.sum("m").alias("m")).toArrow()
+    slot, m = hist.column("slot").to_numpy(), hist.column("m").to_numpy()
+    distinct = int((word[END:] > 0).sum()) + int(m[slot == -1].sum())
+    slot, m = slot[slot >= 0], m[slot >= 0]
     v, w = lists.pairs >> BITS, lists.pairs & ((1 << BITS) - 1)
     some = pair > 0
-    bins, m = estimates(pair[some], word[v[some]], word[w[some]], pair[some].astype(float))
-    slot = np.concatenate([hist.column("slot").to_numpy(), bins])
-    m = np.concatenate([hist.column("m").to_numpy() / share, m])
+    bins, times = estimates(pair[some], word[v[some]], word[w[some]], pair[some].astype(float))
+    # one order of the bins, so that the weights do not depend on that of the rows
+    slot, inverse = np.unique(np.concatenate([slot, bins]), return_inverse=True)
+    m = np.bincount(inverse, np.concatenate([m, times]), minlength=len(slot))
     x1 = -(slot % 1024)
     x2 = -((slot // 1024) % 1024)
     p2, p1 = (np.where(x <= -1000, 0.0, 2.0 ** (x / STEP)) for x in (x2, x1))

@@ -253,6 +253,14 @@ def test_language_model_odd_tables(spark):
     assert row.doc_id is None and row.n_tokens == 3 and row.n_known == 0 and math.isfinite(row.score)
 
 
+def test_language_model_vocabulary_is_exact_in_larger_tables(spark):
+    """19 MB of words that occur once: every one of them counts, none is drawn."""
+    words = "array_join(transform(sequence(1, 700), j -> concat('w', id * 700 + j)), ' ')"
+    df = spark.range(3000).selectExpr("id AS doc_id", f"{words} AS text", "true AS train")
+    model = lm.fit(df, "train")
+    assert (model.tokens, model.distinct) == (3000 * 701, 3000 * 700 + 1)
+
+
 def test_expectation_maximisation_raises_the_likelihood():
     rnd = np.random.default_rng(1)
     where, p2, p1, n = rnd.integers(1, 4, 500), rnd.random(500) * 0.2, rnd.random(500) * 0.01, rnd.integers(1, 9, 500).astype(float)
