@@ -233,21 +233,39 @@ def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "
             x1 = np.where(w > 1, np.rint(STEP * np.log2(np.maximum(w - 1, 1) / max(1, tokens - 1))), -1000).astype(np.int64)
         return ((bucket(c - 1) * 1024 - x2) * 1024 - x1), m
 
+    names = ["slot", "v", "w", "m", "pair", "cv", "cw"]
+
+    def rows(slot: np.ndarray, v: np.ndarray, w: np.ndarray, m: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (slot, v, w, m, *counts)], names)
+
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, role, other, p, o, first = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             listed = np.append(told.value, 0)
             context = np.where(key >= 0, listed[np.clip(key >> BITS, 0, n_words)], np.where(role == 1, o, listed[np.clip(other, 0, n_words)]))
             token = np.where(key >= 0, listed[np.clip(key & ((1 << BITS) - 1), 0, n_words)], np.where(role == 1, listed[np.clip(other, 0, n_words)], o))
-            use = other >= 0  # bigrams of two unlisted words would need a second meeting
-            bins, m = estimates(p[use], context[use], token[use], p[use])
+            one = other >= 0
+            bins, m = estimates(p[one], context[one], token[one], p[one])
             slot, inverse = np.unique(bins, return_inverse=True)
-            m = np.bincount(inverse, m, minlength=len(slot))
             # the number of new unlisted words goes under slot -1
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(slot, -1)), pa.array(np.append(m, float(first.sum())))], ["slot", "m"])
+            slot, m = np.append(slot, -1), np.append(np.bincount(inverse, m, minlength=len(slot)), float(first.sum()))
+            yield rows(slot, *[np.zeros(len(slot), np.int64)] * 2, m, *[np.zeros(len(slot), np.int64)] * 3)
+            # two unlisted words: both rows of the bigram, each with the count of one word, meet under slot -2
+            k, r, x, p, o = (a[~one] for a in (key, role, other, p, o))
+            yield rows(np.full(len(k), -2), np.where(r == 1, k, x), np.where(r == 1, x, k), np.zeros(len(k)), p, np.where(r == 1, o, 0), np.where(r == 1, 0, o))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot, m, p, cv, cw = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            two = slot == -2
+            bins, n = estimates(p[two], cv[two], cw[two], p[two].astype(float))
+            slot, inverse = np.unique(np.concatenate([slot[~two], bins]), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bincount(inverse, np.concatenate([m[~two], n]), minlength=len(slot)))], ["slot", "m"])
 
     met = grams.select("key", "role", "other", "pair", F.coalesce(own, F.lit(0)).alias("own"), new.alias("new"))
-    hist = met.mapInArrow(binned, "slot long, m double").groupBy("slot").agg(F.sum("m").alias("m")).toArrow()
+    met = met.mapInArrow(binned, "slot long, v long, w long, m double, pair long, cv long, cw long").groupBy("slot", "v", "w").agg(
+        F.sum("m").alias("m"), *[F.max(c).alias(c) for c in ("pair", "cv", "cw")])
+    hist = met.select("slot", "m", "pair", "cv", "cw").mapInArrow(paired, "slot long, m double").groupBy("slot").agg(F.sum("m").alias("m")).toArrow()
     slot, m = hist.column("slot").to_numpy(), hist.column("m").to_numpy()
     distinct = int((word[END:] > 0).sum()) + int(m[slot == -1].sum())
     slot, m = slot[slot >= 0], m[slot >= 0]

@@ -253,6 +253,20 @@ def test_language_model_odd_tables(spark):
     assert row.doc_id is None and row.n_tokens == 3 and row.n_known == 0 and math.isfinite(row.score)
 
 
+@pytest.mark.parametrize("listed", [(20, 5), (1, 1)])
+def test_language_model_weights_do_not_depend_on_lists(spark, monkeypatch, listed):
+    """Bigrams of two unlisted words count too when the weights are learned."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["the", "cat", f"r{rnd.randrange(60)}", f"s{rnd.randrange(900)}", f"q{i}"]) for _ in range(60))) for i in range(150)]
+    df = spark.createDataFrame(rows, TEXTS).withColumn("train", F.lit(True))
+    whole = lm.fit(df, "train")
+    monkeypatch.setattr(lm, "HEAD_WORDS", listed[0])
+    monkeypatch.setattr(lm, "HEAD_PAIRS", listed[1])
+    some = lm.fit(df, "train")
+    assert len(some.lists.words) < len(whole.lists.words)
+    assert np.allclose(some.weights, whole.weights, rtol=1e-9, atol=1e-12)
+
+
 def test_language_model_vocabulary_is_exact_in_larger_tables(spark):
     """19 MB of words that occur once: every one of them counts, none is drawn."""
     words = "array_join(transform(sequence(1, 700), j -> concat('w', id * 700 + j)), ' ')"
