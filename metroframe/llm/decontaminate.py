@@ -6,7 +6,8 @@ template tokens of the benchmark and of all documents meet in a hash join; a bit
 bounded size, keeps all other document windows out of the join.  Matches on one diagonal (document place less item
 place) form runs.  A run shows a copy if it is long enough and its slots are consistent: an item's number, unit or
 name always stands for the same value in the document, and two names never share one.  So exact copies are found, and
-re-parameterised ones; a text that merely has the same shape is not.
+re-parameterised ones; a text that merely has the same shape is not.  A run is cut at a slot near
+its end that is not consistent, and long verbatim stretches count whatever lies beside them (``stretch``).
 """
 
 from __future__ import annotations
@@ -165,13 +166,51 @@ def _sieve(rows: DataFrame, count: int) -> Sieve:
     return Sieve(bits)
 
 
+def consistent_slots(slots: list[tuple[int, int, str, str]]) -> bool:
+    names = [(i, d) for _, k, i, d in slots if k == SLOT_NAME]
+    return len({(k, i, d) for _, k, i, d in slots}) == len({(k, i) for _, k, i, _ in slots}) and len(set(names)) == len({d for _, d in names})
+
+
+def stretch(slots: list[tuple[int, int, str, str]], start: int, end: int, window: int, run_tokens: int) -> tuple[int, int]:
+    """Tokens and changed slots of the part that shows a copy in a run [start, end) with slots (place, kind, item's
+    value, document's) that are not consistent; (0, 0) if none does.
+
+    A slot that differs and has less than a window of the run on its far side is where a quotation ends and the
+    document's own words have the same shape by chance: the run may be cut there.  A slot that differs further inside
+    tells another text of that shape, but for a verbatim stretch of twice ``run_tokens`` beside it.
+    """
+    slots = sorted(slots)
+    differ = [p for p, _, i, d in slots if i != d]
+    best = (0, 0)
+    for lo in [start, *[p + 1 for p in differ if p - start < window]]:
+        for hi in [end, *[p for p in differ if end - p - 1 < window]]:
+            if hi - lo >= best[0] and consistent_slots([s for s in slots if lo <= s[0] < hi]):
+                best = max(best, (hi - lo, -sum(lo <= p < hi for p in differ)))
+    exact = max(hi - lo - 1 for lo, hi in zip([start - 1, *differ], [*differ, end]))
+    if exact >= 2 * run_tokens:
+        best = max(best, (exact, 0))
+    return best[0], -best[1]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], window: int, run_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Runs with slots that are not consistent (others have none here) get the tokens and changes of their stretch."""
+    for b in batches:
+        tokens, changed = ([*c.to_pylist()] for c in (b.column("tokens"), b.column("changed")))
+        for i in np.flatnonzero(b.column("slots").is_valid().to_numpy(zero_copy_only=False)).tolist():
+            slots = [(s["at"], s["kind"], s["item"], s["doc"]) for s in b.column("slots")[i].as_py()]
+            start = b.column("start")[i].as_py()
+            tokens[i], changed[i] = stretch(slots, start, start + tokens[i], window, run_tokens)
+        keep = [b.column(n) for n in ("doc_id", "item_id", "item_tokens")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(tokens, pa.int32()), pa.array(changed, pa.int32())], ["doc_id", "item_id", "item_tokens", "tokens", "changed"])
+
+
 def leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, run_tokens: int = RUN,
 ) -> DataFrame:
     """(id, item, tokens, item_tokens, changed, exact): one row for each document and benchmark item that it holds.
 
-    ``tokens`` is the longest consistent run, ``changed`` the slots whose value differs there, ``exact`` says that
-    none does.  Null and empty texts and items of fewer than four words hold nothing; repeated rows of a document
+    ``tokens`` is the longest consistent stretch of a run, ``changed`` the slots whose value differs there, ``exact``
+    says that none does.  Null and empty texts and items of fewer than four words hold nothing; repeated rows of a document
     count once; rows with a null id are reported under null.
     """
     small_batches(docs.sparkSession)
@@ -208,7 +247,7 @@ def leaks(
     opens = F.coalesce(F.col("ipos") - F.lag("ipos").over(order) > F.col("size"), F.lit(True)).cast("int")
     runs = met.withColumn("_open", opens).withColumn("run", F.sum("_open").over(order))
     runs = runs.groupBy("doc_id", "item_id", "diagonal", "run").agg(
-        (F.max(F.col("ipos") + F.col("size")) - F.min("ipos")).alias("tokens"), F.max("item_tokens").alias("item_tokens"),
+        (F.max(F.col("ipos") + F.col("size")) - F.min("ipos")).alias("tokens"), F.max("item_tokens").alias("item_tokens"), F.min("ipos").alias("start"),
         # a run is no longer than its item
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"),
     )
@@ -217,8 +256,10 @@ def leaks(
     told = lambda *names: F.size(F.array_distinct(F.transform(people, lambda s: F.struct(*[s[n] for n in names]))))
     consistent = (distinct("kind", "item", "doc") == distinct("kind", "item")) & (told("item", "doc") == told("doc"))
     changed = F.size(F.array_distinct(F.transform(F.filter("slots", lambda s: s["item"] != s["doc"]), lambda s: s["at"])))
-    good = runs.where(consistent & (F.col("tokens") >= F.least(F.lit(run_tokens), F.col("item_tokens"))))
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("tokens", (-changed).alias("less"), "item_tokens")).alias("b"))
+    enough = F.col("tokens") >= F.least(F.lit(run_tokens), F.col("item_tokens"))
+    judged = runs.where(enough).select("doc_id", "item_id", "item_tokens", "tokens", "start", changed.alias("changed"), F.when(~consistent, F.col("slots")).alias("slots"))
+    good = judged.mapInArrow(lambda batches: _stretches(batches, window, run_tokens), f"doc_id {kind_of}, item_id {dict(items.dtypes)[item_col]}, item_tokens int, tokens int, changed int").where(enough)
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("tokens", (-F.col("changed")).alias("less"), "item_tokens")).alias("b"))
     return best.select(
         F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), F.col("b.tokens").alias("tokens"), F.col("b.item_tokens").alias("item_tokens"),
         (-F.col("b.less")).alias("changed"), (F.col("b.less") == 0).alias("exact"))

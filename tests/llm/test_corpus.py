@@ -172,6 +172,15 @@ def test_templates(spark):
     assert decontaminate.leaks(df, items.limit(0)).count() == decontaminate.leaks(df.limit(0), items).count() == 0
 
 
+def test_exact_part_before_a_slot_that_differs(spark):
+    one = "The old miller walks to town with his grey dog. The cold river runs past the empty barn at dawn. "
+    two = "The quick boat left from a small pier with Tom and 7 boxes while rain fell on the grey roof and each of the men sang an old song about 7 birds that flew over the sea in search of land"
+    items = spark.createDataFrame([(1, one + "In spring they plant beans near a wall."), (2, two)], "item_id long, text string")
+    rows = {1: one + "The spring was late and cold this year.", 2: two.replace("7 birds", "9 birds"), 3: " ".join(two.split()[:12])}
+    out = {(r.doc_id, r.item_id): (r.tokens, r.exact) for r in decontaminate.leaks(spark.createDataFrame([*rows.items()], TEXTS), items).collect()}
+    assert out == {(1, 1): (len(one.split()), True), (2, 2): (two.split().index("birds") - 1, True)}
+
+
 def test_decontamination_query_finds_whole_items(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").collect()
     b = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
