@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Words become typed placeholders: numbers, names (title case) and units (after a number); a second set of windows leaves
-names as words, for copies in other letter case.  Windows of ``WINDOW``
+names as words, for copies in other letter case.  Windows with few literal words are kept in a third set, with all
+tokens as they are, so that tables and number series are found when copied verbatim.  Windows of ``WINDOW``
 template tokens of the benchmark and of all documents meet in a hash join; a bitmap of the benchmark's hashes, of
 bounded size, keeps all other document windows out of the join.  Matches on one diagonal (document place less item
 place) form runs.  A run shows a copy if it is long enough and its slots are consistent: an item's number, unit or
@@ -26,7 +27,7 @@ from ..session import materialize
 from .common import bounded, mixed, shingle_hashes, small_batches
 
 WINDOW = 8
-#: Literal words that a window has at least, as a share of its length.
+#: Literal words that a window of templates has at least, as a share of its length; others are compared verbatim.
 LITERAL = 0.5
 #: Tokens of a run that shows a copy; a shorter item has to be there whole.
 RUN = 13
@@ -65,9 +66,9 @@ class Templates(dict):
     def code(cls, raw: bytes) -> int:
         word = cls.bare(raw)
         low = word.lower()
-        if _NUMBER.fullmatch(low):
-            return 4 | SLOT_NUMBER
         h = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~3
+        if _NUMBER.fullmatch(low):
+            return h | SLOT_NUMBER
         if len(word) > 1 and word[0].isupper() and word[1:].islower():
             return h | SLOT_NAME
         return h | (SLOT_UNIT if low.encode("utf-8", "surrogatepass") in UNITS else SLOT_WORD)
@@ -86,8 +87,11 @@ def template(codes: np.ndarray, names: bool = True) -> tuple[np.ndarray, np.ndar
     return np.where(kind == SLOT_WORD, codes & ~np.uint64(3), kind.astype(np.uint64)), kind
 
 
-def windows(raw: list[bytes], known: Templates, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(size, window hashes, whether each has enough literal words, kinds of the tokens) for each size, with names as slots and as words."""
+def windows(raw: list[bytes], known: Templates, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(size, window hashes, whether each is used, kinds of the tokens, whether verbatim) for each size, with names as slots, with names as words, and verbatim.
+
+    Verbatim windows are those with few literal words; what counts as one there is told by the window's own tokens.
+    """
     codes = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
     for names in (True, False):
         out, kind = template(codes, names)
@@ -95,7 +99,13 @@ def windows(raw: list[bytes], known: Templates, sizes: list[int]) -> Iterator[tu
         for size in sizes:
             if len(raw) >= size:
                 h = shingle_hashes(out, size) + np.uint64(2 * size + names)
-                yield size, h, (literal[size:] - literal[:-size]) >= LITERAL * size, kind
+                yield size, h, (literal[size:] - literal[:-size]) >= LITERAL * size, kind, False
+    literal = np.append(0, np.cumsum((codes & np.uint64(3)) == SLOT_WORD))
+    for size in sizes:
+        if len(raw) >= size:
+            few = (literal[size:] - literal[:-size]) < LITERAL * size
+            if few.any():
+                yield size, shingle_hashes(codes & ~np.uint64(3), size) + np.uint64((1 << 20) + size), few, template(codes)[1], True
 
 
 _SLOTS = "array<struct<offset:int,kind:int,value:string>>"
@@ -122,7 +132,7 @@ def _item_windows(items: DataFrame, id_col: str, text_col: str, window: int) ->
                 raw = _tokens(text)
                 if len(raw) < LEAST:
                     continue
-                for size, h, good, kind in windows(raw, known, [min(window, len(raw))]):
+                for size, h, good, kind, _ in windows(raw, known, [min(window, len(raw))]):
                     rows += [(item, int(h[i]), i, size, len(raw), _slots(raw, kind, i, size)) for i in np.flatnonzero(good).tolist()]
             cols = list(zip(*rows)) or [[]] * 6
             types = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), _SLOT_TYPE]
@@ -226,13 +236,14 @@ def leaks(
             ids, hs, at, slots = [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 raw = _tokens(text)
-                for size, h, good, kind in windows(raw, known, sizes):
+                for size, h, good, kind, verbatim in windows(raw, known, sizes):
                     hit = sieve.value.may_hold(h)
                     hit = hit[good[hit]]
                     ids += [i] * len(hit)
                     hs.append(h[hit].view(np.int64))
                     at += hit.tolist()
-                    slots += [_slots(raw, kind, p, size) for p in hit.tolist()]
+                    # a verbatim window has the slots of the item's
+                    slots += [None if verbatim else _slots(raw, kind, p, size) for p in hit.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(ids, pa.int64())), pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(at, pa.int32()), pa.array(slots, _SLOT_TYPE)], names)
 
@@ -240,7 +251,7 @@ def leaks(
     seen = rows.mapInArrow(run, f"doc_id {kind_of}, h long, dpos int, dslots {_SLOTS}")
     # slots agree in kind and place, since both windows have one template; other pairs are hash collisions
     shape = lambda c: F.transform(c, lambda s: F.struct(s["offset"], s["kind"]))
-    met = seen.join(bench, "h").where(shape("islots") == shape("dslots"))
+    met = seen.join(bench, "h").withColumn("dslots", F.coalesce("dslots", "islots")).where(shape("islots") == shape("dslots"))
     pairs = F.zip_with("islots", "dslots", lambda a, b: F.struct((F.col("ipos") + a["offset"]).alias("at"), a["kind"].alias("kind"), a["value"].alias("item"), b["value"].alias("doc")))
     met = met.select("doc_id", "item_id", "item_tokens", "ipos", "size", (F.col("dpos") - F.col("ipos")).alias("diagonal"), pairs.alias("pairs"))
     order = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("ipos")

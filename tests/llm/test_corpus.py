@@ -181,6 +181,15 @@ def test_exact_part_before_a_slot_that_differs(spark):
     assert out == {(1, 1): (len(one.split()), True), (2, 2): (two.split().index("birds") - 1, True)}
 
 
+def test_items_of_numbers_are_found_verbatim(spark):
+    series = "sequence 3, 7, 12, 18, 25, 33, 42, 52, 63, 75, 88, 102, 117"
+    mixed = "A table gives the height of each tree: 3 m 4 m 5 m 7 m 9 m 12 m 15 m and asks for the mean of them all"
+    items = spark.createDataFrame([(1, series), (2, "1 2 3 4 5"), (3, mixed)], "item_id long, text string")
+    rows = {1: f"And 5 m {series} is it.", 2: series.replace("42", "43"), 3: "0 1 2 3 4 5 6", 4: "1 2 3 5 4", 5: f"Look. {mixed} now", 6: "12 13 14 15 16 17 18 19 20 21 22 23 24 25"}
+    out = {(r.doc_id, r.item_id): (r.tokens, r.exact) for r in decontaminate.leaks(spark.createDataFrame([*rows.items()], TEXTS), items).collect()}
+    assert out == {(1, 1): (14, True), (3, 2): (5, True), (5, 3): (len(mixed.split()), True)}
+
+
 def test_decontamination_query_finds_whole_items(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").collect()
     b = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
