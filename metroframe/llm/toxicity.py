@@ -1,8 +1,8 @@
 """Toxicity: logistic regression on character n-grams scaled by naive Bayes log-count ratios.
 
 A text is the set of its hashed character n-grams.  From labelled texts Spark counts, per bucket, the toxic and other
-texts that hold it; the smoothed log-ratio of both shares scales the feature.  The ``features`` buckets with the
-largest chi-square statistic keep their feature; weights are fitted by accelerated gradient descent, each gradient
+texts that hold it; the smoothed log-ratio of both shares scales the feature.  All buckets whose chi-square statistic
+is significant (``LEAST_CHI``) keep their feature, however many there are; weights are fitted by accelerated gradient descent, each gradient
 summed by Spark over the stored sparse rows.
 """
 
@@ -22,8 +22,8 @@ SIZES = (3, 4, 5)
 BITS = 18
 #: Labelled texts of each class that a model is learned from, about (all, where there are fewer).
 FIT_ROWS = 50_000
-#: Buckets that keep their feature.
-FEATURES = 1024
+#: Chi-square from which a bucket keeps its feature: one degree of freedom, level 0.001.
+LEAST_CHI = 10.828
 
 
 def _distinct(x: np.ndarray, doc: np.ndarray, n: int, sizes: tuple[int, ...], bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ class Model:
 
 def fit(
     df: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sizes: tuple[int, ...] = SIZES, bits: int = BITS,
-    features: int = FEATURES, alpha: float = 1.0, ridge: float = 1e-3, rounds: int = 15, fit_rows: int = FIT_ROWS,
+    least_chi: float = LEAST_CHI, alpha: float = 1.0, ridge: float = 1e-3, rounds: int = 15, fit_rows: int = FIT_ROWS,
 ) -> Model:
     """Learn from rows labelled 1 or 0; rows with a null text or another label teach nothing.
 
@@ -95,8 +95,7 @@ def fit(
     q0, q1 = p0 / m0, p1 / m1
     q = (p0 + p1) / (m0 + m1)
     chi = np.divide((q1 - q0) ** 2, q * (1 - q) * (1 / m0 + 1 / m1), out=np.zeros(size), where=(q > 0) & (q < 1))
-    top = np.argsort(-chi, kind="stable")[:features]
-    top = np.sort(top[chi[top] > 0])
+    top = np.flatnonzero(chi > least_chi)
     if not len(top):
         return Model(np.zeros(size), float(np.log(n1 / n0)), sizes, bits)
     wanted = np.zeros(size, bool)

@@ -1,5 +1,6 @@
 """Language, toxicity, quality, licences and URL filters against plain versions and on odd rows."""
 
+import random
 import re
 import zlib
 
@@ -81,6 +82,15 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert (toxicity.fit(df.where("toxic = 2")).score(["a", None]) == 0.5).all()
 
 
+def test_toxicity_learns_many_rare_words(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    bad, good = [word() for _ in range(300)], [word() for _ in range(300)]
+    rows = [(i, " ".join([bad[(3 * i + j) % 300] for j in range(3)] if i % 3 == 0 else rnd.sample(good, 3)), "en") for i in range(3_600)]
+    model = toxicity.fit(docs(spark, rows).withColumn("toxic", (F.col("doc_id") % 3 == 0).cast("int")))
+    assert model.score(bad).min() > model.score([""])[0]
+
+
 def test_toxicity_query(spark):
     rows = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, SF).collect()}
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
