@@ -114,7 +114,8 @@ def rules() -> list[Rule]:
     add("zlib", " as is without any express ", TAG, "this software is provided as is without any express or implied warranty")
     add("unlicense", " released into the public domain ", TAG, "this is free and unencumbered software released into the public domain")
     # Statements that are no licence by themselves
-    add("reserved", " rights reserved ", NAMED, "all rights (?:are )?reserved", "alle rechte vorbehalten")
+    add("reserved", " rights reserved ", NAMED, "all rights reserved", "alle rechte vorbehalten")
+    add("reserved", " rights are reserved ", NAMED, "all rights are reserved")
     add("reserved", " some rights ", HINT, "some rights reserved")
     add("reserved", " rechte vorbehalten ", NAMED, "alle rechte vorbehalten")
     add("reserved", " droits r", NAMED, "tous droits réservés")
@@ -122,7 +123,8 @@ def rules() -> list[Rule]:
     add("copyright", " copyright ", HINT, "copyright(?: c| ©|©)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", "copyright by [^ ]+")
     add("proprietary", " proprietary ", HINT, f"proprietary {lic}", "confidential and proprietary", "proprietary and confidential")
     add("public-domain", " public domain ", HINT, "(?:in|into|to) the public domain", "public domain dedication")
-    add("commercial", " commercial ", HINT, f"commercial {lic}", f"for non ?commercial use only")
+    add("commercial", " commercial ", HINT, f"commercial {lic}", "for non commercial use only")
+    add("commercial", " noncommercial ", HINT, "for noncommercial use only")
     return sorted(out, key=lambda r: r.priority)
 
 

@@ -188,6 +188,12 @@ def test_licenses(spark):
     assert licenses.licenses(docs(spark, [])).count() == 0
 
 
+def test_licenses_found_behind_their_own_keywords(spark):
+    rows = [(1, "all rights are reserved by us", "en"), (2, "for noncommercial use only here", "en"), (3, "all rights reserved for non-commercial use only", "en")]
+    got = {r.doc_id: r.labels for r in licenses.licenses(docs(spark, rows)).collect()}
+    assert got == {1: "reserved", 2: "commercial", 3: "commercial,reserved"}
+
+
 def test_license_query_matches_plain_base(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op10_licenses"](spark, SF).collect()
