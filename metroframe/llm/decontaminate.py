@@ -277,6 +277,12 @@ def leaks(
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item; rows with a null id stay only if no such row holds one."""
+    """Rows of ``docs`` that hold no benchmark item; rows with a null id are judged one by one."""
     dirty = materialize(leaks(docs, items, id_col, **how).select(F.col(id_col).alias("_dirty")).distinct())
-    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_dirty"]), "left_anti")
+    left = docs.join(dirty, docs[id_col].eqNullSafe(dirty["_dirty"]), "left_anti")
+    if dirty.where("_dirty is null").isEmpty():
+        return left
+    # a stored number is the key of a row that has none
+    rows = materialize(docs.where(F.col(id_col).isNull()).withColumn("_row", F.monotonically_increasing_id()))
+    found = materialize(leaks(rows, items, "_row", **how).select("_row").distinct())
+    return left.unionByName(rows.join(found, "_row", "left_anti").select(*docs.columns))

@@ -181,6 +181,16 @@ def test_exact_part_before_a_slot_that_differs(spark):
     assert out == {(1, 1): (len(one.split()), True), (2, 2): (two.split().index("birds") - 1, True)}
 
 
+def test_clean_rows_stay_on_odd_tables(spark, tmp_path):
+    item = "the small dog ran over the green hill to find a lost ball near the old red gate"
+    df = spark.createDataFrame([(None, item), (None, "clean words"), (None, "clean words"), (1, item), (2, "other words")], TEXTS)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.clean(df, items)
+    assert left.columns == df.columns and sorted(r.text for r in left.collect()) == ["clean words", "clean words", "other words"]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.harmless(spark, df, str(tmp_path)).count() == 5
+
+
 def test_items_of_numbers_are_found_verbatim(spark):
     series = "sequence 3, 7, 12, 18, 25, 33, 42, 52, 63, 75, 88, 102, 117"
     mixed = "A table gives the height of each tree: 3 m 4 m 5 m 7 m 9 m 12 m 15 m and asks for the mean of them all"
