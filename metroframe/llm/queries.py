@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path, tune
-from . import bpe, decontaminate, langid, licenses, lm, minhash, quality, toxicity, urls, warc
+from . import bpe, collocations, decontaminate, langid, licenses, lm, minhash, mixing, quality, spelling, toxicity, urls, warc
 from .common import checked_join, crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,68 @@ def op3_quality(spark, sf_dir):
     ratio = quality.fit(docs, read(spark, sf_dir, "labels").where("quality = 1"))
     return quality.judge(docs, ratio, keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HEX = "(instr('0123456789ABCDEF', substr(x, {}, 1)) - 1)"
+ORACLES["op11_spelling"] = f"""WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, unnest(regexp_extract_all({_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
+ r AS (SELECT w, count(*) AS n, hex(encode(k || ':' || w)) AS x FROM d WHERE length(w) >= 5 GROUP BY k, w),
+ t AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS tab),
+ c AS (SELECT w, n, xor(4294967295, list_reduce(list_transform(range(0, length(x) // 2), lambda i: 16 * {_HEX.format("2*i+1")} + {_HEX.format("2*i+2")}),
+  lambda c, y: xor(c // 256, tab[xor(c % 256, y) + 1]), 4294967295)) AS h FROM r, t),
+ m AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM c),
+ v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+ e AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+ p AS (SELECT a.word, b.word AS other, b.n FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM e a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM e a JOIN v b ON a.rest = b.word),
+ b AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word), o AS (SELECT p.word, min(other) AS form FROM p JOIN b ON b.word = p.word AND p.n = b.top GROUP BY p.word),
+ f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN form END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM v LEFT JOIN b USING (word) LEFT JOIN o USING (word)),
+ s AS (SELECT word, word AS at FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.at WHERE f.form IS NOT NULL),
+ l AS (SELECT s.word, s.at AS root FROM s JOIN f ON f.word = s.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN l USING (word)"""
+
+
+@query
+def op11_spelling(spark, sf_dir):
+    """Frequent words of all documents, some runs less a letter, with their forms and roots."""
+    return spelling.variants(spelling.counts(read(spark, sf_dir, "documents"), noise=True))
+
+
+_SIZE = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''))"
+ORACLES["op12_mixing"] = f"""WITH d AS (SELECT doc_id, source, {_SIZE} AS size, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 15) AS BIGINT) AS h FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS total, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+ o AS (SELECT *, row_number() OVER (ORDER BY 2 * total / w, source) AS j, sum(2 * total) OVER (ORDER BY 2 * total / w, source) AS taken, sum(w) OVER () - sum(w) OVER (ORDER BY 2 * total / w, source) AS others FROM s),
+ c AS (SELECT 0 AS j, 0.0 AS taken, sum(w) AS others FROM s UNION ALL SELECT j, taken, others FROM o),
+ k AS (SELECT min_by(taken, j) AS taken, min_by(others, j) AS others FROM c WHERE others > 0 AND (SELECT coalesce(bool_and(o.w * (1.5 * (SELECT sum(total) FROM s) - c.taken) / c.others <= 2 * o.total), true) FROM o WHERE o.j > c.j)),
+ g AS (SELECT source, total, least(2 * total, CAST(w * (1.5 * (SELECT sum(total) FROM s) - k.taken) / k.others AS DOUBLE)) AS target FROM s, k),
+ t AS (SELECT source, total, target, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END AS whole FROM g),
+ r AS (SELECT d.*, t.total, t.target, t.whole, t.target - t.whole * t.total AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, target,
+ CAST(size * (whole + CASE WHEN rest > 0 AND (upto < rest OR (upto - size < rest AND upto - rest <= rest - (upto - size))) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
+
+
+@query
+def op12_mixing(spark, sf_dir):
+    """The mix of all documents' sources at 150 percent of their words."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p), t AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY lang),
+ i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), k AS (SELECT lang, ws, i, unnest(range(1, least(5, len(ws) - i + 1) + 1)) AS k FROM i),
+ g AS (SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS a FROM k GROUP BY ALL HAVING count(*) >= 100),
+ s AS (SELECT lang, k, a, string_split(phrase, ' ') AS ws FROM g WHERE k > 2), b AS (SELECT lang, a, ws, unnest(range(1, k + 1)) AS lo, k FROM s),
+ e AS (SELECT lang, a, ws, lo, k, unnest(range(lo + 1, k + 1)) AS hi FROM b), x AS (SELECT lang, array_to_string(ws[lo:hi], ' ') AS phrase, max(a) AS longer FROM e WHERE hi - lo + 1 < k GROUP BY ALL),
+ q AS (SELECT g.* FROM g LEFT JOIN x USING (lang, phrase) WHERE k > 1 AND coalesce(100 * longer < 100 * a, true)),
+ c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j, k FROM q),
+ z AS (SELECT c.lang, c.phrase, c.a, u.a AS l, v.a AS r, t.n, 1000 * c.a * t.n // (u.a * v.a) AS score, j FROM c JOIN g u ON u.lang = c.lang AND u.phrase = array_to_string(ws[1:j], ' ')
+  JOIN g v ON v.lang = c.lang AND v.phrase = array_to_string(ws[j+1:c.k], ' ') JOIN t ON t.lang = c.lang),
+ y AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+ CAST(score AS BIGINT) AS score FROM y QUALIFY rank <= 2000"""
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    """The first 2000 collocations of each language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
