@@ -5,8 +5,10 @@ ones.  Where a piece ends, the shorter runs up to the end stand in place of edge
 one row, its edge or end, and these are aggregated once.  The count of a shorter phrase is the flow out of its node
 plus the ends there: the sum over all rows that begin with it, taken level by level in one pass over sorted rows.
 
-Words that are rarer than a candidate may be end a piece, for no candidate holds one.  Such words are told by a bitmap
-of the frequent words, of bounded size; one that slips through costs a row and changes no count.
+A pair of words that is rarer than a candidate may be ends a piece between them, for no candidate holds such a pair.
+Pairs are counted by slots of a table of bounded size beforehand; a bitmap of the slots that are frequent enough parts
+the texts.  A rare pair in such a slot costs a row and changes no count; on a corpus so large that all slots are
+frequent nothing is parted, and each place sends a row.  Single words are counted by themselves.
 
 Compaction: a phrase whose whole flow passes through one longer phrase (a unary path of the graph) is part of that,
 and goes.  It is enough to compare phrases with those one word longer, for a phrase between two others has a count
@@ -16,7 +18,7 @@ between theirs.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ TOP = 2000
 MERGED_BYTES = 4_000_000
 #: Distinct words that a task holds before it hands its counts on.
 HELD = 200_000
-#: Bits of the bitmap of frequent words at most (a power of two, 4 MB), and for each word.
-MAX_BITS, WORD_BITS = 25, 6
+#: Bits of the bitmap of frequent words at most (4 MB), and for each word; bits of that of frequent pairs (16 MB).
+MAX_BITS, WORD_BITS, PAIR_BITS = 25, 6, 27
 #: Partial groups in the ranking of a language.
 SHARDS = 64
 
@@ -76,70 +78,109 @@ def _salt(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
 
 
-def _bitmap(words: DataFrame, count: int) -> np.ndarray:
-    """A bit for each (lang, word)."""
-    bits = min(MAX_BITS, max(12, (count << WORD_BITS).bit_length()))
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(h) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """The numbers of (slot) as bits; the driver gets one row for each 64 of them at most."""
+    slot = F.col("slot")
+    got = slots.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got.column("at").to_numpy()] = got.column("mask").to_numpy()
+    return out.view(np.uint8)
+
+
+def _set_in(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _word_bitmap(words: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each (lang, word), and the logarithm of its size."""
+    bits = min(MAX_BITS, max(12, (words.count() << WORD_BITS).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in b.column(1).to_pylist()), np.uint64, b.num_rows)
             salt = np.fromiter(map(_salt, b.column(0).to_pylist()), np.uint64, b.num_rows)
-            at = np.unique(mixed(h ^ salt) >> np.uint64(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array(np.int64(1) << (at & 7))], ["byte", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(h ^ salt, bits))], ["slot"])
 
-    got = words.select("lang", "word").mapInArrow(run, "byte long, mask long").groupBy("byte").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    out[got.column("byte").to_numpy()] = got.column("mask").to_numpy().astype(np.uint8)
-    return out
+    return _bitmap(words.select("lang", "word").mapInArrow(run, "slot long"), bits), bits
 
 
-def edges(texts: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(lang, head, fourth, fifth, n): edges and piece ends of (lang, text), merged in part.
+def _gathered(batches: Iterator[pa.RecordBatch], merged: Callable[[str, list[bytes], WordHashes], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``merged`` of the words of each language in some megabytes of (lang, text); an empty word parts pieces."""
+    hashes, size = WordHashes(), 0
+    words: dict[str, list[bytes]] = {}
+    for b in bounded(batches, "text"):
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            mine = words.setdefault(lang, [])
+            for p in pieces(text):
+                if p:
+                    mine += p
+                    mine.append(b"")
+            size += len(text or "")
+        if size > MERGED_BYTES:
+            yield from (merged(lang, w, hashes) for lang, w in words.items())
+            words, size = {}, 0
+    yield from (merged(lang, w, hashes) for lang, w in words.items())
+
+
+def _pairs(lang: str, h: np.ndarray) -> np.ndarray:
+    """Slot of each word with the next one."""
+    return _slots(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] ^ _salt(lang), PAIR_BITS)
+
+
+def frequent_pairs(texts: DataFrame, frequent: DataFrame, least: int = LEAST) -> np.ndarray:
+    """Bitmap with the slots of all pairs of (lang, text) that occur ``least`` times or more, and of some others.
+
+    Pairs are counted by slots of bounded number, so a slot may hold several; only pairs of ``frequent`` words count.
+    """
+    bitmap, bits = _word_bitmap(frequent)
+    held = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def merged(lang: str, words: list[bytes], hashes: WordHashes) -> pa.RecordBatch:
+        h = hashes.array(words)
+        good = _set_in(held.value, _slots(h ^ _salt(lang), bits)) & (h != hashes[b""])
+        slot, n = np.unique(_pairs(lang, h)[good[:-1] & good[1:]], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
+
+    counted = texts.mapInArrow(lambda batches: _gathered(batches, merged), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return _bitmap(counted.where(F.col("n") >= least), PAIR_BITS)
+
+
+def edges(texts: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(lang, head, fourth, fifth, n): edges and ends of two words or more of (lang, text), merged in part.
 
     ``head`` has up to three words joined by spaces; the other columns are null where a piece ends before.
     """
-    held = texts.sparkSession.sparkContext.broadcast(_bitmap(frequent, frequent.count()))
+    held = texts.sparkSession.sparkContext.broadcast(pairs)
     names = ["lang", "head", "fourth", "fifth", "n"]
 
-    def merged(lang: str, words: list[bytes], hashes: WordHashes, bitmap: np.ndarray) -> pa.RecordBatch:
-        """Rows of texts of one language; an empty word parts pieces."""
+    def merged(lang: str, words: list[bytes], hashes: WordHashes) -> pa.RecordBatch:
         h = hashes.array(words)
-        at = (mixed(h ^ _salt(lang)) >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)).astype(np.int64)
-        good = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        good &= h != hashes[b""]
-        # words from each place to the next one that parts, LONGEST at most
-        ends = np.append(np.flatnonzero(~good), len(words))
-        room = np.minimum(ends[np.searchsorted(ends, np.arange(len(words)))] - np.arange(len(words)), LONGEST)
-        padded = np.append(np.where(good, h | np.uint64(1), np.uint64(0)), np.zeros(LONGEST, np.uint64))
-        start = np.flatnonzero(good)
-        key = np.zeros(len(start), np.uint64)
+        word = h != hashes[b""]
+        go_on = np.append(word[:-1] & word[1:], False)
+        go_on[:-1] &= _set_in(held.value, _pairs(lang, h))
+        # words from each place to the end of its piece, LONGEST at most
+        ends = np.flatnonzero(~go_on)
+        start = np.flatnonzero(go_on)
+        room = np.minimum(ends[np.searchsorted(ends, start)] - start + 1, LONGEST)
+        padded = np.append(h | np.uint64(1), np.zeros(LONGEST, np.uint64))
+        head_key = key = np.zeros(len(start), np.uint64)
         for j in range(LONGEST):
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.where(room[start] > j, padded[start + j], np.uint64(0)))
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.where(room > j, padded[start + j], np.uint64(0)))
+            head_key = key if j == 2 else head_key
         _, first, n = np.unique(key, return_index=True, return_counts=True)
-        start, room = start[first], room[start[first]]
+        order = np.argsort(head_key[first])  # rows of one head side by side compress well
+        first, n = first[order], n[order]
+        start, room = start[first], room[first]
         all_words = pa.array([*words, *[b""] * LONGEST], pa.binary()).cast(pa.string())
-        word = [pc.if_else(pa.array(room > j), all_words.take(pa.array(start + j)), pa.scalar(None, pa.string())) for j in range(LONGEST)]
-        head = pc.binary_join_element_wise(*word[:3], " ", null_handling="skip")
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(start), pa.string()), head, word[3], word[4], pa.array(n, pa.int64())], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bitmap, size = WordHashes(), held.value, 0
-        words: dict[str, list[bytes]] = {}
-        for b in bounded(batches, "text"):
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                mine = words.setdefault(lang, [])
-                for p in pieces(text):
-                    mine += p
-                    mine.append(b"")
-                size += len(text or "")
-            if size > MERGED_BYTES:
-                for lang, w in words.items():
-                    yield merged(lang, w, hashes, bitmap)
-                words, size = {}, 0
-        for lang, w in words.items():
-            yield merged(lang, w, hashes, bitmap)
+        part = [pc.if_else(pa.array(room > j), all_words.take(pa.array(start + j)), pa.scalar(None, pa.string())) for j in range(LONGEST)]
+        head = pc.binary_join_element_wise(*part[:3], " ", null_handling="skip")
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(start), pa.string()), head, part[3], part[4], pa.array(n, pa.int64())], names)
 
-    return texts.mapInArrow(run, "lang string, head string, fourth string, fifth string, n long")
+    return texts.mapInArrow(lambda batches: _gathered(batches, merged), "lang string, head string, fourth string, fifth string, n long")
 
 
 def flows(rows: DataFrame, least: int = LEAST) -> DataFrame:
@@ -218,7 +259,7 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     counted = materialize(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= least)))
     frequent = counted.where("word is not null")
-    grams = materialize(flows(edges(texts, frequent), least))
+    grams = materialize(flows(edges(texts, frequent_pairs(texts, frequent, least)), least))
     known = grams.select("lang", "phrase", "n").unionByName(frequent.select("lang", F.col("word").alias("phrase"), "n"))
 
     words = F.split("phrase", " ")
