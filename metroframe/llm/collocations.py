@@ -84,8 +84,7 @@ def _slots(h: np.ndarray, bits: int) -> np.ndarray:
 
 def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
     """The numbers of (slot) as bits; the driver gets one row for each 64 of them at most."""
-    slot = F.col("slot")
-    got = slots.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("mask")).toArrow()
+    got = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("mask")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[got.column("at").to_numpy()] = got.column("mask").to_numpy()
     return out.view(np.uint8)
