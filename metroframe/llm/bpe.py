@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, small_batches
+from .common import bounded, small_batches, tidy
 
 NONE = np.int32(2**31 - 1)
 LONG = 128
@@ -72,7 +72,7 @@ class PairTable:
 class Encoder:
     """Encodes and decodes with the ranks of a vocabulary; ids are the ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 150_000):
         self.known = ranks
         self.byte = np.full(256, -1, np.int32)
         for t, i in ranks.items():
@@ -264,7 +264,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
             cols = [b.column(0), pa.array(ids, pa.binary()), pa.array([enc.decode(x) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "decoded"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+    return df.select(id_col, text_col).mapInArrow(tidy(run, lambda: encoder(path, pattern).cache), f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

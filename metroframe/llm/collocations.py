@@ -39,6 +39,8 @@ MERGED_BYTES = 4_000_000
 HELD = 200_000
 #: Bits of the bitmap of frequent words at most (4 MB), and for each word; bits of that of frequent pairs (16 MB).
 MAX_BITS, WORD_BITS, PAIR_BITS = 25, 6, 27
+#: Pairs end a piece below this share of the least count: rows then follow the size of the corpus more evenly.
+PAIR_SHARE = 4
 #: Partial groups in the ranking of a language.
 SHARDS = 64
 
@@ -258,7 +260,7 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     counted = materialize(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= least)))
     frequent = counted.where("word is not null")
-    grams = materialize(flows(edges(texts, frequent_pairs(texts, frequent, least)), least))
+    grams = materialize(flows(edges(texts, frequent_pairs(texts, frequent, -(-least // PAIR_SHARE))), least))
     known = grams.select("lang", "phrase", "n").unionByName(frequent.select("lang", F.col("word").alias("phrase"), "n"))
 
     words = F.split("phrase", " ")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,14 +21,37 @@ BROADCAST_ROWS = 500_000
 
 
 #: Rows of an Arrow batch, where the session has Spark's default: texts can be long, and a batch is held several times over.
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python in smaller batches than Spark's default, unless the session has a size of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, mine in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", BATCH_BYTES)):
+        if spark.conf.get(key).rstrip("bB") == default:
+            spark.conf.set(key, str(mine))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: Callable[[], dict]):
+    """``run``, after which the worker empties ``caches`` and gives its free memory back: it may serve other stages."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache().clear()
+            hand_back()
+
+    return inner
+
+
+def hand_back() -> None:
+    """Return freed memory of Arrow and of the C library to the machine, where they can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,7 +82,7 @@ def with_columns(
             cols = [b.column(i) for i in range(len(kept))] + values(b.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays(cols, [*kept, *added])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -7,8 +7,8 @@ template tokens of the benchmark and of all documents meet in a hash join; a bit
 bounded size, keeps all other document windows out of the join.  Matches on one diagonal (document place less item
 place) form runs.  A run shows a copy if it is long enough and its slots are consistent: an item's number, unit or
 name always stands for the same value in the document, and two names never share one.  So exact copies are found, and
-re-parameterised ones; a text that merely has the same shape is not.  A run is cut at a slot near
-its end that is not consistent, and long verbatim stretches count whatever lies beside them (``stretch``).
+re-parameterised ones; a text that merely has the same shape is not.  A run is cut at slots that are not consistent,
+and each part is judged by its own length (``stretch``).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import bounded, mixed, shingle_hashes, small_batches
+from .common import bounded, mixed, shingle_hashes, small_batches, tidy
 
 WINDOW = 8
 #: Literal words that a window of templates has at least, as a share of its length; others are compared verbatim.
@@ -176,40 +176,34 @@ def _sieve(rows: DataFrame, count: int) -> Sieve:
     return Sieve(bits)
 
 
-def consistent_slots(slots: list[tuple[int, int, str, str]]) -> bool:
-    names = [(i, d) for _, k, i, d in slots if k == SLOT_NAME]
-    return len({(k, i, d) for _, k, i, d in slots}) == len({(k, i) for _, k, i, _ in slots}) and len(set(names)) == len({d for _, d in names})
+def stretch(slots: list[tuple[int, int, str, str]], start: int, end: int) -> tuple[int, int]:
+    """Tokens and changed slots of the longest part of a run [start, end) whose slots (place, kind, item's value,
+    document's) are consistent; of equally long ones that with the fewest changes.
 
-
-def stretch(slots: list[tuple[int, int, str, str]], start: int, end: int, window: int, run_tokens: int) -> tuple[int, int]:
-    """Tokens and changed slots of the part that shows a copy in a run [start, end) with slots (place, kind, item's
-    value, document's) that are not consistent; (0, 0) if none does.
-
-    A slot that differs and has less than a window of the run on its far side is where a quotation ends and the
-    document's own words have the same shape by chance: the run may be cut there.  A slot that differs further inside
-    tells another text of that shape, but for a verbatim stretch of twice ``run_tokens`` beside it.
+    A part begins after a slot that differs, or with the run, and ends before the first slot that contradicts it.
     """
-    slots = sorted(slots)
-    differ = [p for p, _, i, d in slots if i != d]
+    slots = sorted(set(slots))
     best = (0, 0)
-    for lo in [start, *[p + 1 for p in differ if p - start < window]]:
-        for hi in [end, *[p for p in differ if end - p - 1 < window]]:
-            if hi - lo >= best[0] and consistent_slots([s for s in slots if lo <= s[0] < hi]):
-                best = max(best, (hi - lo, -sum(lo <= p < hi for p in differ)))
-    exact = max(hi - lo - 1 for lo, hi in zip([start - 1, *differ], [*differ, end]))
-    if exact >= 2 * run_tokens:
-        best = max(best, (exact, 0))
+    for lo in [start, *[p + 1 for p, _, i, d in slots if i != d]]:
+        told: dict[tuple[int, str], str] = {}
+        names: dict[str, str] = {}
+        hi = end
+        for p, kind, i, d in slots:
+            if p >= lo and (told.setdefault((kind, i), d) != d or kind == SLOT_NAME and names.setdefault(d, i) != i):
+                hi = p
+                break
+        best = max(best, (hi - lo, -len({p for p, _, i, d in slots if lo <= p < hi and i != d})))
     return best[0], -best[1]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], window: int, run_tokens: int) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs with slots that are not consistent (others have none here) get the tokens and changes of their stretch."""
     for b in batches:
         tokens, changed = ([*c.to_pylist()] for c in (b.column("tokens"), b.column("changed")))
         for i in np.flatnonzero(b.column("slots").is_valid().to_numpy(zero_copy_only=False)).tolist():
             slots = [(s["at"], s["kind"], s["item"], s["doc"]) for s in b.column("slots")[i].as_py()]
             start = b.column("start")[i].as_py()
-            tokens[i], changed[i] = stretch(slots, start, start + tokens[i], window, run_tokens)
+            tokens[i], changed[i] = stretch(slots, start, start + tokens[i])
         keep = [b.column(n) for n in ("doc_id", "item_id", "item_tokens")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(tokens, pa.int32()), pa.array(changed, pa.int32())], ["doc_id", "item_id", "item_tokens", "tokens", "changed"])
 
@@ -248,7 +242,7 @@ def leaks(
                 [b.column(0).take(pa.array(ids, pa.int64())), pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(at, pa.int32()), pa.array(slots, _SLOT_TYPE)], names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = rows.mapInArrow(run, f"doc_id {kind_of}, h long, dpos int, dslots {_SLOTS}")
+    seen = rows.mapInArrow(tidy(run), f"doc_id {kind_of}, h long, dpos int, dslots {_SLOTS}")
     # slots agree in kind and place, since both windows have one template; other pairs are hash collisions
     shape = lambda c: F.transform(c, lambda s: F.struct(s["offset"], s["kind"]))
     met = seen.join(bench, "h").withColumn("dslots", F.coalesce("dslots", "islots")).where(shape("islots") == shape("dslots"))
@@ -269,7 +263,7 @@ def leaks(
     changed = F.size(F.array_distinct(F.transform(F.filter("slots", lambda s: s["item"] != s["doc"]), lambda s: s["at"])))
     enough = F.col("tokens") >= F.least(F.lit(run_tokens), F.col("item_tokens"))
     judged = runs.where(enough).select("doc_id", "item_id", "item_tokens", "tokens", "start", changed.alias("changed"), F.when(~consistent, F.col("slots")).alias("slots"))
-    good = judged.mapInArrow(lambda batches: _stretches(batches, window, run_tokens), f"doc_id {kind_of}, item_id {dict(items.dtypes)[item_col]}, item_tokens int, tokens int, changed int").where(enough)
+    good = judged.mapInArrow(_stretches, f"doc_id {kind_of}, item_id {dict(items.dtypes)[item_col]}, item_tokens int, tokens int, changed int").where(enough)
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("tokens", (-F.col("changed")).alias("less"), "item_tokens")).alias("b"))
     return best.select(
         F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), F.col("b.tokens").alias("tokens"), F.col("b.item_tokens").alias("item_tokens"),

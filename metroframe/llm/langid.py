@@ -56,13 +56,12 @@ def fit(
     """Learn from the rows of ``df`` with a language; rows with a null text or language teach nothing.
 
     Of a language with more than ``fit_rows`` rows, those whose hashed id falls below the matching share are used,
-    so the cost of a fit is bounded whatever the corpus.  More than ``max_langs`` languages are refused.
+    so the cost of a fit is bounded whatever the corpus; the id and the text tell the draw.  Of more than ``max_langs``
+    languages those with the most rows are learned (of equals the first by name), the others teach nothing.
     """
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_lang is not null and _text is not null")
-    counted = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
-    if len(counted) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    counted = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(max_langs).collect()}
     langs = sorted(counted)
     if not langs:
         return Model([], np.zeros(0), np.zeros((0, 1 << bits)), sizes, bits)
@@ -70,13 +69,13 @@ def fit(
     for lang in langs:
         if counted[lang] > fit_rows:
             share = F.when(F.col("_lang") == lang, F.lit(fit_rows / counted[lang])).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("langid")), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.col("_text"), F.lit("langid")), F.lit(1_000_000)) / 1_000_000
     place = {lang: k for k, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(langs) << bits, np.int64)
         for b in bounded(batches, "_text", 300_000):
-            lang = np.fromiter((place[v] for v in b.column(1).to_pylist()), np.int64, b.num_rows)
+            lang = np.fromiter(map(place.__getitem__, b.column(1).to_pylist()), np.int64, b.num_rows)
             x, doc = letter_codes(b.column(0).to_pylist())
             for bucket, row in gram_buckets(x, doc, sizes, bits):
                 n += np.bincount((lang[row] << bits) | bucket, minlength=n.size)
@@ -85,7 +84,7 @@ def fit(
             part = at[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["slot", "n"])
 
-    summed = rows.where(draw < share).select("_text", "_lang").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    summed = rows.where(F.col("_lang").isin(langs) & (draw < share)).select("_text", "_lang").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(len(langs) << bits)
     n[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
     n = n.reshape(len(langs), 1 << bits)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..session import materialize
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Phrases whose every place counts, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Priorities: a tag or full notice, a named licence with version, a named licence, a hint.
@@ -113,14 +114,54 @@ def rules() -> list[Rule]:
     add("bsd-3-clause", " endorse or promote ", TAG, "may be used to endorse or promote products derived from this software")
     add("zlib", " as is without any express ", TAG, "this software is provided as is without any express or implied warranty")
     add("unlicense", " released into the public domain ", TAG, "this is free and unencumbered software released into the public domain")
+    # Paragraphs of notices and grants
+    for label, keyword, text in (
+        ("apache-2.0", " apache ", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+        ("apache-2.0", " agreed to in writing ", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+        ("apache-2.0", " each contributor ", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+        ("gpl", " free software ", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+        ("gpl", " without even ", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+        ("gpl", " received a copy ", "you should have received a copy of the gnu general public license along with this program"),
+        ("gpl", " everyone is permitted ", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+        ("lgpl", " free software ", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+        ("lgpl", " received a copy ", "you should have received a copy of the gnu lesser general public license along with this library"),
+        ("agpl", " received a copy ", "you should have received a copy of the gnu affero general public license along with this program"),
+        ("gfdl", " permission is granted ", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+        ("mpl-2.0", " source code form ", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+        ("mpl-1.1", " contents of this file ", "the contents of this file are subject to the mozilla public license version 1 1"),
+        ("epl-2.0", " accompanying materials ", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+        ("cddl-1.0", " contents of this file ", "the contents of this file are subject to the terms of the common development and distribution license"),
+        ("mit", " copyright notice ", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+        ("mit", " to deal in ", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+        ("isc", " disclaims all ", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+        ("bsd", " redistributions of ", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+        ("bsd", " redistributions in ", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+        ("bsd-4-clause", " advertising materials ", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+        ("bsd-3-clause", " names of its ", "neither the name of the copyright holder nor the names of its contributors may be used"),
+        ("zlib", " misrepresented ", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+        ("zlib", " altered source ", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+        ("bsl-1.0", " hereby granted ", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+        ("unlicense", " anyone is free ", "anyone is free to copy modify publish use compile sell or distribute this software"),
+        ("wtfpl", " just do what ", "you just do what the fuck you want to"),
+        ("ofl-1.1", " font software ", "this font software is licensed under the sil open font license version 1 1"),
+        ("cc0-1.0", " waived all ", "has waived all copyright and related or neighboring rights"),
+        ("cc-by", " creative commons ", "this work is licensed under a creative commons attribution"),
+        ("cc-by-sa", " remix ", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+        ("public-domain", " dedicate any ", "we dedicate any and all copyright interest in the software to the public domain"),
+        ("proprietary", " trade secrets ", "contains confidential and proprietary information and trade secrets"),
+        ("proprietary", " reverse engineer ", "you may not reverse engineer decompile or disassemble the software"),
+        ("proprietary", " reproduced ", "no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
+        ("reserved", " prior written ", "may not be copied or distributed without the prior written permission of the publisher"),
+    ):
+        add(label, keyword, TAG, text)
     # Statements that are no licence by themselves
-    add("reserved", " rights reserved ", NAMED, "all rights reserved", "alle rechte vorbehalten")
+    add("reserved", " rights reserved ", NAMED, "all rights reserved")
     add("reserved", " rights are reserved ", NAMED, "all rights are reserved")
     add("reserved", " some rights ", HINT, "some rights reserved")
     add("reserved", " rechte vorbehalten ", NAMED, "alle rechte vorbehalten")
-    add("reserved", " droits r", NAMED, "tous droits réservés")
+    add("reserved", " droits r", NAMED, "tous droits r[éÉ]serv[éÉ]s")
     add("reserved", " derechos reservados ", NAMED, "todos los derechos reservados")
-    add("copyright", " copyright ", HINT, "copyright(?: c| ©|©)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", "copyright by [^ ]+")
+    add("copyright", " copyright ", HINT, "copyright(?: c| ©|©)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2}(?= ))*+", "copyright by [^ ]+")  # possessive: no recursion
     add("proprietary", " proprietary ", HINT, f"proprietary {lic}", "confidential and proprietary", "proprietary and confidential")
     add("public-domain", " public domain ", HINT, "(?:in|into|to) the public domain", "public domain dedication")
     add("commercial", " commercial ", HINT, f"commercial {lic}", "for non commercial use only")
@@ -130,7 +171,7 @@ def rules() -> list[Rule]:
 
 def in_words(text: Column) -> Column:
     """The words of a text, joined by single spaces; null has none."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
 def _places(text: Column, regex: Column) -> Column:

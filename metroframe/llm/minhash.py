@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WordHashes, bounded, checked_join, mixed, shingle_hashes, small_batches, words_of
+from .common import WordHashes, bounded, checked_join, hand_back, mixed, shingle_hashes, small_batches, tidy, words_of
 
 WORDS = 5
 BANDS, ROWS = 64, 6
@@ -98,7 +98,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "set_key", "bands"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, bands array<long>")
+    return rows.mapInArrow(tidy(run, lambda: signer_of(**how).hashes), f"id {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
 def private_counts(texts: DataFrame, **how: int) -> DataFrame:
@@ -111,7 +111,7 @@ def private_counts(texts: DataFrame, **how: int) -> DataFrame:
             sets = [signer.shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    each = texts.select("id", "text").mapInArrow(run, f"id {kind}, shingles array<long>").select("id", F.explode("shingles").alias("s"))
+    each = texts.select("id", "text").mapInArrow(tidy(run, lambda: signer_of(**how).hashes), f"id {kind}, shingles array<long>").select("id", F.explode("shingles").alias("s"))
     alone = each.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("_other")).where("id = _other")
     return alone.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
 
@@ -141,7 +141,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, words: int =
                 keep.append(100 * same >= percent * (len(held) + len(other) - same))
             yield pa.RecordBatch.from_arrays(b.columns[:n], b.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, pairs.schema)
+    return both.mapInArrow(tidy(run), pairs.schema)
 
 
 def blockwise(live: DataFrame, texts: DataFrame, percent: int = 75, **how: int) -> DataFrame:

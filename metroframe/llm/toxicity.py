@@ -69,7 +69,7 @@ def fit(
     if not n0 or not n1:
         return Model(np.zeros(size), 0.0 if n0 == n1 else (20.0 if n1 else -20.0), sizes, bits)
     share = [min(1.0, fit_rows / n) for n in (n0, n1)]
-    draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.col("_text"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     picked = rows.where(draw < F.when(F.col("_y") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))).select("_text", "_y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

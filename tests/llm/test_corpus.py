@@ -166,8 +166,9 @@ def test_templates(spark):
     assert out[1, 1] == out[None, 1] == (n, 0, True) and out[10, 2] == (6, 0, True)
     assert out[2, 1][0] == n and out[2, 1][1] == 5 and not out[2, 1][2]
     assert out[13, 1] == (n - 4, 0, True)
-    # 5, 6: other letter case; 3: one number stands for two values; 4: two names share one
-    assert {i for i, _ in out} == {1, 2, 5, 6, 10, 13, None} and out[5, 1][0] == out[6, 1][0] == n
+    # 5, 6: other letter case; 3, 4: the part beside a number with two values, or a name for two
+    assert {i for i, _ in out} == {1, 2, 3, 4, 5, 6, 10, 13, None} and out[5, 1][0] == out[6, 1][0] == n
+    assert out[3, 1] == (14, 0, True) and out[4, 1] == (16, 0, True)
     assert {r.doc_id for r in decontaminate.clean(df.where("doc_id is not null"), items).collect()} == set(rows) - {i for i, _ in out}
     assert decontaminate.leaks(df, items.limit(0)).count() == decontaminate.leaks(df.limit(0), items).count() == 0
 

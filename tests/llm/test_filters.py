@@ -55,8 +55,8 @@ def test_language_odd_rows(spark):
     named = docs(spark, [(1, "abc", "en")]).withColumn("score", F.lit("x")).withColumn("_id", F.lit(1))
     row = langid.predict(named, langid.fit(named)).first()
     assert row.lang_pred == "en" and row.score == 1.0 and row._id == 1
-    with pytest.raises(ValueError):
-        langid.fit(docs(spark, [(i, "a", f"l{i}") for i in range(4)]), max_langs=3)
+    many = langid.fit(docs(spark, [(i, "abc", f"l{i}") for i in range(4)] + [(9, "xyz", "l3")]), max_langs=3)
+    assert many.langs == ["l0", "l1", "l3"]
 
 
 def test_language_held_out_accuracy(spark):
@@ -248,3 +248,62 @@ def test_blocked_bloom_has_no_false_negatives(spark):
 def test_words_of():
     assert words_of("A\x1cb\x85C  d\x0be\xa0F") == ["a\x1cb\x85c".encode(), b"d", "e\xa0f".encode()]
     assert words_of(None) == words_of(" \n") == []
+
+
+def sample_of(tree) -> str:
+    """A text that an expression of the rules matches: its first branches, its optional parts once."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "NOT_LITERAL":
+            out += "q"
+        elif op == "IN":
+            kind, value = arg[0]
+            out += "q" if str(kind) == "NEGATE" else chr(value if str(kind) == "LITERAL" else value[0])
+        elif op in ("MAX_REPEAT", "POSSESSIVE_REPEAT"):
+            out += sample_of(arg[2]) * max(1, arg[0])
+        elif op == "SUBPATTERN":
+            out += sample_of(arg[3])
+        elif op == "BRANCH":
+            out += sample_of(arg[1][0])
+    return out
+
+
+def test_license_rules_survive_their_own_repeats(spark):
+    from re import _parser
+
+    rules = licenses.rules()
+    one = [sample_of(_parser.parse(r.regex)) for r in rules]
+    texts = [f"{s} " * 2500 for s in one] + ["copyright" + " 1999" * 100_000, "all rights reserved " * 100_000]
+    rows = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)).collect()
+    assert len(rows) == len(texts) and all(r.labels for r in rows)
+
+
+def test_license_scan_by_plain_matching(spark):
+    """Labels by Python's expressions on whole words, priorities and containment by comparing all detections."""
+    rules = licenses.rules()
+    rng = random.Random(2)
+    from re import _parser
+
+    one = [sample_of(_parser.parse(r.regex)) for r in rules]
+    texts = [" ".join(rng.choices(one, k=4)) + " " + rng.choice(["", "Droits RÉSERVÉS", "allK", "mit"]) for _ in range(150)]
+    texts += ["Tous droits RÉSERVÉS", "COPYRIGHT 1999 2000 2001x", None, "", "GNU general public license version 2 or any later version"]
+
+    def by_hand(text):
+        t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
+        padded = " " + " ".join(words) + " "
+        found = []
+        for i, r in enumerate(rules):
+            if r.keyword in padded:
+                for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", padded):
+                    found.append((padded[: m.start()].count(" ") - 1, padded[: m.end()].count(" ") - 1, r.priority, i, r.label))
+        kept = [d for d in found if not any(
+            e is not d and e[2] <= d[2] and e[0] <= d[0] and e[1] >= d[1] and (e[:2] != d[:2] or (e[2], e[3]) < (d[2], d[3])) for e in found)]
+        base = {label for p, label in licenses.BASE.items() if f" {p} " in padded}
+        return ",".join(sorted({d[4] for d in kept} | base))
+
+    got = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: by_hand(t) for i, t in enumerate(texts)}
