@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rings import ring_bbox, segment_dist2
-from ..plans.cells import boxes_meet, points_in_boxes
+from ..plans.cells import boxes_meet, points_in_boxes, probe_points
+from ..plans.cover import cover, holds
 from ..plans.search import Box, best_item, nearest_bounds
+from ..session import materialize
 
 
 # ---- points and polygons ----------------------------------------------------
@@ -29,17 +29,17 @@ def points_in_polygons(
     """Points with the closed polygons (grown by ``buffer`` metres) that hold them.
 
     ``mode="first"`` keeps, for each ``point_id``, the polygon lowest in ``order``.
-    The ring itself is not returned.
+    The ring itself is not returned.  Rings are covered by cells (``plans/cover.py``); a point meets a ring's cell, and
+    the few edges there, not the ring.  Null, empty and non-finite rings hold nothing.
     """
     x0, x1, z0, z1 = ring_bbox(F.col(ring))
-    boxed = (
-        polys.withColumn("_bx0", x0 - buffer).withColumn("_bx1", x1 + buffer)
-        .withColumn("_bz0", z0 - buffer).withColumn("_bz1", z1 + buffer)
-        # two flat arrays cross to Arrow much faster than one of structs
-        .withColumn("_rx", F.transform(ring, lambda p: p["x"])).withColumn("_rz", F.transform(ring, lambda p: p["z"])).drop(ring)
-    )
-    near = points_in_boxes(points, boxed, x, z, "_bx0", "_bx1", "_bz0", "_bz1").drop("_bx0", "_bx1", "_bz0", "_bz1")
-    hits = _keep_inside(near, x, z, float(buffer))
+    boxed = polys.select("*", (x0 - buffer).alias("_bx0"), (x1 + buffer).alias("_bx1"), (z0 - buffer).alias("_bz0"), (z1 + buffer).alias("_bz1"))
+    cells = materialize(cover(boxed, ring, float(buffer)))
+    levels = sorted(r[0] for r in cells.select("_lv").distinct().collect())  # as many as powers of two among the cell sizes
+    placed = points.where(~F.isnan(x) & ~F.isnan(z))
+    near = probe_points(placed, x, z, levels or [0]).join(cells, ["_lv", "_cx", "_cz"])
+    near = near.where(F.col(x).between(F.col("_bx0"), F.col("_bx1")) & F.col(z).between(F.col("_bz0"), F.col("_bz1")))
+    hits = holds(near, [*points.columns, *[c for c in polys.columns if c != ring]], x, z, float(buffer))
     if mode == "all":
         return hits
     rest = [c for c in hits.columns if c != point_id]
@@ -47,44 +47,6 @@ def points_in_polygons(
     return best.select(point_id, "_b.*")
 
 
-def _keep_inside(pairs: DataFrame, x: str, z: str, buffer: float) -> DataFrame:
-    """Rows whose point is in the ring (_rx, _rz) or within ``buffer`` of it, tested on flat Arrow arrays."""
-    out = pairs.drop("_rx", "_rz")
-    names = out.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rx, rz = batch.column("_rx"), batch.column("_rz")
-                inside = rings_hold(
-                    batch.column(x).to_numpy(zero_copy_only=False), batch.column(z).to_numpy(zero_copy_only=False),
-                    np.diff(rx.offsets.to_numpy()), rx.flatten().to_numpy(zero_copy_only=False), rz.flatten().to_numpy(zero_copy_only=False), buffer,
-                )
-                yield batch.select(names).filter(pa.array(inside))
-
-    return pairs.mapInArrow(run, out.schema)
-
-
-_TOUCH = 1e-9  # a point this near a border counts as on it
-
-
-def rings_hold(px: np.ndarray, pz: np.ndarray, sizes: np.ndarray, vx: np.ndarray, vz: np.ndarray, buffer: float) -> np.ndarray:
-    """For each point, whether its ring (``sizes`` vertices each, laid end to end) holds it."""
-    ends = np.cumsum(sizes)
-    nxt = np.arange(1, len(vx) + 1)
-    nxt[ends - 1] = ends - sizes
-    owner = np.repeat(np.arange(len(px)), sizes)
-    x, z, bx, bz = px[owner], pz[owner], vx[nxt], vz[nxt]
-    dx, dz = bx - vx, bz - vz
-    with np.errstate(divide="ignore", invalid="ignore"):
-        right = ((vz > z) != (bz > z)) & (x < dx * (z - vz) / dz + vx)
-        t = np.nan_to_num(((x - vx) * dx + (z - vz) * dz) / (dx * dx + dz * dz)).clip(0, 1)
-    d2 = (x - vx - t * dx) ** 2 + (z - vz - t * dz) ** 2
-    odd = np.bincount(owner, right, len(px)) % 2 == 1
-    close = np.bincount(owner, np.sqrt(d2) <= buffer + _TOUCH, len(px)) > 0
-    return odd | close
-
-
 def road_crosses_box(vertices: DataFrame, boxes: DataFrame, box_id: str, road_id: str) -> DataFrame:
     """Boxes (x0, x1, z0, z1) that one road passes: vertices strictly on both sides of a mid-line."""
     inside = points_in_boxes(vertices, boxes, "x", "z", "x0", "x1", "z0", "z1")
