@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WordHashes, bounded, checked_join, mixed, small_batches
+from .common import WordHashes, bounded, checked_join, mixed, shuffles_dropped, small_batches, tidy
 
 LONGEST = 5
 LEAST = 100
@@ -146,7 +146,7 @@ def frequent_pairs(texts: DataFrame, frequent: DataFrame, least: int = LEAST) ->
         slot, n = np.unique(_pairs(lang, h)[good[:-1] & good[1:]], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
-    counted = texts.mapInArrow(lambda batches: _gathered(batches, merged), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(tidy(lambda batches: _gathered(batches, merged)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     return _bitmap(counted.where(F.col("n") >= least), PAIR_BITS)
 
 
@@ -181,7 +181,7 @@ def edges(texts: DataFrame, pairs: np.ndarray) -> DataFrame:
         head = pc.binary_join_element_wise(*part[:3], " ", null_handling="skip")
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(start), pa.string()), head, part[3], part[4], pa.array(n, pa.int64())], names)
 
-    return texts.mapInArrow(lambda batches: _gathered(batches, merged), "lang string, head string, fourth string, fifth string, n long")
+    return texts.mapInArrow(tidy(lambda batches: _gathered(batches, merged)), "lang string, head string, fourth string, fifth string, n long")
 
 
 def flows(rows: DataFrame, least: int = LEAST) -> DataFrame:
@@ -258,9 +258,10 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     """
     small_batches(df.sparkSession)
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    counted = materialize(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= least)))
-    frequent = counted.where("word is not null")
-    grams = materialize(flows(edges(texts, frequent_pairs(texts, frequent, -(-least // PAIR_SHARE))), least))
+    with shuffles_dropped(df.sparkSession):
+        counted = materialize(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= least)))
+        frequent = counted.where("word is not null")
+        grams = materialize(flows(edges(texts, frequent_pairs(texts, frequent, -(-least // PAIR_SHARE))), least))
     known = grams.select("lang", "phrase", "n").unionByName(frequent.select("lang", F.col("word").alias("phrase"), "n"))
 
     words = F.split("phrase", " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
@@ -31,6 +32,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(mine))
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark drops a query's shuffle files when it ends, not when the driver collects its garbage.
+
+    For steps that are each run once and whose results are stored.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: Callable[[], dict]):
     """``run``, after which the worker empties ``caches`` and gives its free memory back: it may serve other stages."""
 
