@@ -242,7 +242,13 @@ def flows(rows: DataFrame, least: int = LEAST) -> DataFrame:
             for level in (k, 2) if k == 3 else (k,):
                 yield from named(t, level).to_batches()
 
-    ordered = rows.repartition("lang", "head").sortWithinPartitions("lang", "head", "fourth", "fifth")
+    # two strings instead of four cross the network; no word holds a space, no head a newline
+    packed = rows.select(F.concat_ws("\n", "lang", "head").alias("key"), F.concat_ws(" ", "fourth", "fifth").alias("tail"), "n").repartition("key")
+    head = F.substring_index("key", "\n", -1)
+    apart = packed.select(
+        F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), head.alias("head"),
+        F.when(F.col("tail") != "", F.substring_index("tail", " ", 1)).alias("fourth"), F.when(F.contains("tail", F.lit(" ")), F.substring_index("tail", " ", -1)).alias("fifth"), "n")
+    ordered = apart.sortWithinPartitions("lang", "head", "fourth", "fifth")
     found = ordered.mapInArrow(run, "lang string, k int, phrase string, n long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names)
 
