@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("clouds", "joins", "lines", "columns", "signals", "feeds", "networks", "cameras", "shapes", "reports", "streams"):
+for _name in ("clouds", "joins", "lines", "columns", "signals", "feeds", "networks", "cameras", "shapes", "reports", "streams", "files"):
     importlib.import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

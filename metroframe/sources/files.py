@@ -1,55 +1,40 @@
 """File readers and writers.
 
-Binary files are read one file per row and decoded in Arrow batches, so the unit of
-parallelism is the file; writers keep files near a million points.
+Binary files are read by byte ranges (``records``); writers keep files near a million points.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rasters import chunk_manifest
 from ..plans.ordered import row_numbers, running_total
-from . import schemas
+from . import records, schemas
 
-_POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("a", "u1")])
-_SLICE = 200_000
+def _records(spark: SparkSession, kind: str, path: str, split: int | None, **options) -> DataFrame:
+    records.register(spark)
+    reader = spark.read.format(f"metroframe_{kind}").options(**options)
+    return (reader if split is None else reader.option("split", split)).load(path)
 
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
-
-def _decoded(df: DataFrame, decode, schema: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield from decode(path, bytes(content))
-
-    return df.mapInPandas(run, schema)
+def _write_records(df: DataFrame, kind: str, path: str, order: Sequence[str], most: int) -> DataFrame:
+    """Rows by chunk to ``path``; returns file and count."""
+    spark = df.sparkSession
+    records.register(spark)
+    laid = df.repartition("chunk").sortWithinPartitions("chunk", *order).drop(*order)
+    laid.write.format(f"metroframe_{kind}").option("records", most).mode("append").save(path)
+    return spark.read.schema("file string, count bigint").json(f"{path}/files.json")
 
 
 # ---- point clouds --------------------------------------------------------------
-def read_point_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Point chunks: a count and 16-byte records.  A truncated file is an error."""
-
-    def decode(name: str, raw: bytes) -> Iterator[pd.DataFrame]:
-        n = int(np.frombuffer(raw, "<u4", 1)[0]) if len(raw) >= 4 else -1
-        if n < 0 or len(raw) < 4 + 16 * n:
-            raise ValueError(f"truncated point chunk: {name}")
-        rec = np.frombuffer(raw, _POINT, n, 4)
-        for at in range(0, n, _SLICE):
-            part = rec[at : at + _SLICE]
-            yield pd.DataFrame({"path": name, **{c: part[c].astype("f4" if c in "xyz" else "i2") for c in _POINT.names}})
-
-    return _decoded(_binary(spark, path), decode, "path string, x float, y float, z float, r short, g short, b short, a short")
+def read_point_chunks(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """Point chunks: a count and 16-byte records, read in ranges of ``split`` bytes.  A truncated file is an error."""
+    return _records(spark, "points", path, split)
 
 
 def write_point_chunks(df: DataFrame, path: str, tile: str = "tile") -> DataFrame:
@@ -62,62 +47,37 @@ def write_point_chunks(df: DataFrame, path: str, tile: str = "tile") -> DataFram
     return chunk_manifest(df.sparkSession.read.parquet(path), tile)
 
 
-def write_point_bins(df: DataFrame, path: str, chunk: str = "chunk") -> DataFrame:
+def write_point_bins(df: DataFrame, path: str, chunk: str = "chunk", most: int = records.FILE_RECORDS) -> DataFrame:
     """The binary form, one file per chunk (bounded by ``grid_chunk``); returns file and count.
 
-    Files are written whole under their final name, so a retried task only repeats itself.
+    A chunk of more than ``most`` points goes on in further files.  Missing colours are 255.  Only files of committed
+    tasks get their final names; ``path`` should be new, and must be shared by the cluster.
     """
-    import os
-
-    local = path.removeprefix("file:")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.empty(len(pdf), _POINT)
-        for c in _POINT.names:
-            rec[c] = pdf[c] if c in pdf else 255
-        os.makedirs(local, exist_ok=True)
-        name = os.path.join(local, f"chunk_{int(pdf[chunk].iloc[0]):03d}.bin")
-        part = f"{name}.{os.getpid()}.part"
-        with open(part, "wb") as f:
-            f.write(np.uint32(len(rec)).tobytes())
-            f.write(rec.tobytes())
-        os.replace(part, name)
-        return pd.DataFrame({"file": [name], "count": [len(rec)]})
-
-    return df.groupBy(chunk).applyInPandas(run, "file string, count bigint")
+    cols = [F.col(c).cast("float") if c in df.columns else F.lit(255.0).cast("float").alias(c) for c in "xyz"]
+    cols += [F.col(c).cast("short") if c in df.columns else F.lit(255).cast("short").alias(c) for c in "rgba"]
+    return _write_records(df.select(F.col(chunk).cast("long").alias("chunk"), *cols), "points", path, [], most)
 
 
 # ---- meshes and rings ------------------------------------------------------------
-def read_mesh_vertices(spark: SparkSession, path: str) -> DataFrame:
+def read_mesh_vertices(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
     """Vertex positions of mesh files: path, i, x, y, z.  Texture coordinates are not read."""
+    return _records(spark, "vertices", path, split)
+
 
-    def decode(name: str, raw: bytes) -> Iterator[pd.DataFrame]:
-        n = int(np.frombuffer(raw, "<u4", 1)[0])
-        p = np.frombuffer(raw, "<f4", n * 3, 8).reshape(n, 3)
-        for at in range(0, n, _SLICE):
-            q = p[at : at + _SLICE]
-            yield pd.DataFrame({"path": name, "i": np.arange(at, at + len(q)), "x": q[:, 0], "y": q[:, 1], "z": q[:, 2]})
+def write_mesh_vertices(df: DataFrame, path: str, chunk: str = "chunk", order: str = "i") -> DataFrame:
+    """One mesh file of positions per chunk, in the order of ``order``; returns file and count.
 
-    return _decoded(_binary(spark, path), decode, "path string, i long, x float, y float, z float")
+    A mesh is one file by its format, and its positions are held by the task that writes it.
+    """
+    cols = [F.col(c).cast("float") for c in "xyz"]
+    return _write_records(df.select(F.col(chunk).cast("long").alias("chunk"), F.col(order).alias("_i"), *cols), "vertices", path, ["_i"], 1 << 31)
 
 
-def read_footprint_bins(spark: SparkSession, path: str, origin_cm: tuple[float, float, float]) -> DataFrame:
+def read_footprint_bins(spark: SparkSession, path: str, origin_cm: tuple[float, float, float], split: int | None = None) -> DataFrame:
     """Base ring of extruded building files, in scene metres.  Short files are left out."""
-    ox, oy = origin_cm[0], origin_cm[1]
-
-    def decode(name: str, raw: bytes) -> Iterator[pd.DataFrame]:
-        if len(raw) < 8:
-            return
-        vc, ic = (int(v) for v in np.frombuffer(raw, "<u4", 2))
-        if vc < 7 or len(raw) < 8 + vc * 12 + ic * 4:
-            return
-        base = np.frombuffer(raw, "<f4", vc * 3, 8).reshape(vc, 3)[: (vc - 1) // 2].astype(float)
-        ring = [{"x": (x - ox) / 100.0, "z": (y - oy) / 100.0} for x, y in base[:, :2]]
-        yield pd.DataFrame({"path": [name], "ring": [ring]})
-
-    rings = _decoded(_binary(spark, path), decode, "path string, ring array<struct<x: double, z: double>>")
     from ..functions.rings import ring_area
 
+    rings = _records(spark, "rings", path, split, origin_x=origin_cm[0], origin_y=origin_cm[1])
     return rings.where(ring_area(F.col("ring")) > 0)
 
 
@@ -133,19 +93,9 @@ def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/cells"), spec
 
 
-def read_dense_grid(spark: SparkSession, path: str, spec: dict) -> DataFrame:
+def read_dense_grid(spark: SparkSession, path: str, spec: dict, split: int | None = None) -> DataFrame:
     """Row-major float32 raster to sparse cells; NaN gaps become missing rows."""
-    nx, nz = spec["nx"], spec["nz"]
-
-    def decode(name: str, raw: bytes) -> Iterator[pd.DataFrame]:
-        grid = np.frombuffer(raw, "<f4", nx * nz).reshape(nz, nx)
-        rows = max(1, _SLICE // nx)
-        for at in range(0, nz, rows):
-            block = grid[at : at + rows]
-            iz, ix = np.nonzero(np.isfinite(block))
-            yield pd.DataFrame({"ix": ix.astype("i8"), "iz": iz.astype("i8") + at, "y": block[iz, ix].astype("f8")})
-
-    return _decoded(_binary(spark, path), decode, "ix long, iz long, y double")
+    return _records(spark, "cells", path, split, nx=spec["nx"], nz=spec["nz"])
 
 
 # ---- documents -----------------------------------------------------------------
