@@ -142,6 +142,15 @@ def moving_tracks(t):
     return K.moving_tracks(image_tracks(t)).select("camera", "quad", "track_id", "pts", r("dx").alias("dx"), r("dz").alias("dz"))
 
 
+@query(with_views("detections") + """, p AS (SELECT camera, quad, cls AS track_id, count(*) AS pts, arg_max({'u': u, 'v': v}, {'f': frame, 'i': det_id}) AS b, arg_min({'u': u, 'v': v}, {'f': frame, 'i': det_id}) AS a,
+ avg(u) AS mid_u, avg(v) AS mid_v, max(frame) - min(frame) AS frames FROM fx_detections GROUP BY ALL) SELECT camera, quad, track_id, pts, round(b.u-a.u,6)+0.0 AS dx, round(b.v-a.v,6)+0.0 AS dz, round(mid_u,6)+0.0 AS mid_u, round(mid_v,6)+0.0 AS mid_v, frames FROM p
+ WHERE pts >= 3 AND sqrt(pow(b.u-a.u,2)+pow(b.v-a.v,2)) >= 0.06""")
+def moving_classes(t):
+    """Net displacement of each class of a view, as one track each."""
+    out = K.moving_tracks(t.detections.withColumn("track_id", F.col("cls")))
+    return out.select("camera", "quad", "track_id", "pts", *[r(c).alias(c) for c in ("dx", "dz", "mid_u", "mid_v")], "frames")
+
+
 @query()
 def propose_pairs(t):
     """Image to road seeds of every camera near a road."""

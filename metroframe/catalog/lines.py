@@ -113,7 +113,11 @@ def gaussian_profile(t):
     return out.select("road_id", F.col("i").cast("long").alias("i"), r("y", 7).alias("y"))
 
 
-@query()
+@query("WITH RECURSIVE" + with_views("roads")[4:] + """, p AS (SELECT road_id, list(y ORDER BY seq) AS ys, list({'x': x, 'z': z} ORDER BY seq) AS pt FROM fx_roads GROUP BY road_id),
+ c AS (SELECT road_id, ys, list_transform(range(1, len(pt)), lambda i: 0.22E0*sqrt(pow(pt[i+1].x-pt[i].x,2)+pow(pt[i+1].z-pt[i].z,2))) AS cap FROM p),
+ s AS (SELECT road_id, 0 AS k, ys, cap FROM c UNION ALL SELECT road_id, k + 1, ys[:i-1] || [least(greatest(ys[i], ys[j] - cap[least(i, j)]), ys[j] + cap[least(i, j)])] || ys[i+1:], cap
+  FROM (SELECT *, CASE WHEN ahead THEN pos + 2 ELSE len(cap) - pos END AS i, CASE WHEN ahead THEN pos + 1 ELSE len(cap) - pos + 1 END AS j FROM (SELECT *, (k // len(cap)) % 2 = 0 AS ahead, k % len(cap) AS pos FROM s WHERE k < 8*len(cap)))),
+ d AS (SELECT road_id, unnest(range(len(ys))) AS i, unnest(ys) AS y FROM s WHERE k = 8*len(cap)) SELECT road_id, CAST(i AS INTEGER) AS i, round(y,6)+0.0 AS y FROM d""")
 def limit_grade(t):
     """Elevation profiles with no segment steeper than 22 %."""
     pts = F.col("pts")

@@ -105,13 +105,31 @@ def simple_legs(t):
     )
 
 
-@query()
+_LEGSQL = """, l AS (SELECT c_custkey AS jid, i AS idx, i*1.6E0 + ((c_custkey*7+i*3) % 10)/40.0E0 AS b, (c_custkey+i) % 5 AS rank, 6.0E0 + (c_custkey*3+i*5) % 9 AS w FROM customer, (SELECT unnest([0,1,2,3]) AS i) WHERE i <= 2 + c_custkey % 2),
+ x AS (SELECT a.jid, a.idx, max(o.w)/2 AS edge FROM l a JOIN l o ON o.jid = a.jid AND o.idx <> a.idx AND abs(atan2(sin(o.b-a.b),cos(o.b-a.b))) > radians(50) AND abs(abs(atan2(sin(o.b-a.b),cos(o.b-a.b)))-pi()) > radians(50) GROUP BY a.jid, a.idx)"""
+
+
+def _greedy(order: str, gap: str) -> str:
+    """Pairs of legs taken one by one: r (jid, legs, k, taken, pairs), complete where k = len(legs); pairs lists (n, idx)."""
+    return f"""WITH RECURSIVE {_LEGSQL[2:]}, o AS (SELECT jid, list({{'idx': CAST(idx AS INTEGER), 'b': b, 'rank': rank}} ORDER BY {order}) AS legs FROM l GROUP BY jid),
+ r AS (SELECT jid, legs, 0 AS k, CAST([] AS INTEGER[]) AS taken, 0 AS n, CAST([] AS STRUCT(n INTEGER, idx INTEGER)[]) AS pairs FROM o UNION ALL
+  SELECT jid, legs, k + 1, CASE WHEN held THEN taken ELSE taken || mine END, CASE WHEN held THEN n ELSE n + 1 END, CASE WHEN held THEN pairs ELSE pairs || list_transform(mine, lambda i: {{'n': n, 'idx': i}}) END
+  FROM (SELECT *, list_contains(taken, me.idx) AS held, [me.idx] || list_transform(list_slice(list_sort(list_transform(list_filter(legs, lambda q: q.idx <> me.idx AND NOT list_contains(taken, q.idx) AND pi() - abs(atan2(sin(me.b - q.b), cos(me.b - q.b))) < radians(30)),
+   lambda q: {{'gap': {gap}, 'at': list_position(legs, q), 'idx': q.idx}})), 1, 1), lambda q: q.idx) AS mine
+   FROM (SELECT *, legs[k + 1] AS me FROM r WHERE k < len(legs)))), done AS (SELECT * FROM r WHERE k = len(legs))"""
+
+
+_STREETS = _greedy("idx", "0.0E0") + """, st AS (SELECT jid, len(legs) AS degree, n, list_transform(range(n), lambda g: list_max(list_transform(list_filter(pairs, lambda p: p.n = g), lambda p: list_filter(legs, lambda q: q.idx = p.idx)[1].rank))) AS tops FROM done),
+ streets AS (SELECT jid, n AS streets, CAST(len(list_filter(tops, lambda v: v >= 2)) AS INTEGER) AS major, CAST(list_max(tops) AS INTEGER) AS top, CAST(degree AS INTEGER) AS degree FROM st)"""
+
+
+@query(_greedy("rank DESC, w DESC, idx", "pi() - abs(atan2(sin(me.b - q.b), cos(me.b - q.b)))") + " SELECT jid, p.idx AS idx, chr(65 + p.n) AS grp FROM (SELECT jid, unnest(pairs) AS p FROM done)")
 def pair_opposites(t):
     """Movement groups of opposing legs."""
     return J.pair_opposites(simple_legs(t))
 
 
-@query()
+@query(_STREETS + " SELECT * FROM streets")
 def count_streets(t):
     return J.count_streets(simple_legs(t))
 
@@ -121,7 +139,8 @@ def _junctions(t):
     return s.join(t.sites.select(F.col("site_id").alias("jid"), "x", "z"), "jid")
 
 
-@query()
+@query(_STREETS + """ SELECT jid, CASE WHEN top >= 3 AND major >= 2 THEN 'signal' WHEN top >= 2 OR degree >= 4 THEN 'stop' ELSE 'uncontrolled' END AS control,
+ ['service', 'residential', 'tertiary', 'secondary', 'primary'][top + 1] AS controlling_class FROM streets""")
 def classify_junctions(t):
     """Control by rank and degree alone."""
     return J.classify_junctions(_junctions(t)).select("jid", "control", "controlling_class")
@@ -145,8 +164,6 @@ def enforce_spacing(t):
     return J.enforce_spacing(J.classify_junctions(_junctions(t), sig)).select("jid", "control")
 
 
-_LEGSQL = """, l AS (SELECT c_custkey AS jid, i AS idx, i*1.6E0 + ((c_custkey*7+i*3) % 10)/40.0E0 AS b, (c_custkey+i) % 5 AS rank, 6.0E0 + (c_custkey*3+i*5) % 9 AS w FROM customer, (SELECT unnest([0,1,2,3]) AS i) WHERE i <= 2 + c_custkey % 2),
- x AS (SELECT a.jid, a.idx, max(o.w)/2 AS edge FROM l a JOIN l o ON o.jid = a.jid AND o.idx <> a.idx AND abs(atan2(sin(o.b-a.b),cos(o.b-a.b))) > radians(50) AND abs(abs(atan2(sin(o.b-a.b),cos(o.b-a.b)))-pi()) > radians(50) GROUP BY a.jid, a.idx)"""
 
 
 @query(with_views("sites") + _LEGSQL + """ SELECT l.jid, CAST(l.idx AS INTEGER) AS idx, round(s.x + cos(b)*(coalesce(edge,w/2)+4) - sin(b)*w/4, 2)+0.0 AS stop_x, round(s.z + sin(b)*(coalesce(edge,w/2)+4) + cos(b)*w/4, 2)+0.0 AS stop_z, true AS marked FROM l LEFT JOIN x USING (jid, idx) JOIN fx_sites s ON s.site_id = l.jid""")

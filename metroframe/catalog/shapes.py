@@ -31,7 +31,12 @@ def ring_distance(t):
     return b.select("box_id", R.point_in_ring(F.col("px"), F.col("pz"), ring).alias("inside"), r(R.ring_distance(F.col("px"), F.col("pz"), ring)).alias("dist"))
 
 
-@query()
+# a point is a corner where all others lie within less than half a turn
+@query(with_views("points") + """, p AS (SELECT DISTINCT l_suppkey AS g, x, z FROM fx_points), a AS (SELECT p.g, p.x, p.z, atan2(q.z-p.z, q.x-p.x) AS t FROM p JOIN p q ON p.g = q.g AND (p.x <> q.x OR p.z <> q.z)),
+ s AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY g, x, z ORDER BY t), min(t) OVER (PARTITION BY g, x, z) + 2*pi()) - t AS gap FROM a), h AS (SELECT g, x, z FROM s GROUP BY g, x, z HAVING max(gap) > pi() + 1e-9),
+ c AS (SELECT *, avg(x) OVER (PARTITION BY g) AS mx, avg(z) OVER (PARTITION BY g) AS mz FROM h), o AS (SELECT *, atan2(z-mz, x-mx) AS t FROM c),
+ n AS (SELECT g, x, z, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(z) OVER w, first_value(z) OVER w) AS nz FROM o WINDOW w AS (PARTITION BY g ORDER BY t))
+ SELECT g AS l_suppkey, count(*) AS n, round(abs(sum(x*nz-nx*z))/2,4)+0.0 AS area FROM n GROUP BY g""")
 def convex_hull(t):
     """Hull of each supplier's points."""
     h = V.convex_hull(t.points, ["l_suppkey"])
@@ -55,7 +60,12 @@ def outline_or_polygon(t):
     return out.select("key", r("area", 3).alias("area"), "source")
 
 
-@query()
+@query("WITH RECURSIVE" + with_views("roads")[4:] + """, v AS (SELECT road_id, row_number() OVER (PARTITION BY road_id ORDER BY seq) AS i, x, z FROM fx_roads),
+ c AS (SELECT a.road_id, a.i AS lo, b.i AS hi, m.i AS k, a.x AS ax, a.z AS az, b.x-a.x AS cx, b.z-a.z AS cz, m.x-a.x AS mx, m.z-a.z AS mz FROM v a JOIN v b ON b.road_id = a.road_id AND b.i > a.i + 1 JOIN v m ON m.road_id = a.road_id AND m.i > a.i AND m.i < b.i),
+ t AS (SELECT *, CASE WHEN cx*cx+cz*cz = 0 THEN 0 ELSE least(greatest((mx*cx+mz*cz)/(cx*cx+cz*cz), 0), 1) END AS f FROM c),
+ far AS (SELECT road_id, lo, hi, max(sqrt(pow(mx-f*cx,2)+pow(mz-f*cz,2))) AS d, arg_max(k, {'d': sqrt(pow(mx-f*cx,2)+pow(mz-f*cz,2)), 'k': -k}) AS k FROM t GROUP BY ALL),
+ iv AS (SELECT road_id, min(i) AS lo, max(i) AS hi FROM v GROUP BY road_id UNION ALL SELECT iv.road_id, unnest([iv.lo, k]), unnest([k, iv.hi]) FROM iv JOIN far ON far.road_id = iv.road_id AND far.lo = iv.lo AND far.hi = iv.hi AND d > 5),
+ n AS (SELECT road_id, count(*) AS before FROM v GROUP BY road_id) SELECT road_id, CAST(before AS INTEGER) AS before, CAST(least(before, 2 + (count(*)-1)/2) AS INTEGER) AS after FROM iv JOIN n USING (road_id) GROUP BY road_id, before""")
 def simplify(t):
     """Douglas-Peucker at 5 m."""
     xz = F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["z"].alias("z")))

@@ -81,7 +81,10 @@ def new_frames_only(t):
     return ST.run_available(ST.new_frames_only(view(t, "detections"))).select("camera", "frame")
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT user_id AS ix, event_id AS seq, list(value/20) OVER (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING) AS l FROM events),
+ q AS (SELECT ix, seq, list_sort(l)[len(l)//2+1] AS mid, row_number() OVER (PARTITION BY ix ORDER BY seq) AS n FROM w WHERE len(l) >= 4 AND list_max(l) - list_min(l) <= 1.0),
+ c AS (SELECT ix, seq, mid, n, true AS told, mid AS held FROM q WHERE n = 1 UNION ALL SELECT q.ix, q.seq, q.mid, q.n, abs(q.mid - c.held) > 0.25, CASE WHEN abs(q.mid - c.held) > 0.25 THEN q.mid ELSE c.held END FROM c JOIN q ON q.ix = c.ix AND q.n = c.n + 1)
+ SELECT ix, seq, round(mid,6)+0.0 AS value FROM c WHERE told""")
 def settled_grid(t):
     """Commits of per-user sample series."""
     s = events(t).select(F.col("user_id").alias("ix"), F.col("event_id").alias("seq"), (F.col("value") / 20).alias("value"))
