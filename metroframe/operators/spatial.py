@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,14 +114,14 @@ def _oriented(df: DataFrame, p: str) -> DataFrame:
     )
 
 
-def sat_overlap(p: str = "a", q: str = "b") -> tuple[Column, Column, Column]:
-    """Minimum translation (nx, nz, depth) of two oriented boxes; NULL when apart.
+def _least_depth(p: str, q: str, turn: Callable[[str], tuple[Column, Column]]) -> Column:
+    """Separating-axis test of two oriented boxes: their own axis of least depth, (pen, i, nx, nz) with the normal towards ``p``.
 
-    Separating-axis test over both boxes' own axes; local +X is (cos, -sin), +Z is (sin, cos).
+    A depth of nought or less means apart.  ``turn`` gives cosine and sine of a box; local +X is (cos, -sin), +Z is (sin, cos).
     """
 
     def axes(s: str) -> list[tuple[Column, Column]]:
-        c, n = F.cos(F.col(f"{s}_yaw")), F.sin(F.col(f"{s}_yaw"))
+        c, n = turn(s)
         return [(c, -n), (n, c)]
 
     def reach(s: str, ux: Column, uz: Column) -> Column:
@@ -135,22 +135,26 @@ def sat_overlap(p: str = "a", q: str = "b") -> tuple[Column, Column, Column]:
         depth = reach(p, ux, uz) + reach(q, ux, uz) - F.abs(along)
         sign = F.when(along >= 0, 1.0).otherwise(-1.0)
         trials.append(F.struct(depth.alias("pen"), F.lit(i).alias("i"), (ux * sign).alias("nx"), (uz * sign).alias("nz")))
-    best = F.array_min(F.array(*trials))
-    hit = best["pen"] > 0
-    return F.when(hit, best["nx"]), F.when(hit, best["nz"]), F.when(hit, best["pen"])
+    return F.array_min(F.array(*trials))
 
 
 def obb_overlap(a: DataFrame, b: DataFrame, a_id: str = "a_id", b_id: str = "b_id", on: Sequence[str] = ()) -> DataFrame:
-    """Pairs of overlapping oriented boxes with normal (towards a) and depth."""
+    """Pairs of overlapping oriented boxes with normal (towards a) and depth.
+
+    Cosines are taken once a box.  The exact test is unnested, not filtered by, so that it stays behind the join's
+    comparison of rectangles (and of ids, where the caller adds one) and runs once a pair.
+    """
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        yaw = F.col(f"{p}_yaw")
+        return _oriented(df, p).withColumn(f"_{p}cos", F.cos(yaw)).withColumn(f"_{p}sin", F.sin(yaw))
+
     met = boxes_meet(
-        _oriented(a, "a"), _oriented(b, "b"),
-        ("_ax0", "_ax1", "_az0", "_az1"), ("_bx0", "_bx1", "_bz0", "_bz1"), tuple(on),
-    )
-    nx, nz, pen = sat_overlap()
-    return (
-        met.withColumn("nx", nx).withColumn("nz", nz).withColumn("pen", pen)
-        .where(F.col("pen").isNotNull()).select(*on, a_id, b_id, "nx", "nz", "pen")
+        side(a, "a"), side(b, "b"), ("_ax0", "_ax1", "_az0", "_az1"), ("_bx0", "_bx1", "_bz0", "_bz1"), tuple(on),
     )
+    best = _least_depth("a", "b", lambda s: (F.col(f"_{s}cos"), F.col(f"_{s}sin")))
+    hit = F.filter(F.array(best), lambda v: v["pen"] > 0)
+    return met.select(*on, a_id, b_id, F.explode(hit).alias("_h")).select(*on, a_id, b_id, "_h.nx", "_h.nz", "_h.pen")
 
 
 # ---- nearest ----------------------------------------------------------------
