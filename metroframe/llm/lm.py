@@ -9,6 +9,10 @@ Counts are exact.  Words and bigrams that are frequent in a bounded sample (``HE
 in place and their counts are broadcast; this bounds how often any other word or bigram occurs, so all the others are
 counted by one shuffle in which an event meets the other events of its n-gram.  Which n-grams are in the lists changes
 the route of an event, never a count.
+
+The shuffle moves packed arrays: the events of some thousand texts are dealt to as many buckets as the corpus needs for
+``BUCKET_EVENTS`` in each, by the hash of their n-gram.  What meets there is stored once (counts of every n-gram and
+the texts that hold it); the weights are learned from a histogram of it, and the scores are added up from it.
 """
 
 from __future__ import annotations
@@ -19,12 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import bounded, mixed, small_batches, words_of
+from .common import bounded, mixed, shuffles_dropped, small_batches, tidy, words_of
 
 BITS = 17
 START, END, FIRST_WORD = 0, 1, 2
@@ -35,6 +38,14 @@ HEAD_DOCS = 8_000
 BUCKETS = 21
 SCALE = 2.0**26  # of fixed-point sums
 STEP = 8  # bins for each doubling of a held-out estimate
+LISTED = 3  # role of a bigram in the list
+#: Events of a bucket, about, and events gathered before they are dealt to buckets.
+BUCKET_EVENTS = 1 << 18
+GATHERED = 1 << 20
+#: Kinds of stored rows: n-grams with their counts and texts, sums of texts, the two halves of a bigram of unlisted
+#: words (word known, context known), histogram.
+MET, SUMS, WORD_HALF, CONTEXT_HALF, HISTOGRAM = range(5)
+STORED = ["kind", "bucket", "a", "b", "c", "d", "size", "n", "id", "slot", "m"]
 
 
 class Codes(dict):
@@ -87,33 +98,125 @@ def events(texts: list[str | None], codes: Codes) -> tuple[np.ndarray, np.ndarra
     return v, w, row
 
 
-def shuffled(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, roles, partners and event index of events outside the lists.
+def shuffled(v: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, roles, partners and event index of events; ``at`` is their place in the list of bigrams.
 
-    An unlisted token is keyed by itself (role 0), an unlisted context by itself (role 1), a bigram of two listed
-    words by both (role 0, partner 0); if both are unlisted there are two rows.
+    A listed bigram is keyed by both words (role LISTED, partner its place), an unlisted token by itself (role 0), an
+    unlisted context by itself (role 1), any other bigram of two listed words by both (role 0, partner 0); if both are
+    unlisted there are two rows.
     """
     e = np.flatnonzero((v >= 0) & (w >= 0))
     a, b = np.flatnonzero(w < 0), np.flatnonzero(v < 0)
     key = np.concatenate([(v[e] << BITS) | w[e], w[a], v[b]])
-    role = np.concatenate([np.zeros(len(e) + len(a), np.int64), np.ones(len(b), np.int64)])
-    other = np.concatenate([np.zeros(len(e), np.int64), v[a], w[b]])
+    role = np.concatenate([np.where(at[e] >= 0, LISTED, 0), np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
+    other = np.concatenate([np.maximum(at[e], 0), v[a], w[b]])
     return key, role, other, np.concatenate([e, a, b])
 
 
 def merged(key: np.ndarray, role: np.ndarray, other: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and number of the distinct (key, role, other, row)."""
     k = np.uint64(0x9E3779B97F4A7C15)
-    z = mixed(key.view(np.uint64) * k + mixed(other.view(np.uint64) * k + mixed(row.astype(np.uint64) * np.uint64(2) + role.astype(np.uint64))))
+    z = mixed(key.view(np.uint64) * k + mixed(other.view(np.uint64) * k + mixed(row.astype(np.uint64) * np.uint64(4) + role.astype(np.uint64))))
     _, first, n = np.unique(z, return_index=True, return_counts=True)
     return first, n
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers of nought or more in the fewest bytes each that hold the largest; the first byte is that width."""
+    width = next(b for b in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * b - 1))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
+def cells(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary cells with the bytes of x between the cuts."""
+    offsets = (cuts * x.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
+
+
+def cuts_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+
+
+def dealt(key: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(key.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket; they come sorted by the first column, ``bucket``."""
+    open_: list[pa.RecordBatch] = []
+    for b in batches:
+        at = b.column(0).to_numpy()
+        cuts = cuts_of(at)
+        for lo, hi in zip(cuts, cuts[1:]):
+            if open_ and open_[0].column(0)[0].as_py() != at[lo]:
+                yield pa.Table.from_batches(open_)
+                open_ = []
+            open_.append(b.slice(lo, hi - lo))
+    if open_:
+        yield pa.Table.from_batches(open_)
+
+
+def joined(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    """All bytes of binary cells as one array."""
+    return np.concatenate([np.frombuffer(x, dtype) for x in column.to_pylist()] or [np.empty(0, dtype)])
+
+
+def lists_joined(column: pa.ChunkedArray) -> pa.Array:
+    """All values of list cells as one array."""
+    parts = [c.flatten() for c in column.chunks]
+    return pa.concat_arrays(parts) if parts else pa.array([], column.type.value_type)
+
+
+def summed_by(ids: pa.Array, *values: np.ndarray) -> tuple[pa.Array, list[np.ndarray]]:
+    """Distinct ids (null is one) and the sums of values, whole numbers, of each."""
+    coded = ids.dictionary_encode(null_encoding="encode")
+    at, n = coded.indices.to_numpy(), len(coded.dictionary)
+    return coded.dictionary, [np.bincount(at, v, minlength=n).astype(np.int64) for v in values]
+
+
+def stored(id_type: pa.DataType, kind: int, bucket: int = 0, ids: pa.Array | None = None, slot: np.ndarray | None = None, m: np.ndarray | None = None, **packed: np.ndarray) -> pa.RecordBatch:
+    """One row of the table of what met."""
+    lists = [None if x is None else x.tolist() for x in (slot, m)]
+    held = pa.nulls(1, pa.list_(id_type)) if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    cols = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int64())]
+    cols += [pa.array([pack(packed[c]) if c in packed else None], pa.binary()) for c in ("a", "b", "c", "d", "size", "n")]
+    return pa.RecordBatch.from_arrays([*cols, held, *[pa.array([x], pa.list_(pa.int64())) for x in lists]], STORED)
+
+
+class Histogram:
+    """Held-out estimates of n-grams by bins; slot -1 holds the number of unlisted words."""
+
+    def __init__(self):
+        self.slot, self.m = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, slot: np.ndarray, m: np.ndarray) -> None:
+        self.slot, at = np.unique(np.concatenate([self.slot, slot]), return_inverse=True)
+        self.m = np.bincount(at, np.concatenate([self.m, m]), minlength=len(self.slot)).astype(np.int64)
+
+
+def bins(p: np.ndarray, c: np.ndarray, w: np.ndarray, tokens: int) -> np.ndarray:
+    """Bin of events held out of their own counts: a bucket and both estimates in steps."""
+    x2 = np.where(p > 1, np.rint(STEP * np.log2(np.maximum(p - 1, 1) / np.maximum(c - 1, 1))), -1000).astype(np.int64)
+    x1 = np.where(w > 1, np.rint(STEP * np.log2(np.maximum(w - 1, 1) / max(1, tokens - 1))), -1000).astype(np.int64)
+    return (bucket(c - 1) * 1024 - x2) * 1024 - x1
+
+
+def fixed(x: np.ndarray) -> np.ndarray:
+    """Fixed-point numbers: sums of these do not depend on their order."""
+    return np.rint(x * SCALE).astype(np.int64)
+
+
 class Model:
-    """Broadcast part of a fitted model."""
+    """Counts of the listed n-grams, number of unlisted training tokens (``rest``), and what is learned."""
 
-    def __init__(self, lists: Lists, count: np.ndarray, pair: np.ndarray, tokens: int, distinct: int, weights: np.ndarray):
-        self.lists, self.count, self.pair, self.tokens, self.distinct, self.weights = lists, count, pair, tokens, distinct, weights
+    def __init__(self, lists: Lists, count: np.ndarray, pair: np.ndarray, tokens: int, rest: int):
+        self.lists, self.count, self.pair, self.tokens, self.rest = lists, count, pair, tokens, rest
+        self.distinct, self.weights = 0, np.empty((0, 3))
 
     def log10(self, pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         a, u, z = self.weights[bucket(context)].T
@@ -175,14 +278,20 @@ def expectation_maximisation(where: np.ndarray, p2: np.ndarray, p1: np.ndarray,
     return weights
 
 
-def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", head_docs: int = HEAD_DOCS) -> Model:
-    """Counts of the listed n-grams and the weights, from the rows where ``train_col`` is true."""
-    small_batches(df.sparkSession)
-    train = df.where(F.col(train_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size = train.agg(F.count(F.lit(1)).alias("n")).first()
-    lists = _lists(train, size["n"], head_docs)
+class Fitted:
+    """A model, and the stored events of the frame that it was fitted on."""
+
+    def __init__(self, model: Model, source: tuple, met: list[DataFrame]):
+        self.model, self.source, self.met = model, source, met
+
+    def __getattr__(self, name: str):
+        return getattr(self.model, name)
+
+
+def _counts(train: DataFrame, lists: Lists) -> Model:
+    """Counts of the listed n-grams in the texts of ``train``."""
     n_words, n_pairs = FIRST_WORD + len(lists.words), len(lists.pairs)
-    held = df.sparkSession.sparkContext.broadcast(lists)
+    held = train.sparkSession.sparkContext.broadcast(lists)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of the listed words and bigrams, and (key -1) of the unlisted words."""
@@ -200,177 +309,241 @@ def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["key", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([rest], pa.int64())], ["key", "n"])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All events outside the lists."""
-        codes = held.value.codes()
-        for b in bounded(batches, "text"):
-            v, w, _ = events(b.column(0).to_pylist(), codes)
-            rest = held.value.place(v, w) < 0
-            key, role, other, _ = shuffled(v[rest], w[rest])
-            first, m = merged(key, role, other, np.zeros(len(key), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(role[first].astype(np.int32)), pa.array(other[first]), pa.array(m)], ["key", "role", "other", "n"])
-
-    summed = train.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    summed = train.select("text").mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, total = (c.to_numpy() for c in summed.columns)
     n = np.zeros(n_words + n_pairs, np.int64)
     n[key[key >= 0]] = total[key >= 0]
-    word, pair = n[:n_words], n[n_words:]
-    tokens = int(word[END:].sum() + total[key < 0].sum())
-
-    # held-out events: bigrams with their counts, and the count of the unlisted word of each; read once more, since the
-    # text is smaller than its events; one exchange serves the counts of bigrams and of words
-    grams = train.select("text").mapInArrow(others, "key long, role int, other long, n long").repartition("key")
-    grams = grams.groupBy("key", "role", "other").agg(F.sum("n").alias("pair"))
-    by = Window.partitionBy("key").orderBy("role")
-    own = F.sum(F.when(F.col("role") == 0, F.col("pair"))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    new = (F.col("key") < 0) & (F.col("role") == 0) & (F.row_number().over(by) == 1)
-    told = df.sparkSession.sparkContext.broadcast(word)
-
-    def estimates(p: np.ndarray, c: np.ndarray, w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bin and weight of events held out of their own counts; a bin is a bucket and both estimates in steps."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x2 = np.where(p > 1, np.rint(STEP * np.log2(np.maximum(p - 1, 1) / np.maximum(c - 1, 1))), -1000).astype(np.int64)
-            x1 = np.where(w > 1, np.rint(STEP * np.log2(np.maximum(w - 1, 1) / max(1, tokens - 1))), -1000).astype(np.int64)
-        return ((bucket(c - 1) * 1024 - x2) * 1024 - x1), m
-
-    names = ["slot", "v", "w", "m", "pair", "cv", "cw"]
-
-    def rows(slot: np.ndarray, v: np.ndarray, w: np.ndarray, m: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (slot, v, w, m, *counts)], names)
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, role, other, p, o, first = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            listed = np.append(told.value, 0)
-            context = np.where(key >= 0, listed[np.clip(key >> BITS, 0, n_words)], np.where(role == 1, o, listed[np.clip(other, 0, n_words)]))
-            token = np.where(key >= 0, listed[np.clip(key & ((1 << BITS) - 1), 0, n_words)], np.where(role == 1, listed[np.clip(other, 0, n_words)], o))
-            one = other >= 0
-            bins, m = estimates(p[one], context[one], token[one], p[one])
-            slot, inverse = np.unique(bins, return_inverse=True)
-            # the number of new unlisted words goes under slot -1
-            slot, m = np.append(slot, -1), np.append(np.bincount(inverse, m, minlength=len(slot)), float(first.sum()))
-            yield rows(slot, *[np.zeros(len(slot), np.int64)] * 2, m, *[np.zeros(len(slot), np.int64)] * 3)
-            # two unlisted words: both rows of the bigram, each with the count of one word, meet under slot -2
-            k, r, x, p, o = (a[~one] for a in (key, role, other, p, o))
-            yield rows(np.full(len(k), -2), np.where(r == 1, k, x), np.where(r == 1, x, k), np.zeros(len(k)), p, np.where(r == 1, o, 0), np.where(r == 1, 0, o))
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot, m, p, cv, cw = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            two = slot == -2
-            bins, n = estimates(p[two], cv[two], cw[two], p[two].astype(float))
-            slot, inverse = np.unique(np.concatenate([slot[~two], bins]), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bincount(inverse, np.concatenate([m[~two], n]), minlength=len(slot)))], ["slot", "m"])
-
-    met = grams.select("key", "role", "other", "pair", F.coalesce(own, F.lit(0)).alias("own"), new.alias("new"))
-    met = met.mapInArrow(binned, "slot long, v long, w long, m double, pair long, cv long, cw long").groupBy("slot", "v", "w").agg(
-        F.sum("m").alias("m"), *[F.max(c).alias(c) for c in ("pair", "cv", "cw")])
-    hist = met.select("slot", "m", "pair", "cv", "cw").mapInArrow(paired, "slot long, m double").groupBy("slot").agg(F.sum("m").alias("m")).toArrow()
-    slot, m = hist.column("slot").to_numpy(), hist.column("m").to_numpy()
-    distinct = int((word[END:] > 0).sum()) + int(m[slot == -1].sum())
-    slot, m = slot[slot >= 0], m[slot >= 0]
-    v, w = lists.pairs >> BITS, lists.pairs & ((1 << BITS) - 1)
-    some = pair > 0
-    bins, times = estimates(pair[some], word[v[some]], word[w[some]], pair[some].astype(float))
-    # one order of the bins, so that the weights do not depend on that of the rows
-    slot, inverse = np.unique(np.concatenate([slot, bins]), return_inverse=True)
-    m = np.bincount(inverse, np.concatenate([m, times]), minlength=len(slot))
-    x1 = -(slot % 1024)
-    x2 = -((slot // 1024) % 1024)
-    p2, p1 = (np.where(x <= -1000, 0.0, 2.0 ** (x / STEP)) for x in (x2, x1))
-    weights = expectation_maximisation(slot // (1024 * 1024), p2, p1, m, 1 / (distinct + 1))
-    return Model(lists, word, pair, tokens, distinct, weights)
+    rest = int(total[key < 0].sum())
+    return Model(lists, n[:n_words], n[n_words:], int(n[END:n_words].sum()) + rest, rest)
 
 
-def score(df: DataFrame, model: Model, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score): one row for each id.
+def _meet(df: DataFrame, model: Model, train_col: str, id_col: str, text_col: str) -> list[DataFrame]:
+    """Stored events of all texts, each with the training counts of its n-gram (see ``STORED``).
 
-    A null text is empty: its only token is its end.  Rows that share an id (null too) are parts of one document, each
-    with its own end: their tokens and scores are added.
+    Rows of kind MET hold n-grams: a, b, c their counts c(v,w), c(v) and c(w), ``size`` how many of the entries of ``n``
+    and ``id`` are theirs.  Rows of kind SUMS hold texts: a tokens, b known ones, c minus the base's logarithms.
     """
-    small_batches(df.sparkSession)
     spark = df.sparkSession
+    small_batches(spark)
     kind = dict(df.dtypes)[id_col]
     held = spark.sparkContext.broadcast(model)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"))
+    n_buckets = max(1, model.tokens // BUCKET_EVENTS)
+    n_halves = max(1, model.rest // BUCKET_EVENTS)
+    tokens = model.tokens
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        codes, seed = m.lists.codes(), 0
-        head_type = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
+        codes = m.lists.codes()
+        parts: list[tuple[np.ndarray, ...]] = []
+        ids: list[pa.Array] = []
+        size = n_rows = 0
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            key, other, meta, row, n_tokens, known, base = (np.concatenate(x) for x in zip(*parts))
+            whole = pa.concat_arrays(ids)
+            # listed bigrams need not meet: they are dealt by their text
+            to = dealt(np.where((meta >> 1) & 3 == LISTED, row * 7_919 + size, key), n_buckets)
+            order = np.argsort(to.astype(np.uint16) if n_buckets < 1 << 16 else to, kind="stable")
+            cuts = cuts_of(to[order])
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), whole.take(pa.array(row[order])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to[order][cuts[:-1]]), pa.array(np.full(len(cuts) - 1, MET, np.int32)), cells(key[order], cuts), cells(other[order], cuts), cells(meta[order], cuts), lists], names)
+            ends = np.array([0, n_rows])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), whole)
+            some = pa.array(dealt(np.array([size + n_rows]), n_buckets))
+            yield pa.RecordBatch.from_arrays([some, pa.array([SUMS], pa.int32()), cells(n_tokens, ends), cells(known, ends), cells(base, ends), lists], names)
+
+        names = ["bucket", "kind", "key", "other", "meta", "id"]
         for b in bounded(batches, "text"):
             v, w, row = events(b.column(1).to_pylist(), codes)
-            at = m.lists.place(v, w)
             n = b.num_rows
-            listed, both, size = w >= 0, at >= 0, np.bincount(row, minlength=n)
+            listed = w >= 0
             c = m.count[w[listed]]
-            lp = np.bincount(row[both], m.log10(m.pair[at[both]], m.count[v[both]], m.count[w[both]]), minlength=n)
             base = np.bincount(row[listed], np.log10(c + 0.1), minlength=n)
             known = np.bincount(row[listed], c > 0, minlength=n).astype(np.int64)
-            key, role, other, at = shuffled(v[~both], w[~both])
-            row = row[~both][at]
-            first, times = merged(key, role, other, row)
-            order = np.argsort(row[first], kind="stable")  # rows of one text side by side compress well
-            first, times = first[order], times[order]
+            key, role, other, at = shuffled(v, w, m.lists.place(v, w))
+            row_of = row[at]
+            first, times = merged(key, role, other, row_of)
             train = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            meta = times * 8 + role[first] * 2 + train[row[first]]
-            # one row for each text with what the lists give, spread over all partitions
-            seed += 1
-            spread = mixed(np.arange(n, dtype=np.uint64) + np.uint64(seed * 1_000_003)).view(np.int64)
-            heads = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((size, known, base.astype(float), lp.astype(float)), head_type)], fields=list(head_type))
-            none = pa.nulls(len(first), head_type)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[first]), pa.array(other[first]), b.column(0).take(pa.array(row[first])), pa.array(meta.astype(np.int32)), none], ["key", "other", "id", "meta", "head"])
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(n, pa.int64()).fill_null(0), b.column(0), pa.array(np.full(n, 4, np.int32)), heads], ["key", "other", "id", "meta", "head"])
-
-    sent = rows.mapInArrow(run, f"key long, other long, id {kind}, meta int, head struct<n_tokens:long,n_known:long,base:double,lp:double>")
-    role = F.shiftright(F.col("meta"), 1).bitwiseAND(3).alias("role")
-    times = F.shiftright(F.col("meta"), 3)
-    events_ = sent.select("key", role, "other", "id", times.alias("n"), (times * F.col("meta").bitwiseAND(1)).alias("trained"), "head")
-    # one exchange; the sort by one number is fast, and leaves little to the one that the window needs
-    events_ = events_.repartition("key").sortWithinPartitions("key")
-    by = Window.partitionBy("key").orderBy("role", "other")
-    own = F.sum(F.when(F.col("role") == 0, F.col("trained")).otherwise(F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    pair = F.sum("trained").over(by.rangeBetween(Window.currentRow, Window.currentRow))
-    met = events_.select("*", own.alias("own"), pair.alias("pair"), F.row_number().over(by).alias("first"))
-    key, other = F.col("key"), F.col("other")
-    listed = F.col("role") != 2
-    met = met.withColumn("_v", F.when((key >= 0) & listed, F.shiftright(key, BITS)).when((F.col("role") == 0) & (other >= 0), other))
-    met = met.withColumn("_w", F.when((key >= 0) & listed, key.bitwiseAND((1 << BITS) - 1)).when((F.col("role") == 1) & (other >= 0), other))
-    counts = spark.createDataFrame(pa.table({"k": np.arange(len(model.count)), "c": model.count}))
-    # at most 2^17 rows
-    met = met.join(F.broadcast(counts.select(F.col("k").alias("_v"), F.col("c").alias("_cv"))), "_v", "left")
-    met = met.join(F.broadcast(counts.select(F.col("k").alias("_w"), F.col("c").alias("_cw"))), "_w", "left")
-    unlisted = F.col("key") < 0
-    met = met.withColumn("cv", F.coalesce("_cv", F.when(unlisted & (F.col("role") == 1), F.col("own"))))
-    met = met.withColumn("cw", F.coalesce("_cw", F.when(unlisted & (F.col("role") == 0), F.col("own"))))
-    # two unlisted words: both rows of the bigram meet again under the document
-    twin = F.when((other < 0) & listed, F.when(F.col("role") == 0, F.xxhash64("key", "other")).otherwise(F.xxhash64("other", "key")))
-    word = unlisted & (F.col("role") == 0)
-    n = F.col("n")
-
-    def log_p(pair: Column, cv: Column, cw: Column) -> Column:
-        at = F.when(cv > 0, F.least(F.lit(BUCKETS - 1), F.lit(1) + F.floor(F.log2(cv)))).otherwise(F.lit(0)).cast("int") + 1
-        a, u, z = (F.element_at(F.array(*[F.lit(float(x)) for x in model.weights[:, j]]), at) for j in range(3))
-        return F.log10(a * pair / F.greatest(cv, F.lit(1)) + u * cw / max(model.tokens, 1) + z / (model.distinct + 1))
-
-    def fixed(x: Column) -> Column:
-        """Fixed-point number: sums of these do not depend on their order."""
-        return F.round(x * SCALE).cast("long")
-
-    lp = F.when(listed & twin.isNull(), n * log_p(F.col("pair"), F.col("cv"), F.col("cw"))).otherwise(F.coalesce("head.lp", F.lit(0.0)))
-    each = met.select(
-        "id", twin.alias("twin"), F.coalesce("head.n_tokens", F.lit(0)).alias("n_tokens"),
-        F.when(word, F.when(F.col("own") > 0, n).otherwise(F.lit(0))).otherwise(F.coalesce("head.n_known", F.lit(0))).alias("n_known"),
-        F.when(word, fixed(n * F.log10(F.col("own") + 0.1))).otherwise(fixed(F.coalesce("head.base", F.lit(0.0)))).alias("base"),
-        fixed(lp).alias("lp"), (word & (F.col("first") == 1) & (F.col("own") > 0)).cast("int").alias("new"), F.when(twin.isNotNull() & word, n).otherwise(F.lit(0)).alias("n"), *[F.when(twin.isNotNull(), F.col(c)).alias(c) for c in ("pair", "cv", "cw")],
-    )
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp", "n", "new")]
-    paired = each.groupBy("id", "twin").agg(*sums, *[F.max(c).alias(c) for c in ("pair", "cv", "cw")])
-    paired = paired.withColumn("lp", F.when(F.col("twin").isNotNull(), fixed(n * log_p(F.col("pair"), F.col("cv"), F.col("cw")))).otherwise(F.col("lp")))
-    out = materialize(paired.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp", "new")]))
-    # every unlisted training word is counted once, at its first event
-    distinct = int((model.count[END:] > 0).sum()) + (out.agg(F.sum("new")).first()[0] or 0)
+            meta = times * 8 + role[first] * 2 + train[row_of[first]]
+            parts.append((key[first], other[first], meta, row_of[first] + n_rows, np.bincount(row, minlength=n), known, fixed(base)))
+            ids.append(b.column(0))
+            size, n_rows = size + len(first), n_rows + n
+            if size >= GATHERED:
+                yield from gathered()
+                parts, ids, size, n_rows = [], [], 0, 0
+        if parts:
+            yield from gathered()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen = held.value, Histogram()
+        mask = (1 << BITS) - 1
+        id_type = None
+        for t in by_bucket(batches):
+            id_type = t.schema.field("id").type.value_type
+            of = t.column("kind").to_numpy()
+            for i in np.flatnonzero(of == SUMS).tolist():
+                r = t.slice(i, 1)
+                n_tokens, known, base = (joined(r.column(c), "<i8") for c in ("key", "other", "meta"))
+                # the base as a sum of logarithms may be below nought; packed numbers may not
+                yield stored(id_type, SUMS, ids=lists_joined(r.column("id")), a=n_tokens, b=known, c=np.maximum(base, 0), d=np.maximum(-base, 0))
+            t = t.filter(pa.array(of == MET))
+            if not t.num_rows:
+                continue
+            key, other, meta = (joined(t.column(c), "<i8") for c in ("key", "other", "meta"))
+            ids = lists_joined(t.column("id"))
+            role = (meta >> 1) & 3
+            order = np.lexsort((other, role, key))
+            key, other, role, times = key[order], other[order], role[order], meta[order] >> 3
+            trained = times * (meta[order] & 1)
+            ids = ids.take(pa.array(order))
+            turn = np.concatenate([[True], (np.diff(key) != 0)])
+            new = turn | np.concatenate([[True], (np.diff(role) != 0) | (np.diff(other) != 0)])
+            first, word = np.flatnonzero(new), np.cumsum(turn) - 1
+            gram = np.cumsum(new) - 1
+            own = np.bincount(word, trained * (role == 0)).astype(np.int64)
+            k, r, o, mine = key[first], role[first], other[first], own[word[first]]
+            pair = np.bincount(gram, trained).astype(np.int64)
+            ready = r == LISTED
+            pair[ready] = m.pair[o[ready]]
+            lent = np.where(o >= 0, m.count[np.where((o >= 0) & (k < 0), o, 0)], -1)
+            cv = np.where(k >= 0, m.count[np.maximum(k, 0) >> BITS], np.where(r == 1, mine, lent))
+            cw = np.where(k >= 0, m.count[np.maximum(k, 0) & mask], np.where(r == 0, mine, lent))
+            size = np.diff(np.append(first, len(key)))
+            half = (k < 0) & (o < 0)
+
+            def part(which: np.ndarray) -> dict:
+                """Entries of the n-grams ``which``, in that order."""
+                n = size[which]
+                at = np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                return {"size": n, "n": times[at], "ids": ids.take(pa.array(at))}
+
+            one = np.flatnonzero(~half)
+            yield stored(id_type, MET, a=pair[one], b=cv[one], c=cw[one], **part(one))
+            told = ~half & ~ready & (pair > 0)
+            seen.add(bins(pair[told], cv[told], cw[told], tokens), pair[told])
+            seen.add(np.array([-1]), np.array([int(((key[turn] < 0) & (own > 0)).sum())]))
+            rare = (key < 0) & (role == 0)
+            if rare.any():
+                c = own[word[rare]]
+                logs = fixed(times[rare] * np.log10(c + 0.1))
+                found, (known, up, down) = summed_by(ids.filter(pa.array(rare)), times[rare] * (c > 0), np.maximum(logs, 0), np.maximum(-logs, 0))
+                yield stored(id_type, SUMS, ids=found, a=np.zeros(len(found), np.int64), b=known, c=up, d=down)
+            for sort, side in ((WORD_HALF, 0), (CONTEXT_HALF, 1)):
+                which = np.flatnonzero(half & (r == side))
+                v, w = (o[which], k[which]) if side == 0 else (k[which], o[which])
+                to = dealt(v * 31 + w, n_halves)
+                order = np.argsort(to, kind="stable")
+                cuts = cuts_of(to[order])
+                for lo, hi in zip(cuts, cuts[1:]):
+                    at = order[lo:hi]
+                    more = part(which[at]) if side == 0 else {}
+                    # codes of unlisted words are below nought
+                    yield stored(id_type, sort, int(to[at[0]]), a=-1 - v[at], b=-1 - w[at], c=mine[which[at]], d=pair[which[at]], **more)
+        if id_type is not None:
+            yield stored(id_type, HISTOGRAM, slot=seen.slot, m=seen.m)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The halves of a bigram of two unlisted words: each side has every such bigram of the bucket once."""
+        seen, id_type = Histogram(), None
+        for t in by_bucket(batches):
+            id_type = t.schema.field("id").type.value_type
+            of = t.column("kind").to_numpy()
+            right, left = (t.filter(pa.array(of == k)) for k in (WORD_HALF, CONTEXT_HALF))
+            col = lambda x, c: np.concatenate([unpack(b) for b in x.column(c).to_pylist()])
+            at, to = (np.lexsort((col(x, "a"), col(x, "b"))) for x in (left, right))
+            cv = np.empty(len(to), np.int64)
+            cv[to] = col(left, "c")[at]
+            cw, pair = col(right, "c"), col(right, "d")
+            yield stored(id_type, MET, ids=lists_joined(right.column("id")), a=pair, b=cv, c=cw, size=col(right, "size"), n=col(right, "n"))
+            told = pair > 0
+            seen.add(bins(pair[told], cv[told], cw[told], tokens), pair[told])
+        if id_type is not None:
+            yield stored(id_type, HISTOGRAM, slot=seen.slot, m=seen.m)
+
+    shape = f"kind int, bucket long, a binary, b binary, c binary, d binary, size binary, n binary, id array<{kind}>, slot array<long>, m array<long>"
+    with shuffles_dropped(spark):
+        sent = rows.mapInArrow(tidy(send), f"bucket long, kind int, key binary, other binary, meta binary, id array<{kind}>")
+        one = materialize(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(met), shape))
+        halves = one.where(F.col("kind").isin(WORD_HALF, CONTEXT_HALF)).select("bucket", "kind", "a", "b", "c", "d", "size", "n", "id")
+        two = materialize(halves.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(whole), shape))
+    return [one, two]
+
+
+def _histogram(met: list[DataFrame]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Slots and numbers of all events outside the list of bigrams, and the number of unlisted training words."""
+    both = met[0].unionByName(met[1]).where(F.col("kind") == HISTOGRAM)
+    each = both.select(F.explode(F.arrays_zip("slot", "m")).alias("x")).groupBy("x.slot").agg(F.sum("x.m").alias("m")).toArrow()
+    slot, m = each.column("slot").to_numpy(), each.column("m").to_numpy()
+    return slot[slot >= 0], m[slot >= 0], int(m[slot == -1].sum())
+
+
+def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", head_docs: int = HEAD_DOCS) -> Fitted:
+    """Model of the rows where ``train_col`` is true; the events of all rows are stored on the way, for ``score``."""
+    small_batches(df.sparkSession)
+    train = df.where(F.col(train_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lists = _lists(train, train.count(), head_docs)
+    model = _counts(train, lists)
+    met = _meet(df, model, train_col, id_col, text_col)
+    slot, m, unlisted = _histogram(met)
+    word, pair = model.count, model.pair
+    model.distinct = int((word[END:] > 0).sum()) + unlisted
+    v, w = lists.pairs >> BITS, lists.pairs & ((1 << BITS) - 1)
+    some = pair > 0
+    # one order of the bins, so that the weights do not depend on that of the rows
+    slot, at = np.unique(np.concatenate([slot, bins(pair[some], word[v[some]], word[w[some]], model.tokens)]), return_inverse=True)
+    m = np.bincount(at, np.concatenate([m, pair[some]]), minlength=len(slot)).astype(float)
+    x1, x2 = -(slot % 1024), -((slot // 1024) % 1024)
+    p2, p1 = (np.where(x <= -1000, 0.0, 2.0 ** (x / STEP)) for x in (x2, x1))
+    model.weights = expectation_maximisation(slot // (1024 * 1024), p2, p1, m, 1 / (model.distinct + 1))
+    return Fitted(model, (df, train_col, id_col, text_col), met)
+
+
+def score(df: DataFrame, fitted: Fitted, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score): one row for each id.
+
+    A null text is empty: its only token is its end.  Rows that share an id (null too) are parts of one document, each
+    with its own end: their tokens and scores are added.  The frame that the model was fitted on has its events stored;
+    those of any other meet first, and counts of unlisted n-grams are those of its own training rows.
+    """
+    model, met, distinct = fitted.model, fitted.met, fitted.distinct
+    source = (df, train_col, id_col, text_col)
+    if any(a is not b and (i == 0 or a != b) for i, (a, b) in enumerate(zip(source, fitted.source))):
+        met = _meet(df, model, train_col, id_col, text_col)
+        distinct = int((model.count[END:] > 0).sum()) + _histogram(met)[2]
+    kind = dict(df.dtypes)[id_col]
+    small = Model(Lists([], np.empty(0, np.int64)), np.empty(0), np.empty(0), model.tokens, 0)
+    small.distinct, small.weights = model.distinct, model.weights
+    names = ["id", "n_tokens", "n_known", "base", "lp"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        logs: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            found, (lp,) = summed_by(pa.concat_arrays(ids), np.concatenate(logs))
+            nought = np.zeros(len(found), np.int64)
+            return pa.RecordBatch.from_arrays([found, *[pa.array(x) for x in (nought, nought, nought, lp)]], names)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                of, cells_, own = b.column(0)[i].as_py(), [b.column(j)[i].as_py() for j in range(1, 7)], b.column(7).slice(i, 1).flatten()
+                x, y, z, d, size, n = (None if c is None else unpack(c) for c in cells_)
+                if of == SUMS:
+                    yield pa.RecordBatch.from_arrays([own, *[pa.array(c) for c in (x, y, z - d, np.zeros(len(own), np.int64))]], names)
+                    continue
+                ids.append(own)
+                logs.append(fixed(n * np.repeat(small.log10(x, y, z), size)))
+                if sum(map(len, logs)) >= 2 * GATHERED:
+                    yield summed()
+                    ids, logs = [], []
+        if ids:
+            yield summed()
+
+    both = met[0].unionByName(met[1]).where(F.col("kind").isin(MET, SUMS)).select("kind", "a", "b", "c", "d", "size", "n", "id")
+    each = both.mapInArrow(tidy(add), f"id {kind}, n_tokens long, n_known long, base long, lp long")
+    out = each.groupBy("id").agg(*[F.sum(c).alias(c) for c in names[1:]])
     bottom = float(np.log10(model.tokens + 0.1 * (distinct + 1)))
     base = F.col("base") / SCALE - F.col("n_tokens") * bottom
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", base.alias("base_score"), (F.col("lp") / SCALE).alias("score"))
