@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialize
 from .common import bounded, mixed, shuffles_dropped, small_batches, tidy, words_of
@@ -41,7 +42,7 @@ STEP = 8  # bins for each doubling of a held-out estimate
 LISTED = 3  # role of a bigram in the list
 #: Events of a bucket, about, and events gathered before they are dealt to buckets.
 BUCKET_EVENTS = 1 << 18
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Kinds of stored rows: n-grams with their counts and texts, sums of texts, the two halves of a bigram of unlisted
 #: words (word known, context known), histogram.
 MET, SUMS, WORD_HALF, CONTEXT_HALF, HISTOGRAM = range(5)
@@ -122,19 +123,30 @@ def merged(key: np.ndarray, role: np.ndarray, other: np.ndarray, row: np.ndarray
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers of nought or more in the fewest bytes each that hold the largest; the first byte is that width."""
-    width = next(b for b in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * b - 1))
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Whole numbers, compressed by planes of equal bytes: small or like numbers take little."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(b[:4], "little")
+    planes = np.frombuffer(pa.decompress(b[4:], 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
-def cells(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Binary cells with the bytes of x between the cuts."""
-    offsets = (cuts * x.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
+def pack_ids(ids: pa.Array) -> bytes:
+    """Ids of any type: whole numbers by planes, others as an Arrow batch."""
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        return b"n" + pack(ids.to_numpy())
+    raw = pa.record_batch([ids], ["id"]).serialize()
+    return b"b" + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_ids(b: bytes, kind: pa.DataType) -> pa.Array:
+    if b[:1] == b"n":
+        return pa.array(unpack(b[1:])).cast(kind)
+    raw = pa.decompress(b[9:], int.from_bytes(b[1:9], "little"), "zstd")
+    return pa.ipc.read_record_batch(raw, pa.schema([("id", kind)])).column(0)
 
 
 def cuts_of(x: np.ndarray) -> np.ndarray:
@@ -161,15 +173,14 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(open_)
 
 
-def joined(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
-    """All bytes of binary cells as one array."""
-    return np.concatenate([np.frombuffer(x, dtype) for x in column.to_pylist()] or [np.empty(0, dtype)])
+def joined(column: pa.ChunkedArray) -> np.ndarray:
+    """All numbers of packed cells as one array."""
+    return np.concatenate([unpack(x) for x in column.to_pylist()] or [np.empty(0, np.int64)])
 
 
-def lists_joined(column: pa.ChunkedArray) -> pa.Array:
-    """All values of list cells as one array."""
-    parts = [c.flatten() for c in column.chunks]
-    return pa.concat_arrays(parts) if parts else pa.array([], column.type.value_type)
+def ids_joined(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
+    """All ids of packed cells as one array."""
+    return pa.concat_arrays([unpack_ids(x, kind) for x in column.to_pylist()] or [pa.array([], kind)])
 
 
 def summed_by(ids: pa.Array, *values: np.ndarray) -> tuple[pa.Array, list[np.ndarray]]:
@@ -179,10 +190,10 @@ def summed_by(ids: pa.Array, *values: np.ndarray) -> tuple[pa.Array, list[np.nda
     return coded.dictionary, [np.bincount(at, v, minlength=n).astype(np.int64) for v in values]
 
 
-def stored(id_type: pa.DataType, kind: int, bucket: int = 0, ids: pa.Array | None = None, slot: np.ndarray | None = None, m: np.ndarray | None = None, **packed: np.ndarray) -> pa.RecordBatch:
+def stored(kind: int, bucket: int = 0, ids: pa.Array | None = None, slot: np.ndarray | None = None, m: np.ndarray | None = None, **packed: np.ndarray) -> pa.RecordBatch:
     """One row of the table of what met."""
     lists = [None if x is None else x.tolist() for x in (slot, m)]
-    held = pa.nulls(1, pa.list_(id_type)) if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    held = pa.array([None if ids is None else pack_ids(ids)], pa.binary())
     cols = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int64())]
     cols += [pa.array([pack(packed[c]) if c in packed else None], pa.binary()) for c in ("a", "b", "c", "d", "size", "n")]
     return pa.RecordBatch.from_arrays([*cols, held, *[pa.array([x], pa.list_(pa.int64())) for x in lists]], STORED)
@@ -325,12 +336,12 @@ def _meet(df: DataFrame, model: Model, train_col: str, id_col: str, text_col: st
     """
     spark = df.sparkSession
     small_batches(spark)
-    kind = dict(df.dtypes)[id_col]
     held = spark.sparkContext.broadcast(model)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"))
     n_buckets = max(1, model.tokens // BUCKET_EVENTS)
     n_halves = max(1, model.rest // BUCKET_EVENTS)
     tokens = model.tokens
+    id_type = to_arrow_type(df.schema[id_col].dataType)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -346,13 +357,14 @@ def _meet(df: DataFrame, model: Model, train_col: str, id_col: str, text_col: st
             to = dealt(np.where((meta >> 1) & 3 == LISTED, row * 7_919 + size, key), n_buckets)
             order = np.argsort(to.astype(np.uint16) if n_buckets < 1 << 16 else to, kind="stable")
             cuts = cuts_of(to[order])
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), whole.take(pa.array(row[order])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to[order][cuts[:-1]]), pa.array(np.full(len(cuts) - 1, MET, np.int32)), cells(key[order], cuts), cells(other[order], cuts), cells(meta[order], cuts), lists], names)
-            ends = np.array([0, n_rows])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), whole)
+            key, other, meta, of = key[order], other[order], meta[order], whole.take(pa.array(row[order]))
+            spans = list(zip(cuts, cuts[1:]))
+            packed = [pa.array([pack(x[lo:hi]) for lo, hi in spans], pa.binary()) for x in (key, other, meta)]
+            packed.append(pa.array([pack_ids(of.slice(lo, hi - lo)) for lo, hi in spans], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts[:-1]]), pa.array(np.full(len(spans), MET, np.int32)), *packed], names)
             some = pa.array(dealt(np.array([size + n_rows]), n_buckets))
-            yield pa.RecordBatch.from_arrays([some, pa.array([SUMS], pa.int32()), cells(n_tokens, ends), cells(known, ends), cells(base, ends), lists], names)
+            packed = [pa.array([x], pa.binary()) for x in (pack(n_tokens), pack(known), pack(base), pack_ids(whole))]
+            yield pa.RecordBatch.from_arrays([some, pa.array([SUMS], pa.int32()), *packed], names)
 
         names = ["bucket", "kind", "key", "other", "meta", "id"]
         for b in bounded(batches, "text"):
@@ -379,20 +391,17 @@ def _meet(df: DataFrame, model: Model, train_col: str, id_col: str, text_col: st
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = held.value, Histogram()
         mask = (1 << BITS) - 1
-        id_type = None
         for t in by_bucket(batches):
-            id_type = t.schema.field("id").type.value_type
             of = t.column("kind").to_numpy()
             for i in np.flatnonzero(of == SUMS).tolist():
                 r = t.slice(i, 1)
-                n_tokens, known, base = (joined(r.column(c), "<i8") for c in ("key", "other", "meta"))
-                # the base as a sum of logarithms may be below nought; packed numbers may not
-                yield stored(id_type, SUMS, ids=lists_joined(r.column("id")), a=n_tokens, b=known, c=np.maximum(base, 0), d=np.maximum(-base, 0))
+                n_tokens, known, base = (joined(r.column(c)) for c in ("key", "other", "meta"))
+                yield stored(SUMS, ids=ids_joined(r.column("id"), id_type), a=n_tokens, b=known, c=base)
             t = t.filter(pa.array(of == MET))
             if not t.num_rows:
                 continue
-            key, other, meta = (joined(t.column(c), "<i8") for c in ("key", "other", "meta"))
-            ids = lists_joined(t.column("id"))
+            key, other, meta = (joined(t.column(c)) for c in ("key", "other", "meta"))
+            ids = ids_joined(t.column("id"), id_type)
             role = (meta >> 1) & 3
             order = np.lexsort((other, role, key))
             key, other, role, times = key[order], other[order], role[order], meta[order] >> 3
@@ -420,7 +429,7 @@ def _meet(df: DataFrame, model: Model, train_col: str, id_col: str, text_col: st
                 return {"size": n, "n": times[at], "ids": ids.take(pa.array(at))}
 
             one = np.flatnonzero(~half)
-            yield stored(id_type, MET, a=pair[one], b=cv[one], c=cw[one], **part(one))
+            yield stored(MET, a=pair[one], b=cv[one], c=cw[one], **part(one))
             told = ~half & ~ready & (pair > 0)
             seen.add(bins(pair[told], cv[told], cw[told], tokens), pair[told])
             seen.add(np.array([-1]), np.array([int(((key[turn] < 0) & (own > 0)).sum())]))
@@ -428,8 +437,8 @@ def _meet(df: DataFrame, model: Model, train_col: str, id_col: str, text_col: st
             if rare.any():
                 c = own[word[rare]]
                 logs = fixed(times[rare] * np.log10(c + 0.1))
-                found, (known, up, down) = summed_by(ids.filter(pa.array(rare)), times[rare] * (c > 0), np.maximum(logs, 0), np.maximum(-logs, 0))
-                yield stored(id_type, SUMS, ids=found, a=np.zeros(len(found), np.int64), b=known, c=up, d=down)
+                found, (known, base) = summed_by(ids.filter(pa.array(rare)), times[rare] * (c > 0), logs)
+                yield stored(SUMS, ids=found, a=np.zeros(len(found), np.int64), b=known, c=base)
             for sort, side in ((WORD_HALF, 0), (CONTEXT_HALF, 1)):
                 which = np.flatnonzero(half & (r == side))
                 v, w = (o[which], k[which]) if side == 0 else (k[which], o[which])
@@ -439,32 +448,29 @@ def _meet(df: DataFrame, model: Model, train_col: str, id_col: str, text_col: st
                 for lo, hi in zip(cuts, cuts[1:]):
                     at = order[lo:hi]
                     more = part(which[at]) if side == 0 else {}
-                    # codes of unlisted words are below nought
-                    yield stored(id_type, sort, int(to[at[0]]), a=-1 - v[at], b=-1 - w[at], c=mine[which[at]], d=pair[which[at]], **more)
-        if id_type is not None:
-            yield stored(id_type, HISTOGRAM, slot=seen.slot, m=seen.m)
+                    yield stored(sort, int(to[at[0]]), a=v[at], b=w[at], c=mine[which[at]], d=pair[which[at]], **more)
+        if len(seen.slot):
+            yield stored(HISTOGRAM, slot=seen.slot, m=seen.m)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The halves of a bigram of two unlisted words: each side has every such bigram of the bucket once."""
-        seen, id_type = Histogram(), None
+        seen = Histogram()
         for t in by_bucket(batches):
-            id_type = t.schema.field("id").type.value_type
             of = t.column("kind").to_numpy()
             right, left = (t.filter(pa.array(of == k)) for k in (WORD_HALF, CONTEXT_HALF))
-            col = lambda x, c: np.concatenate([unpack(b) for b in x.column(c).to_pylist()])
-            at, to = (np.lexsort((col(x, "a"), col(x, "b"))) for x in (left, right))
+            at, to = (np.lexsort((joined(x.column("a")), joined(x.column("b")))) for x in (left, right))
             cv = np.empty(len(to), np.int64)
-            cv[to] = col(left, "c")[at]
-            cw, pair = col(right, "c"), col(right, "d")
-            yield stored(id_type, MET, ids=lists_joined(right.column("id")), a=pair, b=cv, c=cw, size=col(right, "size"), n=col(right, "n"))
+            cv[to] = joined(left.column("c"))[at]
+            cw, pair, size, n = (joined(right.column(c)) for c in ("c", "d", "size", "n"))
+            yield stored(MET, ids=ids_joined(right.column("id"), id_type), a=pair, b=cv, c=cw, size=size, n=n)
             told = pair > 0
             seen.add(bins(pair[told], cv[told], cw[told], tokens), pair[told])
-        if id_type is not None:
-            yield stored(id_type, HISTOGRAM, slot=seen.slot, m=seen.m)
+        if len(seen.slot):
+            yield stored(HISTOGRAM, slot=seen.slot, m=seen.m)
 
-    shape = f"kind int, bucket long, a binary, b binary, c binary, d binary, size binary, n binary, id array<{kind}>, slot array<long>, m array<long>"
+    shape = f"kind int, bucket long, a binary, b binary, c binary, d binary, size binary, n binary, id binary, slot array<long>, m array<long>"
     with shuffles_dropped(spark):
-        sent = rows.mapInArrow(tidy(send), f"bucket long, kind int, key binary, other binary, meta binary, id array<{kind}>")
+        sent = rows.mapInArrow(tidy(send), f"bucket long, kind int, key binary, other binary, meta binary, id binary")
         one = materialize(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(met), shape))
         halves = one.where(F.col("kind").isin(WORD_HALF, CONTEXT_HALF)).select("bucket", "kind", "a", "b", "c", "d", "size", "n", "id")
         two = materialize(halves.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(whole), shape))
@@ -512,7 +518,7 @@ def score(df: DataFrame, fitted: Fitted, train_col: str, id_col: str = "doc_id",
     if any(a is not b and (i == 0 or a != b) for i, (a, b) in enumerate(zip(source, fitted.source))):
         met = _meet(df, model, train_col, id_col, text_col)
         distinct = int((model.count[END:] > 0).sum()) + _histogram(met)[2]
-    kind = dict(df.dtypes)[id_col]
+    kind, id_type = dict(df.dtypes)[id_col], to_arrow_type(df.schema[id_col].dataType)
     small = Model(Lists([], np.empty(0, np.int64)), np.empty(0), np.empty(0), model.tokens, 0)
     small.distinct, small.weights = model.distinct, model.weights
     names = ["id", "n_tokens", "n_known", "base", "lp"]
@@ -528,10 +534,10 @@ def score(df: DataFrame, fitted: Fitted, train_col: str, id_col: str = "doc_id",
 
         for b in batches:
             for i in range(b.num_rows):
-                of, cells_, own = b.column(0)[i].as_py(), [b.column(j)[i].as_py() for j in range(1, 7)], b.column(7).slice(i, 1).flatten()
-                x, y, z, d, size, n = (None if c is None else unpack(c) for c in cells_)
+                of, own = b.column(0)[i].as_py(), unpack_ids(b.column(6)[i].as_py(), id_type)
+                x, y, z, size, n = (None if c is None else unpack(c) for c in (b.column(j)[i].as_py() for j in range(1, 6)))
                 if of == SUMS:
-                    yield pa.RecordBatch.from_arrays([own, *[pa.array(c) for c in (x, y, z - d, np.zeros(len(own), np.int64))]], names)
+                    yield pa.RecordBatch.from_arrays([own, *[pa.array(c) for c in (x, y, z, np.zeros(len(own), np.int64))]], names)
                     continue
                 ids.append(own)
                 logs.append(fixed(n * np.repeat(small.log10(x, y, z), size)))
@@ -541,7 +547,7 @@ def score(df: DataFrame, fitted: Fitted, train_col: str, id_col: str = "doc_id",
         if ids:
             yield summed()
 
-    both = met[0].unionByName(met[1]).where(F.col("kind").isin(MET, SUMS)).select("kind", "a", "b", "c", "d", "size", "n", "id")
+    both = met[0].unionByName(met[1]).where(F.col("kind").isin(MET, SUMS)).select("kind", "a", "b", "c", "size", "n", "id")
     each = both.mapInArrow(tidy(add), f"id {kind}, n_tokens long, n_known long, base long, lp long")
     out = each.groupBy("id").agg(*[F.sum(c).alias(c) for c in names[1:]])
     bottom = float(np.log10(model.tokens + 0.1 * (distinct + 1)))
