@@ -45,14 +45,25 @@ def node_degree(t):
     return G.node_degree(graph(t)[1], 3)
 
 
-@query()
+_PAIRS = """, pairs AS (SELECT s_suppkey AS pair_id, CAST(s_suppkey*37 % 1000 AS DOUBLE) AS sx, CAST(s_suppkey*91 % 1000 AS DOUBLE) AS sz,
+  CAST((s_suppkey*53 + 500) % 1000 AS DOUBLE) AS gx, CAST((s_suppkey*17 + 300) % 1000 AS DOUBLE) AS gz FROM supplier),
+ s AS (SELECT pair_id, arg_min(node, hypot2) AS s_node, sqrt(min(hypot2)) AS s_off FROM (SELECT pair_id, node, (x-sx)*(x-sx)+(z-sz)*(z-sz) AS hypot2 FROM pairs, nodes) GROUP BY pair_id),
+ g AS (SELECT pair_id, arg_min(node, hypot2) AS g_node, sqrt(min(hypot2)) AS g_off FROM (SELECT pair_id, node, (x-gx)*(x-gx)+(z-gz)*(z-gz) AS hypot2 FROM pairs, nodes) GROUP BY pair_id)"""
+
+
+@query(with_views("roads").replace("WITH ", "WITH RECURSIVE ", 1) + _GRAPH + _PAIRS + """,
+ way(start, node, d, hops) USING KEY (start, node) AS (SELECT DISTINCT s_node, s_node, CAST(0 AS DOUBLE), 1 FROM s
+  UNION SELECT n.start, n.node, n.d, n.hops FROM (SELECT way.start, edges.dst AS node, min(way.d + edges.w) AS d, arg_min(way.hops + 1, way.d + edges.w) AS hops
+   FROM way JOIN edges ON edges.src = way.node GROUP BY way.start, edges.dst) n
+   LEFT JOIN recurring.way old ON old.start = n.start AND old.node = n.node WHERE old.d IS NULL OR n.d < old.d)
+ SELECT pair_id, CAST(coalesce(hops, 0) AS INTEGER) AS hops, round(coalesce(d + s_off + g_off, sqrt((gx-sx)*(gx-sx)+(gz-sz)*(gz-sz))), 4) + 0.0 AS length, d IS NOT NULL AS snapped
+ FROM pairs JOIN s USING (pair_id) JOIN g USING (pair_id) LEFT JOIN way ON way.start = s_node AND way.node = g_node""")
 def shortest_path(t):
-    """Road routes from one place per region to the middle of the map."""
+    """Road routes between two places of each supplier."""
     nodes, edges = graph(t)
-    pairs = t.region.select(
-        F.col("r_regionkey").cast("long").alias("pair_id"), (100.0 + 800.0 * (F.col("r_regionkey") % 2)).alias("sx"), (100.0 + 400.0 * (F.col("r_regionkey") / 2)).alias("sz"),
-        F.lit(520.0).alias("gx"), F.lit(480.0).alias("gz"),
-    )
+    key = F.col("s_suppkey")
+    places = {"sx": key * 37, "sz": key * 91, "gx": key * 53 + 500, "gz": key * 17 + 300}
+    pairs = t.supplier.select(key.alias("pair_id"), *[(c % 1000).cast("double").alias(n) for n, c in places.items()])
     out = G.shortest_path(nodes, edges, pairs)
     return out.select("pair_id", F.size("path").alias("hops"), r("length", 4).alias("length"), "snapped")
 
