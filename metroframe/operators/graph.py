@@ -39,9 +39,10 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataF
 
     ``path`` lists the nodes from start to goal; ``length`` adds the way to and from
     the road.  Without a connection the path is empty, ``length`` is the straight
-    line and ``snapped`` is false.  Each round relaxes the edges of the nodes that
-    improved, dropping any that already cost as much as the goal; the path is then
-    read off by pointer jumping, in rounds that grow with the logarithm of its length.
+    line and ``snapped`` is false.  Pairs that start at one node share a search.  Each
+    round relaxes the edges of the nodes that improved, dropping any that already cost
+    as much as the last of the start's goals; the paths are then read off by pointer
+    jumping, in rounds that grow with the logarithm of their length.
     """
     starts = pairs.select("pair_id", F.col("sx").alias("x"), F.col("sz").alias("z"))
     goals = pairs.select("pair_id", F.col("gx").alias("x"), F.col("gz").alias("z"))
@@ -50,36 +51,37 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataF
     ends = materialize(pairs.join(s, "pair_id").join(g, "pair_id"))
     edges = materialize(edges)
     none = F.lit(None).cast("long")
-    reached = materialize(ends.where("s_node is not null").select(
-        "pair_id", F.col("s_node").alias("node"), F.lit(0.0).alias("d"), none.alias("prev"), F.lit(0).alias("hop"), F.lit(True).alias("new")
+    routes = materialize(ends.where("s_node is not null and g_node is not null").select("s_node", "g_node").distinct())
+    reached = materialize(routes.select("s_node").distinct().select(
+        "s_node", F.col("s_node").alias("node"), F.lit(0.0).alias("d"), none.alias("prev"), F.lit(0).alias("hop"), F.lit(True).alias("new")
     ))
-    target = ends.select("pair_id", F.col("g_node").alias("node"))
+
+    def to_goals(reached: DataFrame) -> DataFrame:
+        return routes.join(reached.select("s_node", F.col("node").alias("g_node"), F.col("d").alias("_d")), ["s_node", "g_node"], "left")
+
     while not reached.where("new").isEmpty():
-        bound = reached.join(target, ["pair_id", "node"]).select("pair_id", F.col("d").alias("best"))
-        front = reached.where("new").join(bound, "pair_id", "left").where("best is null or d < best")
-        tried = front.select("pair_id", F.col("node").alias("src"), "d", "hop").join(edges, "src").select(
-            "pair_id", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.col("src").alias("prev"), (F.col("hop") + 1).alias("hop"), F.lit(True).alias("new")
+        bound = to_goals(reached).groupBy("s_node").agg(F.when(F.count("_d") == F.count(F.lit(1)), F.max("_d")).alias("best"))
+        front = reached.where("new").join(bound, "s_node", "left").where("best is null or d < best")
+        tried = front.select("s_node", F.col("node").alias("src"), "d", "hop").join(edges, "src").select(
+            "s_node", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.col("src").alias("prev"), (F.col("hop") + 1).alias("hop"), F.lit(True).alias("new")
         )
         pool = reached.withColumn("new", F.lit(False)).unionByName(tried)
         # at equal cost the settled row stays, so the loop ends
-        best = pool.groupBy("pair_id", "node").agg(F.min_by(F.struct("d", "prev", "hop", "new"), F.struct("d", "new", "prev")).alias("b"))
-        reached = materialize(best.select("pair_id", "node", "b.*"))
-    found = ends.join(
-        reached.select("pair_id", F.col("node").alias("g_node"), F.col("d").alias("_d")), ["pair_id", "g_node"], "left"
-    )
-    # the nodes before the goal, by jumps of doubling length along ``prev``
-    there = found.where("_d is not null").select("pair_id", "g_node", "_d")
-    near = materialize(reached.join(there, "pair_id").where("d <= _d").select("pair_id", "node", "prev", "hop"))
-    on = there.select("pair_id", F.col("g_node").alias("node"))
-    jump = near.where("prev is not null").select("pair_id", "node", F.col("prev").alias("to"))
+        best = pool.groupBy("s_node", "node").agg(F.min_by(F.struct("d", "prev", "hop", "new"), F.struct("d", "new", "prev")).alias("b"))
+        reached = materialize(best.select("s_node", "node", "b.*"))
+    # the nodes before each goal, by jumps of doubling length along ``prev``
+    there = materialize(to_goals(reached).where("_d is not null"))
+    on = there.select("s_node", "g_node", F.col("g_node").alias("node"))
+    jump = reached.where("prev is not null").select("s_node", "node", F.col("prev").alias("to"))
     while not jump.isEmpty():
-        on = materialize(on.unionByName(on.join(jump, ["pair_id", "node"]).select("pair_id", F.col("to").alias("node"))))
-        further = jump.select("pair_id", F.col("node").alias("to"), F.col("to").alias("end"))
-        jump = materialize(jump.join(further, ["pair_id", "to"]).select("pair_id", "node", F.col("end").alias("to")))
-    steps = on.join(near, ["pair_id", "node"]).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("hop", "node"))).alias("steps"))
-    done = steps.select("pair_id", F.col("steps.node").alias("path"))
+        on = materialize(on.unionByName(on.join(jump, ["s_node", "node"]).select("s_node", "g_node", F.col("to").alias("node"))))
+        further = jump.select("s_node", F.col("node").alias("to"), F.col("to").alias("end"))
+        jump = materialize(jump.join(further, ["s_node", "to"]).select("s_node", "node", F.col("end").alias("to")))
+    steps = on.join(reached.select("s_node", "node", "hop"), ["s_node", "node"])
+    steps = steps.groupBy("s_node", "g_node").agg(F.array_sort(F.collect_list(F.struct("hop", "node"))).alias("steps"))
+    done = there.join(steps.select("s_node", "g_node", F.col("steps.node").alias("path")), ["s_node", "g_node"])
     straight = F.hypot(F.col("gx") - F.col("sx"), F.col("gz") - F.col("sz"))
-    out = found.join(done, "pair_id", "left")
+    out = ends.join(done, ["s_node", "g_node"], "left")
     return out.select(
         "pair_id",
         F.coalesce("path", F.array().cast("array<bigint>")).alias("path"),
