@@ -128,8 +128,16 @@ def snapshot_stream_diff(stream: DataFrame, key: str, every: float, ts: str = "t
     return _keyed_latest(stream, [key], every, ts, late, ("appear", "stay", "leave"))
 
 
+#: Rows that a tracker gathers before it hands them on.
+_OUT_ROWS = 20_000
+
+
 class _Tracker(StatefulProcessor):
-    """Cross-view merge and association per camera, frame by frame."""
+    """Cross-view merge and association per camera, frame by frame.
+
+    The rows of a camera in a micro-batch are held as plain columns, for frames come in any order; results are handed on
+    as they come.
+    """
 
     def __init__(self, merge: float, assoc: float, lost: int):
         self.merge, self.assoc, self.lost = merge, assoc, lost
@@ -142,18 +150,31 @@ class _Tracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = sorted((k[0], *v) for k, v in self.tracks.iterator())
         state = TrackState(np.array(held, TRACK), self.next.get()[0] if self.next.exists() else 1)
-        everything = pd.concat(list(rows), ignore_index=True).sort_values(["frame", "det_id"], kind="stable")
+        names = ["camera", "frame", "track_id", "x", "z", "heading", "cls", "quad", "quads"]
+        parts: dict[str, list] = {c: [] for c in ("frame", "det_id", "x", "z", "quad", "cls")}
+        for batch in rows:
+            batch = batch[batch["frame"].notna()]
+            for c, held_c in parts.items():
+                held_c.append(batch[c].to_numpy(copy=True))
+        col = {c: np.concatenate(parts.pop(c)) for c in list(parts)}
+        order = np.lexsort((col.pop("det_id"), col["frame"]))
+        frames = col.pop("frame")[order]
+        cuts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(frames) else np.zeros(0, np.int64)
         out = []
-        for frame, g in everything.groupby("frame"):
-            clusters = merge_frame(*[g[c].tolist() for c in ("x", "z", "quad", "cls")], merge=self.merge)
-            out += [(key[0], int(frame), *r) for r in state.update(int(frame), clusters, self.assoc, self.lost)]
+        for a, b in zip(cuts, np.r_[cuts[1:], len(frames)]):
+            frame = int(frames[a])
+            clusters = merge_frame(*[col[c][order[a:b]].tolist() for c in ("x", "z", "quad", "cls")], merge=self.merge)
+            out += [(key[0], frame, *r) for r in state.update(frame, clusters, self.assoc, self.lost)]
+            if len(out) >= _OUT_ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
         left = state.tracks.tolist()
         for gone in {k[0] for k in self.tracks.keys()} - {t[0] for t in left}:
             self.tracks.removeKey((gone,))
         for tid, *values in left:
             self.tracks.updateValue((tid,), tuple(values))
         self.next.update((state.next_id,))
-        yield pd.DataFrame(out, columns=["camera", "frame", "track_id", "x", "z", "heading", "cls", "quad", "quads"])
+        yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
