@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.camera import apply_homography, invert_homography, quad_of, quad_to_full
 from ..plans.onerow import beside
+from ..session import materialize
 
 
 def _normal_terms() -> tuple[list[Column], list[Column]]:
@@ -37,6 +38,7 @@ def fit_homography(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     centre = pairs.groupBy(*keys).agg(*[F.avg(c).alias(f"_c{c}") for c in "uvxz"], F.count(F.lit(1)).alias("n")).where("n >= 4")
+    centre = materialize(centre)  # of known size, so that few groups meet their pairs without a shuffle of these
     moved = pairs.join(centre, keys)
     ri = F.hypot(F.col("u") - F.col("_cu"), F.col("v") - F.col("_cv"))
     ro = F.hypot(F.col("x") - F.col("_cx"), F.col("z") - F.col("_cz"))
@@ -45,6 +47,7 @@ def fit_homography(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     stats = centre.join(spread, keys)
     for s, r in (("_si", "_ri"), ("_so", "_ro")):
         stats = stats.withColumn(s, root2 / F.when(F.col(r) == 0, 1.0).otherwise(F.col(r)))
+    stats = materialize(stats)
     n = pairs.join(stats, keys)
     for name, c, s in (("_nu", "u", "_si"), ("_nv", "v", "_si"), ("_nx", "x", "_so"), ("_nz", "z", "_so")):
         n = n.withColumn(name, (F.col(c) - F.col(f"_c{c}")) * F.col(s))
@@ -65,7 +68,7 @@ def fit_homography(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
             yield batch[[*keys, "h", "n"]]
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", h array<double>, n bigint"
-    fitted = sums.mapInPandas(solve, schema)
+    fitted = materialize(sums.mapInPandas(solve, schema))
     x, z = apply_homography(F.col("h"), F.col("u"), F.col("v"))
     miss = F.hypot(x - F.col("x"), z - F.col("z"))
     worst = pairs.join(fitted.where("h is not null"), keys).groupBy(*keys).agg(F.max(miss).alias("max_residual"))
@@ -87,14 +90,29 @@ def _solve(r: dict) -> list[float] | None:
     return (h / h[2, 2]).ravel().tolist()
 
 
+def _crowded_groups(pairs: DataFrame, keys: list[str], apart: float) -> DataFrame:
+    """Groups of distinct ids with two points in one cell of a diagonal below ``apart``."""
+    side, sane = apart / 1.5, (F.abs("u") < 1e6) & (F.abs("v") < 1e6)
+    cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in "uv"]
+    full = pairs.where(sane).groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(*keys).distinct()
+    twice = pairs.groupBy(*keys, "pair").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(*keys).distinct()
+    return full.join(twice, keys, "left_anti")
+
+
 def calibration_gate(pairs: DataFrame, keys: Sequence[str], max_residual: float = 30.0, apart: float = 1e-3) -> DataFrame:
-    """Fitted groups that pass: four pairs, no two image points within ``apart``, residual in bounds."""
+    """Fitted groups that pass: four pairs, no two image points within ``apart``, residual in bounds.
+
+    Two points in a cell narrower than ``apart`` settle their group; only groups without such a cell, or whose ids
+    repeat, are searched for nearest neighbours.
+    """
     from .spatial import nearest_join
 
     keys = list(keys)
-    unique = pairs.withColumn("_key", F.struct(*keys, "pair")).withColumn("_u", F.col("u")).withColumn("_v", F.col("v"))
+    crowded = materialize(_crowded_groups(pairs, keys, apart))
+    open_ = pairs.join(crowded, keys, "left_anti")
+    unique = open_.withColumn("_key", F.struct(*keys, "pair")).withColumn("_u", F.col("u")).withColumn("_v", F.col("v"))
     near = nearest_join(unique, unique, "_key", "_key", max_dist=apart, partition_by=keys, exclude_self=True, out="_o", x="_u", z="_v")
-    clash = near.where("_o is not null").select(*keys).distinct()
+    clash = near.where("_o is not null").select(*keys).unionByName(crowded).distinct()
     fitted = fit_homography(pairs, keys).where(F.col("h").isNotNull() & (F.col("max_residual") <= max_residual))
     return fitted.join(clash, keys, "left_anti")
 
