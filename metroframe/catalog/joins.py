@@ -12,7 +12,7 @@ from ..operators import polygons as V
 from ..operators import spatial as D
 from ..plans.ordered import block_of
 from .clouds import square
-from .registry import query, r
+from .registry import query, r, r_many
 
 _INSIDE = "p.x BETWEEN b.cx-b.half AND b.cx+b.half AND p.z BETWEEN b.cz-b.half AND b.cz+b.half"
 
@@ -161,7 +161,7 @@ def not_within_distance(t):
  ON a.site_id < b.site_id AND abs(a.x-b.x) <= 18 AND abs(a.z-b.z) <= 18 WHERE (a.x-b.x)*(a.x-b.x)+(a.z-b.z)*(a.z-b.z) <= 324""")
 def self_within_distance(t):
     """Site pairs at most 18 m apart."""
-    return D.self_within_distance(t.sites, 18.0, "site_id").withColumn("dist", r("dist"))
+    return D.self_within_distance(t.sites, 18.0, "site_id").withColumn("dist", r_many("dist"))
 
 
 @query(with_views("poses") + """, b AS (SELECT CAST(floor(event_id/200) AS BIGINT) AS frame, event_id AS id, x, z, yaw FROM fx_poses),

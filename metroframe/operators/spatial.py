@@ -405,23 +405,38 @@ def corridor_ahead(
 
 
 # ---- radius pairs -----------------------------------------------------------
+BLOCK = 1024  # rows of a cell that meet in one group of the join; a merge join keeps as many in memory
+
+
 def self_within_distance(df: DataFrame, r: float, id_col: str, x: str = "x", z: str = "z", on: Sequence[str] = ()) -> DataFrame:
     """All pairs a < b at most ``r`` apart.  The pairs are the result: clustering and
-    suppression have operators of their own that never list them."""
-    on = list(on)
-    base = df.select(*on, F.col(id_col).alias("_i"), F.col(x).alias("_x"), F.col(z).alias("_z"))
-    base = base.withColumn("_cx", F.floor(F.col("_x") / r)).withColumn("_cz", F.floor(F.col("_z") / r))
+    suppression have operators of their own that never list them.
+
+    Points meet those of their own cell and of half the cells around it.  The rows of a crowded cell are dealt over
+    blocks, and a point asks each block of a cell, so one cell is many tasks and a point meets ``BLOCK`` rows or so at
+    a time.  The pairs are spread by cell and block over all cores, however small the tables are.
+    """
+    on, c = list(on), F.col
+    base = df.select(*on, c(id_col).alias("_i"), c(x).alias("_x"), c(z).alias("_z"))
+    base = base.where(c("_i").isNotNull() & c("_x").isNotNull() & c("_z").isNotNull() & ~F.isnan("_x") & ~F.isnan("_z"))
+    base = base.withColumn("_cx", F.floor(c("_x") / r)).withColumn("_cz", F.floor(c("_z") / r))
+    base = materialize(spread(base).withColumn("_n", F.monotonically_increasing_id()))  # stored: a row never changes its block
+    cell = [*on, "_cx", "_cz"]
+    sizes = base.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    crowded = materialize(sizes.where("_blocks > 1"))  # a row for BLOCK points or more
+    blocks = F.coalesce("_blocks", F.lit(1).cast("long"))
+    right = base.join(crowded, cell, "left").withColumn("_b", F.pmod(F.xxhash64("_n"), blocks))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
     left = base.withColumn("_s", F.explode(steps)).select(
-        *on, F.col("_i").alias("_i1"), F.col("_x").alias("_x1"), F.col("_z").alias("_z1"),
-        (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cz") + F.col("_s.j")).alias("_cz"),
-        ((F.col("_s.i") == 0) & (F.col("_s.j") == 0)).alias("_own"),
+        *on, c("_i").alias("_i1"), c("_x").alias("_x1"), c("_z").alias("_z1"),
+        (c("_cx") + c("_s.i")).alias("_cx"), (c("_cz") + c("_s.j")).alias("_cz"),
+        ((c("_s.i") == 0) & (c("_s.j") == 0)).alias("_own"),
     )
-    dx, dz = F.col("_x1") - F.col("_x"), F.col("_z1") - F.col("_z")
+    left = left.join(crowded, cell, "left").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dx, dz = c("_x1") - c("_x"), c("_z1") - c("_z")
     d2 = dx * dx + dz * dz
-    pairs = left.join(base, [*on, "_cx", "_cz"]).where(
-        (d2 <= r * r) & F.when(F.col("_own"), F.col("_i1") < F.col("_i")).otherwise(F.col("_i1") != F.col("_i"))
-    )
+    met = spread(left.drop("_blocks"), *cell, "_b").join(spread(right.drop("_blocks", "_n"), *cell, "_b"), [*cell, "_b"])
+    pairs = met.where((d2 <= r * r) & F.when(c("_own"), c("_i1") < c("_i")).otherwise(c("_i1") != c("_i")))
     return pairs.select(
         *on, F.least("_i1", "_i").alias("a"), F.greatest("_i1", "_i").alias("b"), F.sqrt(d2).alias("dist")
     )

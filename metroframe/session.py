@@ -108,6 +108,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over four tasks a core, for small tables of few files that a join multiplies."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over four tasks a core (by ``keys``, if any), for small tables of few files that a join multiplies."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
