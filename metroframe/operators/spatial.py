@@ -229,6 +229,10 @@ def _distinct_places(right: DataFrame, on: Sequence[str], rid: str, x: str, z: s
     )
 
 
+#: Right rows of a group that are met one by one; a larger group goes through the pyramid.
+_GROUP = 512
+
+
 def nearest_join(
     left: DataFrame,
     right: DataFrame,
@@ -244,10 +248,10 @@ def nearest_join(
 ) -> DataFrame:
     """Nearest right row of each left row: left columns, ``out`` and ``dist`` (NULL if none).
 
-    ``max_dist`` and ``min_dist`` are exclusive; ties go to the lowest right id.
+    ``max_dist`` and ``min_dist`` are exclusive; ties go to the lowest right id.  Groups of ``partition_by`` with few right
+    rows meet in one join, which stores and sends less than the descent through the pyramid; larger ones descend.
     """
     on = list(partition_by)
-    items = _distinct_places(right, on, right_id, x, z, 2 if exclude_self else 1)
     lx, lz = F.col("_lx"), F.col("_lz")
     probe = left.select(
         *on, F.col(left_id).alias("_lid"), F.col(x).alias("_lx"), F.col(z).alias("_lz")
@@ -266,10 +270,23 @@ def nearest_join(
     allowed = F.col("_score") > least
     if exclude_self:
         allowed = allowed & (F.col("_rid") != F.col("_lid"))
-    best = best_item(
-        probe, items, "_lid", on, bounds, score, allowed,
-        None if max_dist is None else float(max_dist) ** 2, ["_rid"], ["_rid"],
-    )
+    limit = None if max_dist is None else float(max_dist) ** 2
+    best = None
+    if on:  # the rows of a small group meet as they are
+        crowded = materialize(right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > _GROUP).select(*on))
+        some = not crowded.isEmpty()
+        small = right.join(crowded, on, "left_anti") if some else right
+        here = small.select(*on, F.col(right_id).alias("_rid"), F.col(x).alias("_mx"), F.col(z).alias("_mz"))
+        here = here.where((F.abs("_mx") < float("inf")) & (F.abs("_mz") < float("inf")))
+        met = spread(probe, *on).join(spread(here, *on), on).withColumn("_score", score).where(allowed & ~F.isnan("_score"))
+        if limit is not None:
+            met = met.where(F.col("_score") < limit)
+        best = met.groupBy("_lid").agg(F.min(F.struct("_score", "_rid")).alias("_b")).select("_lid", "_b.*")
+        right = right.join(crowded, on, "left_semi")
+    if best is None or some:
+        items = _distinct_places(right, on, right_id, x, z, 2 if exclude_self else 1)
+        far = best_item(probe, items, "_lid", on, bounds, score, allowed, limit, ["_rid"], ["_rid"])
+        best = far if best is None else best.unionByName(far).groupBy("_lid").agg(F.min(F.struct("_score", "_rid")).alias("_b")).select("_lid", "_b.*")
     best = best.select(F.col("_lid").alias(left_id), F.col("_rid").alias(out), F.sqrt("_score").alias("dist"))
     return left.join(best, left_id, "left")
 
